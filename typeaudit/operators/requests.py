@@ -20,8 +20,14 @@ _TYPE_COLUMNS = [
 ]
 
 
-def _cap(best: DataFrame, maximum: int) -> DataFrame:
-    """The ``maximum`` most severe requests of each file, earlier ones first among equals."""
+def _cap(best: DataFrame, maximum: int | None) -> DataFrame:
+    """The ``maximum`` most severe requests of each file, earlier ones first among equals.
+
+    The rank filter runs before the exchange too, so a file sends at most ``maximum`` rows per
+    map task. ``None`` keeps every request, without any exchange.
+    """
+    if maximum is None:
+        return best
     if maximum < 0:
         raise ValueError("the number of suggestions must not be negative")
     worst_first = W.partitionBy(*schema.FILE_KEY).orderBy(
@@ -34,7 +40,7 @@ def _with_id(requests: DataFrame) -> DataFrame:
     return requests.withColumn("request_id", F.concat_ws("|", *schema.TYPE_KEY, "rule"))
 
 
-def select_requests(found: DataFrame, maximum: int = MAX_SUGGESTIONS) -> DataFrame:
+def select_requests(found: DataFrame, maximum: int | None = MAX_SUGGESTIONS) -> DataFrame:
     """Requests straight from ``engine.evaluate``: all findings of a type share its row, so the
     worst one is picked in the row and the only exchange is the per-file cap."""
     names = engine.finding_columns(found)
@@ -48,11 +54,16 @@ def select_requests(found: DataFrame, maximum: int = MAX_SUGGESTIONS) -> DataFra
             for name, slot in zip(names, slots, strict=True)
         ]
     )
+    # The one-element explode keeps the null test above the projection: pushed below, it would
+    # evaluate all rules a second time.
     best = (
-        found.withColumn("worst", worst)
+        found.select(
+            *schema.TYPE_KEY, "file_name", F.col("name").alias("type_name"), *_TYPE_COLUMNS,
+            F.explode(F.array(worst)).alias("worst"),
+        )
         .where(F.col("worst").isNotNull())
         .select(
-            *schema.TYPE_KEY, "file_name", F.col("name").alias("type_name"), *_TYPE_COLUMNS, "worst.rule_ord",
+            *schema.TYPE_KEY, "file_name", "type_name", *_TYPE_COLUMNS, "worst.rule_ord",
             "worst.finding.rule", "worst.finding.severity", "worst.finding.message",
         )
     )
@@ -60,7 +71,7 @@ def select_requests(found: DataFrame, maximum: int = MAX_SUGGESTIONS) -> DataFra
 
 
 def select_requests_from_issues(
-    attributed: DataFrame, types: DataFrame, maximum: int = MAX_SUGGESTIONS, by_name: bool = False
+    attributed: DataFrame, types: DataFrame, maximum: int | None = MAX_SUGGESTIONS, by_name: bool = False
 ) -> DataFrame:
     """Requests from an attributed issue table; ``by_name`` groups like message matching does."""
     best = summary.best_per_type(attributed, "matched_name" if by_name else "type_ord")
