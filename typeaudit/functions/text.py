@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 NEWLINES = "\n\u000b\f\r\u0085\u2028\u2029"
 
 # Unicode separators plus tab and the newline scalars.
-BLANK = r"[\p{Z}\t\n\x0B\f\r\u0085]"
+BLANKS = (
+    " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\t"
+    + NEWLINES
+)
 
 # LF as a whole character: the LF of a CR LF pair is not one.
 LINE_BREAK = r"(?<!\r)\n"
@@ -25,7 +28,7 @@ def line_count(text: Column) -> Column:
 
 
 def trim_blank(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}++|{BLANK}++$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def base_name(path: Column) -> Column:

@@ -2,9 +2,9 @@
 
 ``lineage`` keeps the type the issue was computed from. ``substring`` reproduces message
 matching: the first type of the file whose name occurs in the message, else the file's first
-type. That theta join is rewritten as an equality join: every substring of the message's words
-is a candidate name, and types are looked up by (project, path, name). Work per issue depends on
-the message length only, never on the number of types in the file.
+type. That theta join is rewritten as equality joins: the substrings of a word are candidate
+names, and types are looked up by (project, path, name). Each distinct word of a file is cut up
+once, so the work grows with the words of the messages and never with issues times types.
 """
 
 from __future__ import annotations
@@ -31,10 +31,9 @@ def _word_parts(word: Column) -> Column:
     )
 
 
-def candidate_names(message: Column) -> Column:
-    """Substrings of the blank-separated words of ``message``. A type name never holds a blank."""
-    words = F.filter(F.split(message, r"\s+"), lambda word: word != "")
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(words), _word_parts)))
+def message_words(message: Column) -> Column:
+    """Distinct blank-separated words. A type name never holds a blank, so it lies within one."""
+    return F.array_distinct(F.filter(F.split(message, r"\s+"), lambda word: word != ""))
 
 
 def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknown: str = UNKNOWN_TYPE) -> DataFrame:
@@ -47,12 +46,20 @@ def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknow
     first_of_name = (
         types.groupBy(*schema.FILE_KEY, F.col("name").alias("candidate")).agg(F.min("type_ord").alias("matched_ord"))
     )
-    matched = (
-        issues.select(*issue_key, F.explode(candidate_names(F.col("message"))).alias("candidate"))
+    words = issues.select(*issue_key, F.explode(message_words(F.col("message"))).alias("word"))
+    word_key = [*schema.FILE_KEY, "word"]
+    # Words shared by all messages of a file collapse before the exchange.
+    matched_words = (
+        words.select(*word_key)
+        .distinct()
+        .select(*word_key, F.explode(F.array_distinct(_word_parts(F.col("word")))).alias("candidate"))
         .join(first_of_name, [*schema.FILE_KEY, "candidate"])
-        .groupBy(*issue_key)
+        .groupBy(*word_key)
         .agg(F.min("matched_ord").alias("matched_ord"))
     )
+    matched = (
+        words.join(matched_words, word_key).groupBy(*issue_key).agg(F.min("matched_ord").alias("matched_ord"))
+    )
     first_of_file = types.groupBy(*schema.FILE_KEY).agg(F.min("type_ord").alias("first_ord"))
     names = types.select(*schema.FILE_KEY, F.col("type_ord").alias("matched_ord"), F.col("name").alias("matched_name"))
     return (

@@ -26,58 +26,72 @@ _ROWS_SO_FAR = (W.unboundedPreceding, W.currentRow)
 _ROWS_BEFORE = (W.unboundedPreceding, -1)
 
 
+_OTHER_NEWLINE = r"[\x0B\f\r\u0085\u2028\u2029]"
+
+
+def _breaks(column: str):
+    """Newline scalars in ``column``; counted by bytes in a file that has no other than LF."""
+    lf = F.octet_length(column) - F.octet_length(F.replace(F.col(column), F.lit("\n"), F.lit("")))
+    return F.when(F.col("only_lf"), lf).otherwise(tx.newline_count(F.col(column)))
+
+
+def _by_file(sources: DataFrame) -> DataFrame:
+    """Readable files, hashed by file. The partition count is fixed: a file grows many times over
+    when it is cut up, so partitions must not be merged by the size of the raw text."""
+    spark = sources.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return sources.where(F.col("text").isNotNull()).select(*_FILE, "text").repartition(count, *_FILE)
+
+
 def tokens(sources: DataFrame) -> DataFrame:
     """Structural elements of every readable file, with running line and nesting counters.
 
     ``line_from`` and ``line_to`` are newline counts before the first and after the last
     character of the element proper, ``line_before`` the one at the end of the previous element.
     """
-    by_file = sources.where(F.col("text").isNotNull()).select(*_FILE, "text").repartition(*_FILE)
+    by_file = _by_file(sources).withColumn("only_lf", ~F.col("text").rlike(_OTHER_NEWLINE))
     element = F.regexp_extract_all("text", F.lit(lexis.ELEMENT), F.lit(0))
-    cut = (
-        by_file.select(*_FILE, F.posexplode(element).alias("pos", "element"))
-        .withColumn("head", F.regexp_replace("element", lexis.LEADING, ""))
-        .select(
-            *_FILE,
-            "pos",
-            "head",
-            tx.newline_count(F.col("element")).alias("breaks"),
-            tx.newline_count(F.col("head")).alias("breaks_inside"),
-            F.substring("head", 1, 1).alias("first"),
-        )
-    )
-    word = F.col("first").rlike(r"^[\p{L}_@]")
-    groups = lexis.DECLARATION_GROUPS
-    declaration = "^" + lexis.DECLARATION
-
-    def part(name: str):
-        return F.when(word, F.regexp_extract("head", declaration, groups[name]))
-
-    classified = cut.withColumn("keyword", part("keyword")).withColumn(
-        "kind",
-        F.when(F.col("keyword") != "", "decl")
-        .when(F.col("first").isin("{", "}", ",", "="), F.col("first"))
-        .when(F.col("first").isin("(", "["), "(")
-        .when(F.col("first").isin(")", "]"), ")")
-        .when(F.col("first") == "#", F.regexp_extract("head", r"^#\w+", 0))
-        .otherwise(""),
+    cut = by_file.select(*_FILE, "only_lf", F.posexplode(element).alias("pos", "element"))
+    # Blanks are trimmed natively; only a comment or a rare blank in front needs the expression.
+    trimmed = F.ltrim("element", F.lit(" \n\t\r"))
+    first = F.substring("head", 1, 1)
+    headed = cut.withColumn(
+        "head", F.when(trimmed.rlike(r"^(?:/[/*]|[^\x00-\x7F]|[\x0B\f])"), F.regexp_replace("element", lexis.LEADING, "")).otherwise(trimmed)
+    ).withColumn("first", first)
+    first = F.col("first")
+    # Every keyword, modifier and attribute starts with one of these.
+    word = first.between("a", "z") | (first == "@")
+    parted = headed.withColumn(
+        "parts", F.when(word, F.regexp_replace("head", lexis.DECLARATION_PARTS, lexis.DECLARATION_REWRITE))
+    ).withColumn(
+        "keyword",
+        F.when(F.col("parts").contains(lexis.SEPARATOR), F.substring_index("parts", lexis.SEPARATOR, 1)),
     )
-    is_decl = F.col("kind") == "decl"
-    named = classified.select(
+    is_decl = F.coalesce(F.col("keyword").isin(*lexis.KEYWORDS), F.lit(False))
+    named = parted.select(
         *_FILE,
         "pos",
-        "breaks",
-        "breaks_inside",
-        "kind",
+        _breaks("element").alias("breaks"),
+        _breaks("head").alias("breaks_inside"),
+        F.when(is_decl, "decl")
+        .when(first.isin("{", "}", ","), first)
+        .when(first.isin("(", "["), "(")
+        .when(first.isin(")", "]"), ")")
+        .when(first == "#", F.regexp_extract("head", r"^#\w+", 0))
+        .otherwise("")
+        .alias("kind"),
         F.when(is_decl, F.col("keyword")).alias("keyword"),
         F.when(
-            is_decl,
-            F.coalesce(*[F.nullif(part(name), F.lit("")) for name in ("function", "pattern", "type")]),
+            is_decl, F.nullif(F.substring_index(F.substring_index("parts", lexis.SEPARATOR, 2), lexis.SEPARATOR, -1), F.lit(""))
         ).alias("name"),
-        F.when(F.col("first") == "@", "@")
-        .when(is_decl | (F.col("first") == "#"), F.regexp_extract("head", r"^#?\w+", 0))
+        F.when(first == "@", "@")
+        .when(is_decl | (first == "#"), F.regexp_extract("head", r"^#?\w+", 0))
         .alias("first_token"),
-        ((F.col("kind") == "{") & F.col("head").rlike(lexis.ACCESSOR_BRACE)).alias("opens_accessor"),
+        F.when((first == "{") & (F.length("head") > 1), F.col("head").rlike(lexis.ACCESSOR_BRACE))
+        .otherwise(False)
+        .alias("opens_accessor"),
+        # An initial value: '=' after the declared name, or anywhere in a plain element.
+        F.when(is_decl, F.substring_index("parts", lexis.SEPARATOR, -1)).otherwise(F.col("head")).contains("=").alias("has_value"),
     )
     so_far = W.partitionBy(*_FILE).orderBy("pos").rowsBetween(*_ROWS_SO_FAR)
 
@@ -106,7 +120,8 @@ def _blocks(token_rows: DataFrame) -> DataFrame:
     """
     by_pos = W.partitionBy(*_FILE).orderBy("pos")
     kind = F.col("kind")
-    stream = token_rows.where(kind.isin("decl", "{", "}", ",", "=", "#if", "#warning", "#error", "#sourceLocation"))
+    structural = kind.isin("decl", "{", "}", ",", "#if", "#warning", "#error", "#sourceLocation")
+    stream = token_rows.where(structural | F.col("has_value"))
     # A brace opens a type body if the last declaration or brace before it declares a type.
     owner = F.last(
         F.when(
@@ -115,8 +130,8 @@ def _blocks(token_rows: DataFrame) -> DataFrame:
         ),
         ignorenulls=True,
     ).over(by_pos.rowsBetween(*_ROWS_BEFORE))
-    before = F.lag(F.when(kind == "decl", F.col("keyword")).otherwise(kind)).over(by_pos)
-    stream = stream.withColumns({"owner": owner, "before": before}).where(kind != "=")
+    before = F.lag(F.when(F.col("has_value"), "=").when(kind == "decl", F.col("keyword")).otherwise(kind)).over(by_pos)
+    stream = stream.withColumns({"owner": owner, "before": before}).where(structural)
 
     opens, closes = kind == "{", kind == "}"
     # A brace right after a declared name (or its type) or a binding comma is an accessor block;

@@ -1,9 +1,10 @@
 """The regular expression that cuts Swift source text into structural elements.
 
-One element is a structural token (brace, bracket, comma, ``=``, conditional-compilation
-directive, or the head of a declaration with its attributes and modifiers) together with the
-blanks and comments before it and the run of plain tokens after it. Plain tokens carry no
-structure, so they ride along instead of becoming rows. The expression is total: the matches
+One element is a structural token (brace, bracket, comma, conditional-compilation directive, or
+the head of a declaration with its attributes and modifiers) together with the blanks and
+comments before it and the run of plain tokens after it. Plain tokens, and whole groups of
+parentheses or brackets without braces, carry no structure, so they ride along instead of
+becoming rows. The expression is total: the matches
 of a text join back to that text.
 
 Group loops are possessive throughout, which keeps the Java matcher iterative on long
@@ -12,7 +13,9 @@ comments and literals.
 
 # --- blanks, comments, literals ---------------------------------------------------------
 
-SPACE = r"[\s\x0B\u0085\u2028\u2029\uFEFF\p{Z}]"
+# Classes of single Latin characters and \w are table lookups in Java; wider ones come second.
+_RARE_SPACE = r"[\u0085\u2028\u2029\uFEFF\p{Z}]"
+SPACE = rf"(?:[ \t\n\r\f\x0B]|{_RARE_SPACE})"
 
 
 def _block_comment(depth: int) -> str:
@@ -23,7 +26,7 @@ def _block_comment(depth: int) -> str:
 
 
 COMMENT = rf"(?://[^\n\r]*+|{_block_comment(4)})"
-TRIVIA = rf"(?:{SPACE}++|{COMMENT})"
+TRIVIA = rf"(?:[ \t\n\r\f\x0B]++|{COMMENT}|{_RARE_SPACE})"
 BREAK = rf"{TRIVIA}*+"
 
 
@@ -51,9 +54,9 @@ LITERAL = (
 
 # --- words ------------------------------------------------------------------------------
 
-_LETTER = r"[A-Za-z_$[^\x00-\x7F\u0085\u2028\u2029\uFEFF\p{Z}]]"
-_WORD_CHAR = r"[\w$[^\x00-\x7F\u0085\u2028\u2029\uFEFF\p{Z}]]"
-IDENTIFIER = rf"(?:`[^`\n]++`|{_LETTER}{_WORD_CHAR}*+)"
+_WIDE_CHAR = r"[^\x00-\x7F\u0085\u2028\u2029\uFEFF\p{Z}]"
+_WORD_TAIL = rf"(?:\w++|[$]|{_WIDE_CHAR})*+"
+IDENTIFIER = rf"(?:(?!\d)\w++{_WORD_TAIL}|`[^`\n]++`|(?:[$]|{_WIDE_CHAR}){_WORD_TAIL})"
 OPERATOR_CHAR = r"[-+*/<>=!&|^~?%]"
 
 # Declaration modifiers of the language.
@@ -68,11 +71,16 @@ NAMED = "func var let class struct enum protocol extension typealias associatedt
 UNNAMED = "init subscript deinit".split()
 OTHER_NAMED = "operator precedencegroup macro".split()
 
-_END = rf"(?!{_WORD_CHAR})"
+_END = rf"(?!\w|[$]|{_WIDE_CHAR})"
 
 
 def _any(words) -> str:
-    return "(?:" + "|".join(words) + ")" + _END
+    """One of ``words``, grouped by first letter so that most texts fail after one comparison."""
+    by_letter: dict[str, list[str]] = {}
+    for word in words:
+        by_letter.setdefault(word[0], []).append(word[1:])
+    options = [f"{letter}(?:{'|'.join(rest)})" for letter, rest in sorted(by_letter.items())]
+    return f"(?=[{''.join(sorted(by_letter))}])(?:{'|'.join(options)}){_END}"
 
 
 def _group(depth: int) -> str:
@@ -106,7 +114,15 @@ _DECLARED = (
 
 # Groups: 1 keyword, 2 function or operator name, 3 binding pattern, 4 type-like name.
 DECLARATION = rf"(?:{MODIFIER}{BREAK})*+{_DECLARED}"
-DECLARATION_GROUPS = {"keyword": 1, "function": 2, "pattern": 3, "type": 4}
+
+# Rewrites the head of a declaration to keyword, name and remainder.
+SEPARATOR = "\x01"
+DECLARATION_PARTS = rf"^{DECLARATION}([\s\S]*+)$"
+DECLARATION_REWRITE = f"$1{SEPARATOR}$2$3$4{SEPARATOR}$5"
+KEYWORDS = (
+    "func var let class struct enum protocol extension typealias associatedtype actor import macro precedencegroup "
+    "operator init subscript deinit"
+).split()
 
 # --- plain tokens -----------------------------------------------------------------------
 
@@ -120,13 +136,20 @@ def _generic(depth: int) -> str:
     return rf"(?:{plain})*+" if depth == 0 else rf"(?:{plain}|<{_generic(depth - 1)}>)*+"
 
 
+def _flat(depth: int) -> str:
+    """A group of parentheses or brackets without braces."""
+    inner = "" if depth == 0 else f"|{_flat(depth - 1)}"
+    return rf'[(\[](?:[^()\[\]{{}}"/#]++|{LITERAL}|{COMMENT}|[#/]{inner})*+[)\]]'
+
+
 _PLAIN = (
     rf"(?:{LITERAL}"
+    rf"|{_flat(2)}"
     rf"|(?<=[\w`])<{_generic(3)}>"
     rf"|\.(?:\.++|{SPACE}*+{IDENTIFIER})?+"
     rf"|(?!{_any(_RESERVED)}){IDENTIFIER}"
-    rf"|\d{_WORD_CHAR}*+"
-    rf"|(?!=(?!{OPERATOR_CHAR}))(?:(?!/[/*]){OPERATOR_CHAR})++"
+    rf"|\d{_WORD_TAIL}"
+    rf"|(?:(?!/[/*]){OPERATOR_CHAR})++"
     rf"|#(?!{_any(DIRECTIVES)}){IDENTIFIER}"
     r"|[:;\\])"
 )
@@ -138,7 +161,7 @@ _ACCESSOR = (
 )
 
 _STRUCTURAL = (
-    rf"(?:{DECLARATION}|\{{(?:{_ACCESSOR})?+|[}}()\[\],]|=|#{_any(DIRECTIVES)}|{_PLAIN}"
+    rf"(?:[}},]|\{{(?:{_ACCESSOR})?+|(?=[a-z@]){DECLARATION}|#{_any(DIRECTIVES)}|{_PLAIN}|[()\[\]]"
     rf"|@?{IDENTIFIER}|[\s\S])"
 )
 

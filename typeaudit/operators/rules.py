@@ -83,11 +83,12 @@ def finding(name: str, fires: Column, severity: Column | str, message: Column) -
 
 def limit(values: dict, configured: Column | None = None) -> Column:
     """The limit of the row's category as a CASE expression."""
-    chosen = None
-    for category, value in values.items():
-        result = configured if value is None else F.lit(value)
-        chosen = (F if chosen is None else chosen).when(F.col("class_type") == category, result)
-    return chosen
+    fixed = " ".join(f"WHEN '{name}' THEN {value}" for name, value in values.items() if value is not None)
+    chosen = F.expr(f"CASE class_type {fixed} END")
+    if None not in values.values():
+        return chosen
+    open_ended = next(name for name, value in values.items() if value is None)
+    return F.when(F.col("class_type") == open_ended, configured).otherwise(chosen)
 
 
 def _text(column: Column) -> Column:

@@ -42,16 +42,18 @@ def _pieces(text: Column) -> Column:
     return F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
 
 
-def section_lines(text: Column, section: str) -> Column:
+def _section_lines(pieces: Column, section: str) -> Column:
     """Lines of one section in order, bullets removed."""
-    own = F.filter(_pieces(text), lambda piece: F.substring_index(piece, "\n", 1) == section)
+    own = F.filter(pieces, lambda piece: F.substring_index(piece, "\n", 1) == section)
     bodies = F.transform(own, lambda piece: F.split(piece, tx.LINE_BREAK, -1))
     rest = F.flatten(F.transform(bodies, lambda lines: F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))))
     return F.transform(rest, tx.strip_bullets)
 
 
 def with_sections(advice: DataFrame, text: str = "suggested_refactor") -> DataFrame:
-    return advice.withColumns({name: section_lines(F.col(text), name) for name in SECTIONS})
+    """Three array columns; the text is cut once for all of them."""
+    cut = advice.withColumn("_pieces", _pieces(F.col(text)))
+    return cut.withColumns({name: _section_lines(F.col("_pieces"), name) for name in SECTIONS}).drop("_pieces")
 
 
 def advice_lines(advice: DataFrame, key: str = "request_id", text: str = "suggested_refactor") -> DataFrame:
