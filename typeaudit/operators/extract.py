@@ -9,7 +9,6 @@ position and keep only running frames, so each costs one pass over its (spillabl
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from typeaudit import schema
@@ -22,10 +21,13 @@ _PROPERTY_WORDS = ("var", "let")
 _FILE = schema.FILE_KEY
 _BLOCK = [*_FILE, "block"]
 
-_ROWS_SO_FAR = (W.unboundedPreceding, W.currentRow)
-_ROWS_BEFORE = (W.unboundedPreceding, -1)
 
 
+def _quoted(words) -> str:
+    return ", ".join(f"'{word}'" for word in words)
+
+
+_COMMENT_FIRST = r"^(?:/[/*]|[^\x00-\x7F]|[\x0B\f])"
 _OTHER_NEWLINE = r"[\x0B\f\r\u0085\u2028\u2029]"
 
 
@@ -54,62 +56,49 @@ def tokens(sources: DataFrame) -> DataFrame:
     cut = by_file.select(*_FILE, "only_lf", F.posexplode(element).alias("pos", "element"))
     # Blanks are trimmed natively; only a comment or a rare blank in front needs the expression.
     trimmed = F.ltrim("element", F.lit(" \n\t\r"))
-    first = F.substring("head", 1, 1)
     headed = cut.withColumn(
-        "head", F.when(trimmed.rlike(r"^(?:/[/*]|[^\x00-\x7F]|[\x0B\f])"), F.regexp_replace("element", lexis.LEADING, "")).otherwise(trimmed)
-    ).withColumn("first", first)
-    first = F.col("first")
+        "head",
+        F.when(trimmed.rlike(_COMMENT_FIRST), F.regexp_replace("element", lexis.LEADING, "")).otherwise(trimmed),
+    ).withColumn("first", F.expr("substring(head, 1, 1)"))
     # Every keyword, modifier and attribute starts with one of these.
-    word = first.between("a", "z") | (first == "@")
-    parted = headed.withColumn(
-        "parts", F.when(word, F.regexp_replace("head", lexis.DECLARATION_PARTS, lexis.DECLARATION_REWRITE))
-    ).withColumn(
-        "keyword",
-        F.when(F.col("parts").contains(lexis.SEPARATOR), F.substring_index("parts", lexis.SEPARATOR, 1)),
+    parts = F.when(
+        F.expr("first BETWEEN 'a' AND 'z' OR first = '@'"),
+        F.regexp_replace("head", lexis.DECLARATION_PARTS, lexis.DECLARATION_REWRITE),
+    )
+    # Keyword, name and remainder; a head that was not rewritten has no parts.
+    parted = headed.withColumn("parts", F.split(parts, lexis.SEPARATOR, 3)).withColumn(
+        "is_decl", F.expr(f"coalesce(size(parts) = 3 AND parts[0] IN ({_quoted(lexis.KEYWORDS)}), false)")
     )
-    is_decl = F.coalesce(F.col("keyword").isin(*lexis.KEYWORDS), F.lit(False))
     named = parted.select(
         *_FILE,
         "pos",
         _breaks("element").alias("breaks"),
         _breaks("head").alias("breaks_inside"),
-        F.when(is_decl, "decl")
-        .when(first.isin("{", "}", ","), first)
-        .when(first.isin("(", "["), "(")
-        .when(first.isin(")", "]"), ")")
-        .when(first == "#", F.regexp_extract("head", r"^#\w+", 0))
-        .otherwise("")
-        .alias("kind"),
-        F.when(is_decl, F.col("keyword")).alias("keyword"),
-        F.when(
-            is_decl, F.nullif(F.substring_index(F.substring_index("parts", lexis.SEPARATOR, 2), lexis.SEPARATOR, -1), F.lit(""))
-        ).alias("name"),
-        F.when(first == "@", "@")
-        .when(is_decl | (first == "#"), F.regexp_extract("head", r"^#?\w+", 0))
-        .alias("first_token"),
-        F.when((first == "{") & (F.length("head") > 1), F.col("head").rlike(lexis.ACCESSOR_BRACE))
+        F.expr("""CASE WHEN is_decl THEN 'decl' WHEN first IN ('{', '}', ',') THEN first
+            WHEN first IN ('(', '[') THEN '(' WHEN first IN (')', ']') THEN ')'
+            WHEN first = '#' THEN regexp_extract(head, '^#[a-zA-Z]+', 0) ELSE '' END AS kind"""),
+        F.expr("CASE WHEN is_decl THEN parts[0] END AS keyword"),
+        F.expr("CASE WHEN is_decl THEN nullif(parts[1], '') END AS name"),
+        F.expr("""CASE WHEN first = '@' THEN '@'
+            WHEN is_decl OR first = '#' THEN regexp_extract(head, '^#?[a-zA-Z_]+', 0) END AS first_token"""),
+        F.when(F.expr("first = '{' AND length(head) > 1"), F.col("head").rlike(lexis.ACCESSOR_BRACE))
         .otherwise(False)
         .alias("opens_accessor"),
         # An initial value: '=' after the declared name, or anywhere in a plain element.
-        F.when(is_decl, F.substring_index("parts", lexis.SEPARATOR, -1)).otherwise(F.col("head")).contains("=").alias("has_value"),
+        F.expr("contains(CASE WHEN is_decl THEN parts[2] ELSE head END, '=') AS has_value"),
     )
-    so_far = W.partitionBy(*_FILE).orderBy("pos").rowsBetween(*_ROWS_SO_FAR)
-
-    def nesting(up: str, down: str):
-        return F.sum(F.when(F.col("kind") == up, 1).when(F.col("kind") == down, -1).otherwise(0)).over(so_far)
-
-    return (
-        named.withColumns(
-            {
-                "line_to": F.sum("breaks").over(so_far),
-                "braces": nesting("{", "}"),
-                "parens": nesting("(", ")"),
-                "conditionals": nesting("#if", "#endif"),
-            }
-        )
-        .withColumn("line_from", F.col("line_to") - F.col("breaks_inside"))
-        .withColumn("line_before", F.col("line_to") - F.col("breaks"))
-        .drop("breaks", "breaks_inside")
+    so_far = "OVER (PARTITION BY project, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    counted = named.selectExpr(
+        "*",
+        f"sum(breaks) {so_far} AS line_to",
+        *[
+            f"sum(CASE kind WHEN '{up}' THEN 1 WHEN '{down}' THEN -1 ELSE 0 END) {so_far} AS {nesting}"
+            for nesting, up, down in (("braces", "{", "}"), ("parens", "(", ")"), ("conditionals", "#if", "#endif"))
+        ],
+    )
+    return counted.selectExpr(
+        *_FILE, "pos", "kind", "keyword", "name", "first_token", "opens_accessor", "has_value", "line_to",
+        "braces", "parens", "conditionals", "line_to - breaks_inside AS line_from", "line_to - breaks AS line_before",
     )
 
 
@@ -118,152 +107,122 @@ def _blocks(token_rows: DataFrame) -> DataFrame:
 
     ``role``: ``open`` and ``close`` of the body, ``member`` start, ``comma``, ``accessor``.
     """
-    by_pos = W.partitionBy(*_FILE).orderBy("pos")
-    kind = F.col("kind")
-    structural = kind.isin("decl", "{", "}", ",", "#if", "#warning", "#error", "#sourceLocation")
-    stream = token_rows.where(structural | F.col("has_value"))
-    # A brace opens a type body if the last declaration or brace before it declares a type.
-    owner = F.last(
-        F.when(
-            kind.isin("decl", "{", "}"),
-            F.struct("keyword", "name", F.col("line_from").alias("line"), F.col("pos").alias("decl_pos")),
-        ),
-        ignorenulls=True,
-    ).over(by_pos.rowsBetween(*_ROWS_BEFORE))
-    before = F.lag(F.when(F.col("has_value"), "=").when(kind == "decl", F.col("keyword")).otherwise(kind)).over(by_pos)
-    stream = stream.withColumns({"owner": owner, "before": before}).where(structural)
-
-    opens, closes = kind == "{", kind == "}"
+    structural = "kind IN ('decl', '{', '}', ',', '#if', '#warning', '#error', '#sourceLocation')"
+    by_pos = "PARTITION BY project, path ORDER BY pos"
+    marked = token_rows.where(f"{structural} OR has_value").selectExpr(
+        "*",
+        # A brace opens a type body if the last declaration or brace before it declares a type.
+        f"""last(CASE WHEN kind IN ('decl', '{{', '}}')
+              THEN struct(keyword, name, line_from AS line, pos AS decl_pos) END, true)
+            OVER ({by_pos} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS owner""",
+        f"lag(CASE WHEN has_value THEN '=' WHEN kind = 'decl' THEN keyword ELSE kind END) OVER ({by_pos}) AS before",
+    )
     # A brace right after a declared name (or its type) or a binding comma is an accessor block;
-    # after an initial value it is one only if an accessor keyword follows.
-    may_be_accessor = F.col("opens_accessor") | F.col("before").isin(*_PROPERTY_WORDS, ",")
-    role = (
-        F.when(opens, "open").when(closes, "close").when(kind == ",", "comma").otherwise("member")
+    # after an initial value it is one only if an accessor keyword follows. The brace itself
+    # belongs to the block it opens; as an accessor it belongs to the block around it.
+    roles = marked.where(structural).selectExpr(
+        "*",
+        """explode(CASE
+             WHEN kind = '{' AND (opens_accessor OR before IN ('var', 'let', ',')) THEN array('open', 'accessor')
+             WHEN kind = '{' THEN array('open') WHEN kind = '}' THEN array('close')
+             WHEN kind = ',' THEN array('comma') ELSE array('member') END) AS role""",
     )
-    # The brace itself belongs to the block it opens; as an accessor it belongs to the block around it.
-    roles = F.when(opens & may_be_accessor, F.array(F.lit("open"), F.lit("accessor"))).otherwise(F.array(role))
-    leveled = (
-        stream.withColumn("role", F.explode(roles))
-        .withColumn(
-            "level",
-            F.col("braces")
-            + F.when(F.col("role") == "close", 1).when(F.col("role") == "accessor", -1).otherwise(0),
-        )
+    leveled = roles.selectExpr(
+        *_FILE, "pos", "role", "owner", "keyword", "name", "first_token", "line_from", "line_before", "parens",
+        "braces + CASE role WHEN 'close' THEN 1 WHEN 'accessor' THEN -1 ELSE 0 END AS level",
         # The directive that opens a conditional group stands outside of it.
-        .withColumn("conditionals", F.col("conditionals") - F.when(kind == "#if", 1).otherwise(0))
+        "conditionals - CASE kind WHEN '#if' THEN 1 ELSE 0 END AS conditionals",
     )
-    in_level = W.partitionBy(*_FILE, "level").orderBy("pos").rowsBetween(*_ROWS_SO_FAR)
-    opening = F.last(
-        F.when(
-            F.col("role") == "open",
-            F.struct(
-                F.col("pos").alias("block"),
-                F.col("owner.keyword").isin(*_TYPE_WORDS).alias("is_type"),
-                "parens",
-                "conditionals",
-            ),
-        ),
-        ignorenulls=True,
-    ).over(in_level)
-    return (
-        leveled.withColumn("in", opening)
-        .where(F.col("in.is_type"))
-        .where(
-            F.col("role").isin("open", "close")
-            | ((F.col("parens") == F.col("in.parens")) & (F.col("conditionals") == F.col("in.conditionals")))
-        )
-        .select(
-            *_FILE, "pos", F.col("in.block").alias("block"), "role", "owner", "keyword", "name", "first_token",
-            "line_from", "line_before",
-        )
+    inside = leveled.selectExpr(
+        "*",
+        f"""last(CASE WHEN role = 'open' THEN struct(
+                pos AS block, coalesce(owner.keyword IN ({_quoted(_TYPE_WORDS)}), false) AS is_type, parens, conditionals) END, true)
+            OVER (PARTITION BY project, path, level ORDER BY pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS around""",
+    )
+    direct = "parens = around.parens AND conditionals = around.conditionals"
+    return inside.where(f"around.is_type AND (role IN ('open', 'close') OR ({direct}))").selectExpr(
+        *_FILE, "pos", "around.block AS block", "role", "owner", "keyword", "name", "first_token", "line_from", "line_before",
     )
 
 
 def _member_rows(block_rows: DataFrame) -> DataFrame:
     """One row per block part: ordinal 0 is the opening brace, then the members, then the close."""
-    by_pos = W.partitionBy(*_BLOCK).orderBy("pos").rowsBetween(*_ROWS_SO_FAR)
-    starts = F.col("role").isin("member", "close")
+    starts = "role IN ('member', 'close')"
     parts = (
-        block_rows.withColumn("member_ord", F.sum(F.when(starts, 1).otherwise(0)).over(by_pos))
+        block_rows.selectExpr(
+            "*",
+            f"""sum(CASE WHEN {starts} THEN 1 ELSE 0 END) OVER (PARTITION BY project, path, block ORDER BY pos
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS member_ord""",
+        )
         .groupBy(*_BLOCK, "member_ord")
         .agg(
-            F.max(F.when(F.col("role") == "open", F.col("owner"))).alias("owner"),
-            F.count_if(F.col("role") == "close").alias("closes"),
-            F.max("keyword").alias("keyword"),
-            F.max("name").alias("name"),
-            F.max("first_token").alias("first_token"),
-            F.max(F.when(starts, F.col("line_from"))).alias("line_from"),
-            F.max(F.when(starts, F.col("line_before"))).alias("line_before"),
-            F.count_if(F.col("role") == "comma").alias("commas"),
-            F.count_if(F.col("role") == "accessor").alias("accessors"),
+            F.expr("max(CASE WHEN role = 'open' THEN owner END) AS owner"),
+            F.expr("count_if(role = 'close') > 0 AS closes"),
+            F.expr("max(keyword) AS keyword"),
+            F.expr("max(name) AS name"),
+            F.expr("max(first_token) AS first_token"),
+            F.expr(f"max(CASE WHEN {starts} THEN line_from END) AS line_from"),
+            F.expr(f"max(CASE WHEN {starts} THEN line_before END) AS line_before"),
+            F.expr("count_if(role = 'comma') AS commas"),
+            F.expr("count_if(role = 'accessor') AS accessors"),
         )
     )
-    by_ord = W.partitionBy(*_BLOCK).orderBy("member_ord")
-    is_property = F.col("keyword").isin(*_PROPERTY_WORDS)
-    is_member = (F.col("member_ord") > 0) & (F.col("closes") == 0)
+    by_ord = "PARTITION BY project, path, block ORDER BY member_ord"
+    is_property = f"keyword IN ({_quoted(_PROPERTY_WORDS)})"
     return (
-        parts.withColumn("line_end", F.lead("line_before").over(by_ord))
-        .withColumn("lines", F.when(is_member, F.col("line_end") - F.col("line_from") + 1))
-        .withColumn("earlier", F.coalesce(F.sum("lines").over(by_ord.rowsBetween(*_ROWS_BEFORE)), F.lit(0)))
-        .select(
-            *_BLOCK,
-            "member_ord",
-            "owner",
-            "closes",
-            is_member.alias("is_member"),
-            "line_from",
-            "keyword",
-            F.when(F.col("keyword").isin("func", *_PROPERTY_WORDS), F.col("name"))
-            .when(F.col("keyword").isin("init", "subscript"), F.col("keyword"))
-            .otherwise(F.col("first_token"))
-            .alias("member_name"),
-            "lines",
-            (F.col("earlier") + 1).cast("int").alias("start_line"),
-            F.greatest(F.col("earlier") + 1, F.col("earlier") + F.col("lines")).cast("int").alias("end_line"),
-            F.when(is_property, 1 + F.col("commas")).otherwise(0).alias("bindings"),
-            F.when(is_property, F.col("accessors")).otherwise(0).alias("accessors"),
+        parts.selectExpr(
+            "*",
+            "member_ord > 0 AND NOT closes AS is_member",
+            f"lead(line_before) OVER ({by_ord}) - line_from + 1 AS reach",
+        )
+        .selectExpr("*", "CASE WHEN is_member THEN reach END AS lines")
+        .selectExpr(
+            "*",
+            f"coalesce(sum(lines) OVER ({by_ord} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier",
+        )
+        .selectExpr(
+            *_BLOCK, "member_ord", "owner", "closes", "is_member", "line_from", "keyword",
+            """CASE WHEN keyword IN ('func', 'var', 'let') THEN name
+                 WHEN keyword IN ('init', 'subscript') THEN keyword ELSE first_token END AS member_name""",
+            "CAST(earlier + 1 AS INT) AS start_line",
+            "CAST(greatest(earlier + 1, earlier + lines) AS INT) AS end_line",
+            f"CASE WHEN {is_property} THEN 1 + commas ELSE 0 END AS bindings",
+            f"CASE WHEN {is_property} THEN accessors ELSE 0 END AS accessors",
         )
     )
 
 
 def _type_rows(member_rows: DataFrame) -> DataFrame:
     """One grouped aggregate per type body; a body without members still has its two braces."""
-    member = F.col("is_member")
     grouped = member_rows.groupBy(*_BLOCK).agg(
-        F.max("owner").alias("owner"),
-        F.max(F.when(F.col("closes") > 0, F.col("line_from"))).alias("close_line"),
-        F.count_if(member & (F.col("keyword") == "func")).cast("int").alias("method_count"),
-        F.sum("bindings").cast("int").alias("property_count"),
-        F.count_if(member & (F.col("keyword") == "init")).cast("int").alias("initializer_count"),
-        F.count_if(member & (F.col("keyword") == "subscript")).cast("int").alias("subscript_count"),
-        F.sum("accessors").cast("int").alias("accessor_count"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    member,
-                    F.struct("member_ord", F.col("member_name").alias("name"), "start_line", "end_line"),
-                )
-            )
-        ).alias("members"),
+        F.expr("max(owner) AS owner"),
+        F.expr("max(CASE WHEN closes THEN line_from END) AS close_line"),
+        F.expr("CAST(count_if(is_member AND keyword = 'func') AS INT) AS method_count"),
+        F.expr("CAST(sum(bindings) AS INT) AS property_count"),
+        F.expr("CAST(count_if(is_member AND keyword = 'init') AS INT) AS initializer_count"),
+        F.expr("CAST(count_if(is_member AND keyword = 'subscript') AS INT) AS subscript_count"),
+        F.expr("CAST(sum(accessors) AS INT) AS accessor_count"),
+        F.expr("""sort_array(collect_list(CASE WHEN is_member
+                    THEN struct(member_ord, member_name AS name, start_line, end_line) END)) AS members"""),
     )
-    in_file = W.partitionBy(*_FILE).orderBy("owner.decl_pos")
     # Pre-order of the declarations: an outer type starts before the types inside it.
-    return grouped.withColumn("type_ord", F.row_number().over(in_file) - 1).select(
+    ordered = grouped.selectExpr(
+        "*", "owner.name AS name", "row_number() OVER (PARTITION BY project, path ORDER BY owner.decl_pos) - 1 AS type_ord"
+    )
+    return ordered.select(
         *_FILE,
         tx.base_name(F.col("path")).alias("file_name"),
-        F.col("type_ord").cast("int").alias("type_ord"),
-        category(F.col("owner.name")).alias("class_type"),
-        F.col("owner.name").alias("name"),
+        "type_ord",
+        category(F.col("name")).alias("class_type"),
+        "name",
         "method_count",
         "property_count",
-        (F.col("close_line") - F.col("owner.line") + 1).cast("int").alias("line_count"),
+        F.expr("CAST(close_line - owner.line + 1 AS INT) AS line_count"),
         "initializer_count",
         "subscript_count",
         "accessor_count",
-        F.transform(
-            "members",
-            lambda m: F.struct(m["name"].alias("name"), m["start_line"].alias("start_line"), m["end_line"].alias("end_line")),
-        ).alias("members"),
+        F.expr("transform(members, m -> struct(m.name AS name, m.start_line AS start_line, m.end_line AS end_line)) AS members"),
     )
 
 

@@ -70,6 +70,7 @@ MODIFIERS = (
 NAMED = "func var let class struct enum protocol extension typealias associatedtype actor import".split()
 UNNAMED = "init subscript deinit".split()
 OTHER_NAMED = "operator precedencegroup macro".split()
+_RESERVED = MODIFIERS + NAMED + UNNAMED + OTHER_NAMED
 
 _END = rf"(?!\w|[$]|{_WIDE_CHAR})"
 
@@ -104,7 +105,9 @@ _DECLARED = (
     rf"|precedencegroup|operator|init|subscript|deinit){_END}"
     rf"(?:(?<=func|operator){TRIVIA}++({IDENTIFIER}|(?:(?!/[/*]){OPERATOR_CHAR}|\.)++)"
     rf"|(?<=var|let){BREAK}({_PATTERN})"
-    rf"|(?<=class|struct|enum|protocol|extension|typealias|associatedtype|actor|import|macro|precedencegroup)"
+    rf"|(?:(?<=class|struct|enum|protocol|extension|typealias|associatedtype|import)"
+    # These words are names elsewhere, as in `= actor` with a declaration on the next line.
+    rf"|(?<=actor|macro|precedencegroup)(?!{TRIVIA}++{_any(_RESERVED)}))"
     rf"{TRIVIA}++({IDENTIFIER})"
     # The parameter list is an element of its own, so a cut-out head ends here.
     rf"|(?<=init)(?={BREAK}[?!]?+{BREAK}(?:[(<]|\z))"
@@ -127,7 +130,6 @@ KEYWORDS = (
 # --- plain tokens -----------------------------------------------------------------------
 
 DIRECTIVES = "if elseif else endif warning error sourceLocation".split()
-_RESERVED = MODIFIERS + NAMED + UNNAMED + OTHER_NAMED
 
 
 def _generic(depth: int) -> str:
