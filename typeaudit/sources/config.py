@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,27 +70,33 @@ def default_rules() -> Column:
     )
 
 
-def read_configs(spark: SparkSession, roots: dict[str, str], file_name: str = DEFAULT_FILE) -> DataFrame:
-    """Merged config of each project in ``roots`` (name -> folder); a missing file means defaults."""
-    projects = spark.createDataFrame(
-        [(name, folder.rstrip("/")) for name, folder in roots.items()], "project string, folder string"
-    )
-    # The glob names the file itself: a listing per folder, not a walk of the tree.
-    found = (
-        spark.read.format("binaryFile")
-        .option("ignoreMissingFiles", True)
-        .load([f"{folder.rstrip('/')}/{_globbed(file_name)}" for folder in roots.values()])
-        .select(
-            F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", ""), r"/[^/]*$", "").alias("folder"),
-            F.when(F.is_valid_utf8("content"), F.col("content").cast("string")).otherwise("").alias("config_text"),
-        )
-    )
-    return merge(projects.join(found, "folder", "left"))
+def read_configs(projects: DataFrame, file_name: str = DEFAULT_FILE) -> DataFrame:
+    """Merged config of each row of ``projects(project, folder)``; a missing file means defaults.
 
+    Config files usually have dot names, which Spark's own file listing hides, so each task opens
+    the small files of its projects itself.
+    """
 
-def _globbed(file_name: str) -> str:
-    # A glob that matches only this name, so that an absent file is an empty listing.
-    return f"[{file_name[0]}]{file_name[1:]}"
+    def read(batches):
+        from pyarrow import fs
+
+        def text_of(folder: str) -> str | None:
+            where, path = fs.FileSystem.from_uri(folder)
+            target = f"{path.rstrip('/')}/{file_name}"
+            if where.get_file_info(target).type != fs.FileType.File:
+                return None
+            with where.open_input_stream(target) as stream:
+                content = stream.read()
+            try:
+                return content.decode("utf-8")
+            except UnicodeDecodeError:
+                return ""
+
+        for batch in batches:
+            yield batch.assign(config_text=[text_of(folder) for folder in batch["folder"]])[["project", "config_text"]]
+
+    texts = projects.select("project", "folder").mapInPandas(read, "project string, config_text string")
+    return merge(texts)
 
 
 def with_config(df: DataFrame, configs: DataFrame) -> DataFrame:
