@@ -37,21 +37,24 @@ def _breaks(column: str):
     return F.when(F.col("only_lf"), lf).otherwise(tx.newline_count(F.col(column)))
 
 
-def _by_file(sources: DataFrame) -> DataFrame:
+def _by_file(sources: DataFrame, partitions: int | None) -> DataFrame:
     """Readable files, hashed by file. The partition count is fixed: a file grows many times over
-    when it is cut up, so partitions must not be merged by the size of the raw text."""
+    when it is cut up, so partitions must not be merged by the size of the raw text. Aim at some
+    64 MB of text per partition."""
     spark = sources.sparkSession
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    count = partitions or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     return sources.where(F.col("text").isNotNull()).select(*_FILE, "text").repartition(count, *_FILE)
 
 
-def tokens(sources: DataFrame) -> DataFrame:
+def tokens(sources: DataFrame, partitions: int | None = None) -> DataFrame:
     """Structural elements of every readable file, with running line and nesting counters.
 
     ``line_from`` and ``line_to`` are newline counts before the first and after the last
     character of the element proper, ``line_before`` the one at the end of the previous element.
     """
-    by_file = _by_file(sources).withColumn("only_lf", ~F.col("text").rlike(_OTHER_NEWLINE))
+    by_file = _by_file(sources, partitions).withColumn("only_lf", ~F.col("text").rlike(_OTHER_NEWLINE))
     element = F.regexp_extract_all("text", F.lit(lexis.ELEMENT), F.lit(0))
     cut = by_file.select(*_FILE, "only_lf", F.posexplode(element).alias("pos", "element"))
     # Blanks are trimmed natively; only a comment or a rare blank in front needs the expression.
@@ -226,14 +229,14 @@ def _type_rows(member_rows: DataFrame) -> DataFrame:
     )
 
 
-def extract_all(sources: DataFrame) -> DataFrame:
+def extract_all(sources: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every class and struct with a body; ``line_count`` is null where the body never closes."""
-    return _type_rows(_member_rows(_blocks(tokens(sources))))
+    return _type_rows(_member_rows(_blocks(tokens(sources, partitions))))
 
 
-def extract_types(sources: DataFrame) -> DataFrame:
+def extract_types(sources: DataFrame, partitions: int | None = None) -> DataFrame:
     """The ``types`` table: one row per complete class or struct, in declaration order."""
-    return extract_all(sources).where(F.col("line_count").isNotNull())
+    return extract_all(sources, partitions).where(F.col("line_count").isNotNull())
 
 
 def incomplete_types(sources: DataFrame) -> DataFrame:

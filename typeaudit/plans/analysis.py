@@ -54,17 +54,19 @@ def analyze(
     rules: Sequence[R.Rule] = R.DEFAULT_RULES,
     settings: R.Settings | None = None,
     keep_types: bool = True,
+    partitions: int | None = None,
 ) -> Analysis:
     """Analyze a ``sources`` table.
 
     With ``configs`` each project uses its own switches, thresholds and ignored folders.
     ``keep_types`` writes the extracted types to the shared folder once, since every report
-    starts from them; unset it when a single report is wanted.
+    starts from them; unset it when a single report is wanted. ``partitions`` is the number of
+    tasks of the extraction.
     """
     if configs is not None:
         pruned = cfg.with_config(sources, configs)
         sources = files.prune(pruned, F.col("config_ignored")).drop("config_ignored", "config_rules")
-    types = extract.extract_types(sources)
+    types = extract.extract_types(sources, partitions)
     if keep_types:
         types = materialize(types, "types")
     return analyze_extracted(sources, types, configs, rules, settings)

@@ -352,7 +352,7 @@ snippets AS (
     '// {{ file ' || d.doc_id || {nl} || '@MainActor' || {nl} || 'final class Doc' || d.doc_id || {SUFFIX}[d.doc_id % 5 + 1]
     || ': Base, Other {{' || {nl} || body || {nl} || '}}' || {nl} || '// end }}' || {nl}, {nl}), 1, 12), {nl}) AS snippet
   FROM swift_text s JOIN documents d ON s.path = d.lang || '/' || d.doc_id || '.swift')"""
-    return _with(_DOCUMENT_TYPES, _raw_issues(), _SUPPRESSED, _BEST, source) + f"""SELECT c.path, c.type_ord, rule, {body} AS prompt
+    return _with(_DOCUMENT_TYPES, _raw_issues(large="0", density="1"), _SUPPRESSED, _BEST, source) + f"""SELECT c.path, c.type_ord, rule, {body} AS prompt
 FROM capped c JOIN types t ON t.path = c.path AND t.type_ord = c.type_ord JOIN snippets s ON s.path = c.path
 WHERE request_rank <= 5"""
 

@@ -406,7 +406,9 @@ def request_selection_by_name(spark, sf_dir):
 
 def _prompts(spark, sf_dir, compact: bool) -> DataFrame:
     sources = derived.document_sources(spark, sf_dir)
-    run = analysis.analyze(sources, keep_types=False)
+    # Thresholds low enough for small documents to be worth a request.
+    settings = R.Settings(largeClass=(True, 0), highMethodDensity=(True, 1))
+    run = analysis.analyze(sources, settings=settings, keep_types=False)
     return run.requests(snippet_lines=12, compact=compact).select("path", "type_ord", "rule", "prompt")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from typeaudit import schema
@@ -136,39 +137,44 @@ def summary_report_lines(tables: Tables, size: int = 10, per_file: int = 5) -> D
 
     Sections: 0 title, 1 leaderboard files (by ``file_issues`` descending, then path), 2 totals.
     """
-    top = summary.leaderboard(tables.issues, size)
+    top = summary.leaderboard(tables.issues, size).select(*schema.FILE_KEY, F.col("issue_count").alias("file_issues"))
     # At most `size` rows, fixed by the limit above, so this side is safe to broadcast.
-    of_top = tables.issues.join(F.broadcast(top.select(*schema.FILE_KEY)), schema.FILE_KEY, "left_semi")
-    heads = summary.file_head(of_top, per_file).select(
+    of_top = tables.issues.join(F.broadcast(top), schema.FILE_KEY)
+    by_emission = W.partitionBy(*schema.FILE_KEY).orderBy("type_ord", "rule_ord")
+    heads = of_top.withColumn("position", F.row_number().over(by_emission)).where(F.col("position") <= per_file)
+    # The first row of a file brings its title, the last one its end.
+    nothing = F.array().cast("array<string>")
+    more = F.format_string("   ...and %d more issues", F.col("file_issues") - per_file)
+    ends = F.when(F.col("file_issues") > per_file, F.array(more, F.lit(""))).otherwise(F.array(F.lit("")))
+    is_last = F.col("position") == F.least(F.col("file_issues"), F.lit(per_file))
+    file_lines = F.concat(
+        F.when(F.col("position") == 1, F.array(F.concat(F.lit("📄 "), F.col("file_name")))).otherwise(nothing),
+        F.array(issue_line(True)),
+        F.when(is_last, ends).otherwise(nothing),
+    )
+    files = heads.select("file_issues", *schema.FILE_KEY, "position", F.posexplode(file_lines).alias("ord", "line")).select(
         F.lit(1).alias("section"),
-        F.col("issue_count").alias("file_issues"),
+        "file_issues",
         *schema.FILE_KEY,
-        F.col("position").alias("line_ord"),
-        issue_line(True).alias("line"),
-    )
-
-    def block(df: DataFrame, section: int, lines: Column, *place: Column, start: int = 0) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), *place, F.posexplode(lines).alias("ord", "line")).select(
-            "section", "file_issues", *schema.FILE_KEY, (F.col("ord") + start).alias("line_ord"), "line"
-        )
-
-    of_file = (F.col("issue_count").alias("file_issues"), F.col("project"), F.col("path"))
-    nowhere = (
-        F.lit(None).cast("bigint").alias("file_issues"),
-        F.lit(None).cast("string").alias("project"),
-        F.lit(None).cast("string").alias("path"),
+        # The title, if any, comes first in the row of position 1.
+        (F.col("position") + F.col("ord") - F.when(F.col("position") == 1, 1).otherwise(0)).cast("int").alias("line_ord"),
+        "line",
     )
-    more = F.format_string("   ...and %d more issues", F.col("issue_count") - per_file)
-    tail = F.when(F.col("issue_count") > per_file, F.array(more, F.lit(""))).otherwise(F.array(F.lit("")))
-    totals = summary.summary(tables.found, tables.sources)
     title = F.array(F.lit(""), F.lit(f"🚨 Files With Issues (Top {size})"), F.lit(RULE_LINE))
-    return (
-        block(totals, 0, title, *nowhere)
-        .unionByName(block(top, 1, F.array(F.concat(F.lit("📄 "), F.col("file_name"))), *of_file))
-        .unionByName(heads)
-        .unionByName(block(top, 1, tail, *of_file, start=per_file + 1))
-        .unionByName(block(totals, 2, total_lines(), *nowhere))
+    blocks = F.array(
+        F.struct(F.lit(0).alias("section"), title.alias("lines")),
+        F.struct(F.lit(2).alias("section"), total_lines().alias("lines")),
+    )
+    frame = (
+        summary.summary(tables.found, tables.sources)
+        .select(F.explode(blocks).alias("block"))
+        .select("block.section", F.posexplode("block.lines").alias("line_ord", "line"))
+        .selectExpr(
+            "section", "CAST(NULL AS BIGINT) AS file_issues", "CAST(NULL AS STRING) AS project",
+            "CAST(NULL AS STRING) AS path", "line_ord", "line",
+        )
     )
+    return frame.unionByName(files)
 
 
 def total_lines() -> Column:
