@@ -45,6 +45,15 @@ def test_scan_prunes_ignored_folders_and_suffixes(spark, tree):
     assert files.scan_sources(spark, tree, absolute=True).count() == 0
 
 
+def test_single_file_bypasses_the_ignore_list(spark, tree):
+    path = f"{tree}/Carthage/Build/Lib.swift"
+    rows = files.single_source(spark, path).collect()
+    assert [(r.file_name, r.text) for r in rows] == [("Lib.swift", "class Lib {}")]
+    assert files.single_source(spark, f"{tree}/Sources/Upper.SWIFT").count() == 1
+    with pytest.raises(ValueError, match="must be a .swift file"):
+        files.single_source(spark, f"{tree}/Sources/Notes.txt")
+
+
 def test_unreadable_files_are_kept_with_their_error(spark, tree):
     sources = files.scan_sources(spark, tree)
     assert [r.path.split("/")[-1] for r in files.read_errors(sources).collect()] == ["Broken.swift"]

@@ -43,11 +43,11 @@ def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknow
     if mode != "substring":
         raise ValueError(f"unknown attribution mode: {mode}")
     issue_key = [*schema.TYPE_KEY, "rule_ord"]
-    first_of_name = (
-        types.groupBy(*schema.FILE_KEY, F.col("name").alias("candidate")).agg(F.min("type_ord").alias("matched_ord"))
+    word_key = [*schema.FILE_KEY, "word"]
+    first_of_name = types.groupBy(*schema.FILE_KEY, F.col("name").alias("candidate")).agg(
+        F.min("type_ord").alias("candidate_ord")
     )
     words = issues.select(*issue_key, F.explode(message_words(F.col("message"))).alias("word"))
-    word_key = [*schema.FILE_KEY, "word"]
     # Words shared by all messages of a file collapse before the exchange.
     matched_words = (
         words.select(*word_key)
@@ -55,20 +55,21 @@ def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknow
         .select(*word_key, F.explode(F.array_distinct(_word_parts(F.col("word")))).alias("candidate"))
         .join(first_of_name, [*schema.FILE_KEY, "candidate"])
         .groupBy(*word_key)
-        .agg(F.min("matched_ord").alias("matched_ord"))
+        .agg(F.min(F.struct("candidate_ord", "candidate")).alias("hit"))
     )
-    matched = (
-        words.join(matched_words, word_key).groupBy(*issue_key).agg(F.min("matched_ord").alias("matched_ord"))
-    )
-    first_of_file = types.groupBy(*schema.FILE_KEY).agg(F.min("type_ord").alias("first_ord"))
-    names = types.select(*schema.FILE_KEY, F.col("type_ord").alias("matched_ord"), F.col("name").alias("matched_name"))
+    # Only words with a hit are left, about one per issue.
+    matched = words.join(matched_words, word_key).groupBy(*issue_key).agg(F.min("hit").alias("hit"))
+    first_of_file = types.groupBy(*schema.FILE_KEY).agg(F.min(F.struct("type_ord", "name")).alias("first"))
     return (
         issues.join(matched, issue_key, "left")
         .join(first_of_file, schema.FILE_KEY, "left")
-        .withColumn("matched_ord", F.coalesce("matched_ord", "first_ord"))
-        .drop("first_ord")
-        .join(names, [*schema.FILE_KEY, "matched_ord"], "left")
-        .withColumn("matched_name", F.coalesce("matched_name", F.lit(unknown)))
+        .withColumns(
+            {
+                "matched_ord": F.coalesce("hit.candidate_ord", "first.type_ord"),
+                "matched_name": F.coalesce("hit.candidate", "first.name", F.lit(unknown)),
+            }
+        )
+        .drop("hit", "first")
     )
 
 

@@ -101,6 +101,20 @@ def scan_sources(
     )
 
 
+def single_source(spark: SparkSession, path: str) -> DataFrame:
+    """The ``sources`` table of one file. Ignored folders do not apply; the suffix may be in any case."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    stem, dot, suffix = name.rpartition(".")
+    if not (stem and dot and suffix.lower() == SOURCE_SUFFIX.removeprefix(".")):
+        raise ValueError(NOT_A_SOURCE_FILE)
+    files = spark.read.format("binaryFile").load(path).select(
+        F.regexp_replace("path", _SCHEME, "").alias("path"), "content"
+    )
+    return decode(files).select(
+        F.lit("").alias("project"), "path", tx.base_name(F.col("path")).alias("file_name"), "text", "read_error"
+    )
+
+
 def from_table(files: DataFrame, project: str, path: str, text: str) -> DataFrame:
     """``sources`` from a table that already holds the texts (or raw bytes) of many files."""
     raw = files.select(
