@@ -18,17 +18,12 @@ UNKNOWN_TYPE = "UnknownType"
 UNKNOWN_CLASS = "UnknownClass"
 
 
-def _word_parts(word: Column) -> Column:
-    """All substrings of one word."""
-    size = F.length(word)
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda start: F.transform(
-                F.sequence(F.lit(1), size - start + 1), lambda length: F.substring(word, start, length)
-            ),
-        )
-    )
+def _with_parts(words: DataFrame) -> DataFrame:
+    """A row per substring of ``word``, as ``candidate``. Two generators, so the rows are produced
+    in compiled code and no word holds all its substrings at once."""
+    starts = words.selectExpr("*", "explode(sequence(1, length(word))) AS start")
+    cuts = starts.selectExpr("*", "explode(sequence(1, length(word) - start + 1)) AS size")
+    return cuts.withColumn("candidate", F.expr("substring(word, start, size)")).drop("start", "size")
 
 
 def message_words(message: Column) -> Column:
@@ -50,9 +45,7 @@ def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknow
     words = issues.select(*issue_key, F.explode(message_words(F.col("message"))).alias("word"))
     # Words shared by all messages of a file collapse before the exchange.
     matched_words = (
-        words.select(*word_key)
-        .distinct()
-        .select(*word_key, F.explode(F.array_distinct(_word_parts(F.col("word")))).alias("candidate"))
+        _with_parts(words.select(*word_key).distinct())
         .join(first_of_name, [*schema.FILE_KEY, "candidate"])
         .groupBy(*word_key)
         .agg(F.min(F.struct("candidate_ord", "candidate")).alias("hit"))
