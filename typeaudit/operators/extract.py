@@ -48,14 +48,17 @@ def _by_file(sources: DataFrame, partitions: int | None) -> DataFrame:
     return sources.where(F.col("text").isNotNull()).select(*_FILE, "text").repartition(count, *_FILE)
 
 
-def tokens(sources: DataFrame, partitions: int | None = None) -> DataFrame:
+def tokens(sources: DataFrame, partitions: int | None = None, outline: bool = False) -> DataFrame:
     """Structural elements of every readable file, with running line and nesting counters.
 
+    With ``outline`` the bodies of functions, and other braced groups that can hold no member of a
+    type, stay within the element before them: a method is then one row.
+
     ``line_from`` and ``line_to`` are newline counts before the first and after the last
     character of the element proper, ``line_before`` the one at the end of the previous element.
     """
     by_file = _by_file(sources, partitions).withColumn("only_lf", ~F.col("text").rlike(_OTHER_NEWLINE))
-    element = F.regexp_extract_all("text", F.lit(lexis.ELEMENT), F.lit(0))
+    element = F.regexp_extract_all("text", F.lit(lexis.OUTLINE if outline else lexis.ELEMENT), F.lit(0))
     cut = by_file.select(*_FILE, "only_lf", F.posexplode(element).alias("pos", "element"))
     # Blanks are trimmed natively; only a comment or a rare blank in front needs the expression.
     trimmed = F.ltrim("element", F.lit(" \n\t\r"))
@@ -231,7 +234,7 @@ def _type_rows(member_rows: DataFrame) -> DataFrame:
 
 def extract_all(sources: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every class and struct with a body; ``line_count`` is null where the body never closes."""
-    return _type_rows(_member_rows(_blocks(tokens(sources, partitions))))
+    return _type_rows(_member_rows(_blocks(tokens(sources, partitions, outline=True))))
 
 
 def extract_types(sources: DataFrame, partitions: int | None = None) -> DataFrame:

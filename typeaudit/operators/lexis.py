@@ -100,28 +100,27 @@ _CLASS_MODIFIER = (
 MODIFIER = rf"(?:{_any(MODIFIERS)}(?:\({SPACE}*+\w++{SPACE}*+\))?+|{_CLASS_MODIFIER}|{ATTRIBUTE})"
 
 _PATTERN = rf"(?:{IDENTIFIER}|\({_group(1)}\))"
-_DECLARED = (
-    rf"(func|var|let|class|struct|enum|protocol|extension|typealias|associatedtype|actor|import|macro"
-    rf"|precedencegroup|operator|init|subscript|deinit){_END}"
-    rf"(?:(?<=func|operator){TRIVIA}++({IDENTIFIER}|(?:(?!/[/*]){OPERATOR_CHAR}|\.)++)"
-    rf"|(?<=var|let){BREAK}({_PATTERN})"
-    rf"|(?:(?<=class|struct|enum|protocol|extension|typealias|associatedtype|import)"
+_MODIFIERS = rf"(?:{MODIFIER}{BREAK})*+"
+_ROUTINE = (
+    rf"(?:(func){_END}{TRIVIA}++({IDENTIFIER}|(?:(?!/[/*]){OPERATOR_CHAR}|\.)++)"
+    # The parameter list may be an element of its own, so a cut-out head ends here.
+    rf"|(init){_END}(?={BREAK}[?!]?+{BREAK}(?:[(<]|\z))"
+    rf"|(subscript){_END}(?={BREAK}(?:[(<]|\z))"
+    rf"|(deinit){_END})"
+)
+_PROPERTY = rf"(var|let){_END}{BREAK}({_PATTERN})"
+_CONTAINER = (
+    rf"(?:(class|struct|enum|protocol|extension|typealias|associatedtype|import){_END}{TRIVIA}++({IDENTIFIER})"
     # These words are names elsewhere, as in `= actor` with a declaration on the next line.
-    rf"|(?<=actor|macro|precedencegroup)(?!{TRIVIA}++{_any(_RESERVED)}))"
-    rf"{TRIVIA}++({IDENTIFIER})"
-    # The parameter list is an element of its own, so a cut-out head ends here.
-    rf"|(?<=init)(?={BREAK}[?!]?+{BREAK}(?:[(<]|\z))"
-    rf"|(?<=subscript)(?={BREAK}(?:[(<]|\z))"
-    rf"|(?<=deinit))"
+    rf"|(actor|macro|precedencegroup){_END}(?!{TRIVIA}++{_any(_RESERVED)}){TRIVIA}++({IDENTIFIER})"
+    rf"|(operator){_END}{TRIVIA}++((?:(?!/[/*]){OPERATOR_CHAR}|\.)++))"
 )
-
-# Groups: 1 keyword, 2 function or operator name, 3 binding pattern, 4 type-like name.
-DECLARATION = rf"(?:{MODIFIER}{BREAK})*+{_DECLARED}"
+DECLARATION = rf"{_MODIFIERS}(?:{_ROUTINE}|{_PROPERTY}|{_CONTAINER})"
 
 # Rewrites the head of a declaration to keyword, name and remainder.
 SEPARATOR = "\x01"
 DECLARATION_PARTS = rf"^{DECLARATION}([\s\S]*+)$"
-DECLARATION_REWRITE = f"$1{SEPARATOR}$2$3$4{SEPARATOR}$5"
+DECLARATION_REWRITE = f"$1$3$4$5$6$8$10$12{SEPARATOR}$2$7$9$11$13{SEPARATOR}$14"
 KEYWORDS = (
     "func var let class struct enum protocol extension typealias associatedtype actor import macro precedencegroup "
     "operator init subscript deinit"
@@ -144,17 +143,26 @@ def _flat(depth: int) -> str:
     return rf'[(\[](?:[^()\[\]{{}}"/#]++|{LITERAL}|{COMMENT}|[#/]{inner})*+[)\]]'
 
 
-_PLAIN = (
-    rf"(?:{LITERAL}"
-    rf"|{_flat(2)}"
-    rf"|(?<=[\w`])<{_generic(3)}>"
-    rf"|\.(?:\.++|{SPACE}*+{IDENTIFIER})?+"
-    rf"|(?!{_any(_RESERVED)}){IDENTIFIER}"
-    rf"|\d{_WORD_TAIL}"
-    rf"|(?:(?!/[/*]){OPERATOR_CHAR})++"
-    rf"|#(?!{_any(DIRECTIVES)}){IDENTIFIER}"
-    r"|[:;\\])"
-)
+def _nest(opener: str, depth: int) -> str:
+    """A balanced group of any brackets that declares no class or struct."""
+    inner = "" if depth == 0 else "|" + _nest(r"[({\[]", depth - 1)
+    word = rf"(?!(?:class|struct){_END}{TRIVIA}++[\w`])[A-Za-z_]\w*+"
+    return rf'{opener}(?:[^()\[\]{{}}"/#A-Za-z_]++|{word}|{LITERAL}|{COMMENT}|[#/]{inner})*+[)}}\]]'
+
+
+def _plain(group: str) -> str:
+    return (
+        rf"(?:{LITERAL}"
+        rf"|{group}"
+        rf"|(?<=[\w`])<{_generic(3)}>"
+        rf"|\.(?:\.++|{SPACE}*+{IDENTIFIER})?+"
+        rf"|(?!{_any(_RESERVED)}){IDENTIFIER}"
+        rf"|\d{_WORD_TAIL}"
+        rf"|(?:(?!/[/*]){OPERATOR_CHAR})++"
+        rf"|#(?!{_any(DIRECTIVES)}){IDENTIFIER}"
+        r"|[:;\\])"
+    )
+
 
 # An opening brace takes the accessor keyword that follows it.
 _ACCESSOR_WORDS = "get set willSet didSet _read _modify".split()
@@ -162,11 +170,35 @@ _ACCESSOR = (
     rf"{BREAK}(?:(?:@{IDENTIFIER}(?:\([^()]*+\))?+|(?:mutating|nonmutating){_END}){BREAK})*+{_any(_ACCESSOR_WORDS)}"
 )
 
-_STRUCTURAL = (
-    rf"(?:[}},]|\{{(?:{_ACCESSOR})?+|(?=[a-z@]){DECLARATION}|#{_any(DIRECTIVES)}|{_PLAIN}|[()\[\]]"
-    rf"|@?{IDENTIFIER}|[\s\S])"
-)
+_OPEN = rf"\{{(?:{_ACCESSOR})?+"
+
+
+def _rest(plain: str) -> str:
+    return rf"#{_any(DIRECTIVES)}|{plain}|[()\[\]]|@?{IDENTIFIER}|[\s\S]"
+
+
+def _element() -> str:
+    plain = _plain(_flat(2))
+    structural = rf"(?:[}},]|{_OPEN}|(?=[a-z@]){DECLARATION}|{_rest(plain)})"
+    return rf"\G{BREAK}(?:{structural}(?:{BREAK}{plain})*+|\z)"
+
+
+def _outline() -> str:
+    """Elements with whole bodies in them. A braced group that is no type body, no accessor block and
+    holds no type is plain as well: after the head of a function, initializer or subscript, and
+    after any brace. It is never plain after a type or property, whose braces count."""
+    depth = 5
+    plain = _plain(_nest(r"[(\[]", depth))
+    body = rf"(?:{plain}|(?!\{{{_ACCESSOR}){_nest(chr(92) + '{', depth)})"
+    any_body = rf"(?:{plain}|{_nest(chr(92) + '{', depth)})"
+    declaration = (
+        rf"(?=[a-z@]){_MODIFIERS}(?:{_ROUTINE}(?:{BREAK}{any_body})*+|(?:{_PROPERTY}|{_CONTAINER})(?:{BREAK}{plain})*+)"
+    )
+    others = rf"(?:,|{_rest(plain)})(?:{BREAK}{plain})*+"
+    return rf"\G{BREAK}(?:(?:\}}|{_OPEN})(?:{BREAK}{body})*+|{declaration}|{others}|\z)"
+
 
-ELEMENT = rf"\G{BREAK}(?:{_STRUCTURAL}(?:{BREAK}{_PLAIN})*+|\z)"
+ELEMENT = _element()
+OUTLINE = _outline()
 ACCESSOR_BRACE = rf"^\{{{_ACCESSOR}"
 LEADING = rf"^{TRIVIA}++"
