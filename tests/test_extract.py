@@ -246,3 +246,89 @@ def test_extraction_has_one_exchange_and_no_python(make_sources):
     plan = extract.extract_types(make_sources(a="class A {}"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert "Python" not in plan
+
+
+def random_file(rng):
+    """A file of nested types with the counts its outermost type must get."""
+    def body_line():
+        return rng.choice([
+            'let x = "} class Z { \\(a["k"] ?? "{")"', "if a < b { run { $0 + 1 } } else { stop() }", "// } struct Q {",
+            "for i in 0..<3 { print(i, [1, 2], { x in x }) }", "/* { /* } */ class W { */", "struct Local { var q = 1, r = 2 }",
+            "switch s { case .a(let v): use(v) default: break }", "guard let c = d else { return }", "x = y.class == z",
+        ])
+
+    def block(indent):
+        lines = [indent + body_line() for _ in range(rng.randint(0, 3))]
+        return "{\n" + "".join(line + "\n" for line in lines) + indent + "}"
+
+    methods = properties = accessors = inits = subscripts = 0
+    names, parts = [], []
+    for i in range(rng.randint(0, 9)):
+        kind = rng.choice(["func", "var", "pair", "computed", "observed", "closure", "init", "subscript", "nested", "enum", "if"])
+        if kind == "func":
+            methods += 1
+            names.append(f"f{i}")
+            parts.append(f"  {rng.choice(['', 'private ', '@objc(a) public ', 'class '])}func f{i}(a: Int, b: () -> Void = {{ }}) -> [Int] {block('  ')}")
+        elif kind == "var":
+            properties += 1
+            names.append(f"v{i}")
+            parts.append(f"  let v{i}: Dictionary<String, Set<Int>> = [:]")
+        elif kind == "pair":
+            properties += 2
+            names.append(f"v{i}")
+            parts.append(f"  var v{i} = max(1, 2), w{i}: (Int, Int) = (1, 2)")
+        elif kind == "computed":
+            properties, accessors = properties + 1, accessors + 1
+            names.append(f"v{i}")
+            parts.append(f"  @Lazy var v{i}: Int {block('  ')}")
+        elif kind == "observed":
+            properties, accessors = properties + 1, accessors + 1
+            names.append(f"v{i}")
+            parts.append(f"  var v{i}: Int = make {{ 1 }} {{ didSet {block('  ')} }}")
+        elif kind == "closure":
+            properties += 1
+            names.append(f"v{i}")
+            parts.append(f"  lazy var v{i}: Foo = {block('  ')}()")
+        elif kind == "init":
+            inits += 1
+            names.append("init")
+            parts.append(f"  init?(a: Int, _ b: [String: Int] = [:]) {block('  ')}")
+        elif kind == "subscript":
+            subscripts += 1
+            names.append("subscript")
+            parts.append("  subscript(i: Int) -> Int { get { i } set { } }")
+        elif kind == "nested":
+            names.append("struct")
+            parts.append(f"  struct N{i} {{ var z = 1, y: Int {{ 2 }}; func g() {block('  ')} }}")
+        elif kind == "enum":
+            names.append("enum")
+            parts.append(f"  enum E{i} {{ case a, b; var t: Int {{ 1 }} }}")
+        else:
+            names.append("#if")
+            parts.append(f"  #if DEBUG\n  var d{i} = 1\n  func e{i}() {block('  ')}\n  #endif")
+    text = "// head {\nimport A\nfinal class Outer: Base, P {\n" + rng.choice(["\n", "\n\n", " // x }\n"]).join(parts) + "\n}\nfunc tail() { }\n"
+    return text, (methods, properties, inits, subscripts, accessors), names
+
+
+def test_random_files(spark):
+    """Counts known by construction; and keeping bodies within elements changes nothing."""
+    import random
+
+    rng = random.Random(7)
+    files = {f"f{i}": random_file(rng) for i in range(300)}
+    sources = spark.createDataFrame(
+        [("p", path, text) for path, (text, _, _) in files.items()], "project string, path string, text string"
+    )
+    rows = extract.extract_types(sources).collect()
+    outer = {r.path: r for r in rows if r.name == "Outer"}
+    assert set(outer) == set(files)
+    for path, (text, counts, names) in files.items():
+        r = outer[path]
+        found = (r.method_count, r.property_count, r.initializer_count, r.subscript_count, r.accessor_count)
+        assert found == counts, text
+        assert [m.name for m in r.members] == names, text
+        assert r.line_count == text.count("\n", text.index("final"), text.rindex("}\nfunc tail")) + 1
+        ends = [m.end_line for m in r.members]
+        assert [m.start_line for m in r.members] == [end + 1 for end in [0, *ends[:-1]]][: len(ends)]
+    fine = extract._type_rows(extract._member_rows(extract._blocks(extract.tokens(sources)))).collect()
+    assert {tuple(map(str, r)) for r in fine} == {tuple(map(str, r)) for r in rows}

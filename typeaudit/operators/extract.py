@@ -71,7 +71,7 @@ def tokens(sources: DataFrame, partitions: int | None = None, outline: bool = Fa
         F.expr("first BETWEEN 'a' AND 'z' OR first = '@'"),
         F.regexp_replace("head", lexis.DECLARATION_PARTS, lexis.DECLARATION_REWRITE),
     )
-    # Keyword, name and remainder; a head that was not rewritten has no parts.
+    # Keyword, name and '='; a head that was not rewritten has no parts.
     parted = headed.withColumn("parts", F.split(parts, lexis.SEPARATOR, 3)).withColumn(
         "is_decl", F.expr(f"coalesce(size(parts) = 3 AND parts[0] IN ({_quoted(lexis.KEYWORDS)}), false)")
     )
@@ -85,7 +85,9 @@ def tokens(sources: DataFrame, partitions: int | None = None, outline: bool = Fa
             WHEN first = '#' THEN regexp_extract(head, '^#[a-zA-Z]+', 0) ELSE '' END AS kind"""),
         F.expr("CASE WHEN is_decl THEN parts[0] END AS keyword"),
         F.expr("CASE WHEN is_decl THEN nullif(parts[1], '') END AS name"),
-        F.expr("""CASE WHEN first = '@' THEN '@'
+        # Only members without a name of their own go by their first token.
+        F.expr("""CASE WHEN is_decl AND parts[0] IN ('func', 'var', 'let', 'init', 'subscript') THEN NULL
+            WHEN first = '@' THEN '@'
             WHEN is_decl OR first = '#' THEN regexp_extract(head, '^#?[a-zA-Z_]+', 0) END AS first_token"""),
         F.when(F.expr("first = '{' AND length(head) > 1"), F.col("head").rlike(lexis.ACCESSOR_BRACE))
         .otherwise(False)
@@ -153,63 +155,52 @@ def _blocks(token_rows: DataFrame) -> DataFrame:
 
 
 def _member_rows(block_rows: DataFrame) -> DataFrame:
-    """One row per block part: ordinal 0 is the opening brace, then the members, then the close."""
-    starts = "role IN ('member', 'close')"
-    parts = (
-        block_rows.selectExpr(
-            "*",
-            f"""sum(CASE WHEN {starts} THEN 1 ELSE 0 END) OVER (PARTITION BY project, path, block ORDER BY pos
-                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS member_ord""",
-        )
-        .groupBy(*_BLOCK, "member_ord")
-        .agg(
-            F.expr("max(CASE WHEN role = 'open' THEN owner END) AS owner"),
-            F.expr("count_if(role = 'close') > 0 AS closes"),
-            F.expr("max(keyword) AS keyword"),
-            F.expr("max(name) AS name"),
-            F.expr("max(first_token) AS first_token"),
-            F.expr(f"max(CASE WHEN {starts} THEN line_from END) AS line_from"),
-            F.expr(f"max(CASE WHEN {starts} THEN line_before END) AS line_before"),
-            F.expr("count_if(role = 'comma') AS commas"),
-            F.expr("count_if(role = 'accessor') AS accessors"),
-        )
+    """The opening brace, the members and the closing brace of each body, in order.
+
+    What lies between two of them is the difference of running counts, so all windows share one
+    sort and nothing is grouped.
+    """
+    by_pos = "PARTITION BY project, path, block ORDER BY pos"
+    so_far = f"OVER ({by_pos} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    counted = block_rows.selectExpr(
+        *_BLOCK, "pos", "role", "owner", "keyword", "name", "first_token", "line_from", "line_before",
+        f"sum(CASE role WHEN 'member' THEN 1 ELSE 0 END) {so_far} AS member_ord",
+        f"sum(CASE role WHEN 'comma' THEN 1 ELSE 0 END) {so_far} AS commas",
+        f"sum(CASE role WHEN 'accessor' THEN 1 ELSE 0 END) {so_far} AS accessors",
+    )
+    reaching = counted.where("role IN ('open', 'member', 'close')").selectExpr(
+        "*",
+        f"lead(line_before) OVER ({by_pos}) - line_from + 1 AS reach",
+        f"lead(commas) OVER ({by_pos}) - commas AS own_commas",
+        f"lead(accessors) OVER ({by_pos}) - accessors AS own_accessors",
+    )
+    # A member that nothing follows belongs to a body that never closes.
+    measured = reaching.selectExpr("*", "CASE WHEN role = 'member' THEN reach END AS lines").selectExpr(
+        "*", f"coalesce(sum(lines) OVER ({by_pos} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier"
     )
-    by_ord = "PARTITION BY project, path, block ORDER BY member_ord"
     is_property = f"keyword IN ({_quoted(_PROPERTY_WORDS)})"
-    return (
-        parts.selectExpr(
-            "*",
-            "member_ord > 0 AND NOT closes AS is_member",
-            f"lead(line_before) OVER ({by_ord}) - line_from + 1 AS reach",
-        )
-        .selectExpr("*", "CASE WHEN is_member THEN reach END AS lines")
-        .selectExpr(
-            "*",
-            f"coalesce(sum(lines) OVER ({by_ord} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier",
-        )
-        .selectExpr(
-            *_BLOCK, "member_ord", "owner", "closes", "is_member", "line_from", "keyword",
-            """CASE WHEN keyword IN ('func', 'var', 'let') THEN name
-                 WHEN keyword IN ('init', 'subscript') THEN keyword ELSE first_token END AS member_name""",
-            "CAST(earlier + 1 AS INT) AS start_line",
-            "CAST(greatest(earlier + 1, earlier + lines) AS INT) AS end_line",
-            f"CASE WHEN {is_property} THEN 1 + commas ELSE 0 END AS bindings",
-            f"CASE WHEN {is_property} THEN accessors ELSE 0 END AS accessors",
-        )
+    return measured.selectExpr(
+        *_BLOCK, "member_ord", "owner", "role", "line_from", "keyword",
+        """CASE WHEN keyword IN ('func', 'var', 'let') THEN name
+             WHEN keyword IN ('init', 'subscript') THEN keyword ELSE first_token END AS member_name""",
+        "CAST(earlier + 1 AS INT) AS start_line",
+        "CAST(greatest(earlier + 1, earlier + lines) AS INT) AS end_line",
+        f"CASE WHEN role = 'member' AND {is_property} THEN 1 + own_commas ELSE 0 END AS bindings",
+        f"CASE WHEN role = 'member' AND {is_property} THEN own_accessors ELSE 0 END AS accessors",
     )
 
 
 def _type_rows(member_rows: DataFrame) -> DataFrame:
     """One grouped aggregate per type body; a body without members still has its two braces."""
     grouped = member_rows.groupBy(*_BLOCK).agg(
-        F.expr("max(owner) AS owner"),
-        F.expr("max(CASE WHEN closes THEN line_from END) AS close_line"),
-        F.expr("CAST(count_if(is_member AND keyword = 'func') AS INT) AS method_count"),
+        F.expr("max(CASE WHEN role = 'open' THEN owner END) AS owner"),
+        F.expr("max(CASE WHEN role = 'close' THEN line_from END) AS close_line"),
+        F.expr("CAST(count_if(role = 'member' AND keyword = 'func') AS INT) AS method_count"),
         F.expr("CAST(sum(bindings) AS INT) AS property_count"),
-        F.expr("CAST(count_if(is_member AND keyword = 'init') AS INT) AS initializer_count"),
-        F.expr("CAST(count_if(is_member AND keyword = 'subscript') AS INT) AS subscript_count"),
+        F.expr("CAST(count_if(role = 'member' AND keyword = 'init') AS INT) AS initializer_count"),
+        F.expr("CAST(count_if(role = 'member' AND keyword = 'subscript') AS INT) AS subscript_count"),
         F.expr("CAST(sum(accessors) AS INT) AS accessor_count"),
-        F.expr("""sort_array(collect_list(CASE WHEN is_member
+        F.expr("""sort_array(collect_list(CASE WHEN role = 'member'
                     THEN struct(member_ord, member_name AS name, start_line, end_line) END)) AS members"""),
     )
     # Pre-order of the declarations: an outer type starts before the types inside it.

@@ -117,9 +117,9 @@ _CONTAINER = (
 )
 DECLARATION = rf"{_MODIFIERS}(?:{_ROUTINE}|{_PROPERTY}|{_CONTAINER})"
 
-# Rewrites the head of a declaration to keyword, name and remainder.
+# Rewrites the head of a declaration to keyword, name, and '=' if one follows.
 SEPARATOR = "\x01"
-DECLARATION_PARTS = rf"^{DECLARATION}([\s\S]*+)$"
+DECLARATION_PARTS = rf"^{DECLARATION}[^=]*+(=?+)[\s\S]*+$"
 DECLARATION_REWRITE = f"$1$3$4$5$6$8$10$12{SEPARATOR}$2$7$9$11$13{SEPARATOR}$14"
 KEYWORDS = (
     "func var let class struct enum protocol extension typealias associatedtype actor import macro precedencegroup "
@@ -146,8 +146,9 @@ def _flat(depth: int) -> str:
 def _nest(opener: str, depth: int) -> str:
     """A balanced group of any brackets that declares no class or struct."""
     inner = "" if depth == 0 else "|" + _nest(r"[({\[]", depth - 1)
-    word = rf"(?!(?:class|struct){_END}{TRIVIA}++[\w`])[A-Za-z_]\w*+"
-    return rf'{opener}(?:[^()\[\]{{}}"/#A-Za-z_]++|{word}|{LITERAL}|{COMMENT}|[#/]{inner})*+[)}}\]]'
+    # Runs stop at c and s only, to look for the two words.
+    letter = rf"(?!(?<!\w)(?:class|struct){_END}{TRIVIA}++[\w`])[cs]"
+    return rf'{opener}(?:[^()\[\]{{}}"/#cs]++|{letter}|{LITERAL}|{COMMENT}|[#/]{inner})*+[)}}\]]'
 
 
 def _plain(group: str) -> str:
