@@ -28,13 +28,11 @@ def _quoted(words) -> str:
 
 
 _COMMENT_FIRST = r"^(?:/[/*]|[^\x00-\x7F]|[\x0B\f])"
-_OTHER_NEWLINE = r"[\x0B\f\r\u0085\u2028\u2029]"
 
 
 def _breaks(column: str):
-    """Newline scalars in ``column``; counted by bytes in a file that has no other than LF."""
-    lf = F.octet_length(column) - F.octet_length(F.replace(F.col(column), F.lit("\n"), F.lit("")))
-    return F.when(F.col("only_lf"), lf).otherwise(tx.newline_count(F.col(column)))
+    """Newline scalars in ``column``; the kind of newlines is looked up once per file."""
+    return F.when(F.col("only_lf"), tx.lf_count(F.col(column))).otherwise(tx.newline_count(F.col(column)))
 
 
 def _by_file(sources: DataFrame, partitions: int | None) -> DataFrame:
@@ -57,7 +55,7 @@ def tokens(sources: DataFrame, partitions: int | None = None, outline: bool = Fa
     ``line_from`` and ``line_to`` are newline counts before the first and after the last
     character of the element proper, ``line_before`` the one at the end of the previous element.
     """
-    by_file = _by_file(sources, partitions).withColumn("only_lf", ~F.col("text").rlike(_OTHER_NEWLINE))
+    by_file = _by_file(sources, partitions).withColumn("only_lf", ~F.col("text").rlike(tx.RARE_NEWLINES))
     element = F.regexp_extract_all("text", F.lit(lexis.OUTLINE if outline else lexis.ELEMENT), F.lit(0))
     cut = by_file.select(*_FILE, "only_lf", F.posexplode(element).alias("pos", "element"))
     # Blanks are trimmed natively; only a comment or a rare blank in front needs the expression.
