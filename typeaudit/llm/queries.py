@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeaudit.llm import near_dedup
+from typeaudit.llm import decontaminate, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,3 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_minhash_near_dedup(spark, sf_dir):
     """Links at a similarity of 0.8 on four-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Settings(shingle=4))
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_rules.judged(docs, table(spark, sf_dir, "labels"))
+    return found.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query
+def op9_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.passages(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
