@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeaudit.llm import decontaminate, near_dedup, quality_rules
+from typeaudit.llm import decontaminate, lm_score, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,3 +51,8 @@ def op9_benchmark_decontamination(spark, sf_dir):
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query
+def op2_lm_score(spark, sf_dir):
+    return lm_score.scores(table(spark, sf_dir, "documents"))
