@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeaudit.llm import decontaminate, lm_score, near_dedup, quality_rules
+from typeaudit.llm import decontaminate, lm_score, near_dedup, quality_rules, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,3 +56,9 @@ def op9_benchmark_decontamination(spark, sf_dir):
 @query
 def op2_lm_score(spark, sf_dir):
     return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_suffix_array_dedup(spark, sf_dir):
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
