@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeaudit.llm import decontaminate, lm_score, near_dedup, quality_rules, repeats
+from typeaudit.llm import (
+    decontaminate, lm_score, near_dedup, packing, quality_rules, repeats, sharding, token_counts, token_output, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,3 +64,77 @@ def op2_lm_score(spark, sf_dir):
 def op3_suffix_array_dedup(spark, sf_dir):
     found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_token_output(spark, sf_dir):
+    """Writes the shards of all documents; where each sequence lies."""
+    return token_output.materialize_order(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack(docs).select("row.doc_id", "n_tokens", "piece", "piece_tokens", "bin", "bin_offset")
+
+
+#: Shards of the production layout; the first ones stand on larger machines.
+SHARDS = {f"shard-{i:03d}": 2 if i < 16 else 1 for i in range(96)}
+
+
+@query
+def op6_sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    return sharding.place(docs, SHARDS, fallback=["source", "lang", "n_chars"]).select("row.doc_id", "slot", "shard")
+
+
+RULES = [
+    url_filter.Rule("net/", "block"),
+    url_filter.Rule("example.net/en/", "allow"),
+    url_filter.Rule("example.com/de/", "block"),
+    url_filter.Rule("org/fr/", "allow"),
+]
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    """The list: canonical URLs of which a tracked or paged variant was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    url = F.col("url")
+    tracked = pages.where(url.rlike(r"[?&](utm_source|ref)="))
+    listed = tracked.select(url_filter.canonical(url_filter.host_of(url), url_filter.path_of(url)).alias("canonical"))
+    return url_filter.judge(pages, listed, RULES).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op7_url_filter"] = r"""
+WITH parsed AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), named AS (
+  SELECT *, CASE WHEN host <> '' THEN
+      regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/+|\.html)$', '') END AS canonical
+  FROM parsed
+), rules(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), ranked AS (
+  SELECT n.page_id, n.url, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY n.page_id ORDER BY length(r.host || r.path) DESC) AS k
+  FROM named n JOIN rules r
+    ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+), listed AS (
+  SELECT DISTINCT canonical FROM named WHERE regexp_matches(url, '[?&](utm_source|ref)=') AND canonical IS NOT NULL
+)
+SELECT n.page_id, n.host, n.path, r.rule,
+  coalesce(r.verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM named n
+LEFT JOIN ranked r ON r.page_id = n.page_id AND r.k = 1
+LEFT JOIN listed l ON l.canonical = n.canonical
+"""
+
+
+@query
+def op8_token_counts(spark, sf_dir):
+    return token_counts.by_limit(token_counts.histogram(table(spark, sf_dir, "documents")))
