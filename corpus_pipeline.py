@@ -5,14 +5,67 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from typeaudit.llm import decontaminate, near_dedup, packing, quality_rules, repeats
 from typeaudit.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: The learned rules and the packing are not expressible in SQL; see the tests for the brute-force version.
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the base rule or the rules learned from ``labels`` reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judged(docs, labels).where("kept").select("row.*")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest ``doc_id`` of each group of near copies, once; rows without ``doc_id`` stay."""
+    found = materialize(near_dedup.near_duplicates(docs), "groups")
+    dropped = found.where("doc_id is not null and not kept").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages out of the texts; drops texts of which no word is left."""
+    found = repeats.without_repeats(docs)
+    # A cut may split a character; its other bytes go as well.
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    broken = F.lit("\ufffd")
+    text = F.when(F.contains("row.text", broken), text).otherwise(F.replace(text, broken, F.lit("")))
+    text = F.when(F.col("n_removed") > 0, text).otherwise(F.col("row.text"))
+    cut = found.withColumn("left", text).where((F.col("n_removed") == 0) | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col("left"), "n_chars": F.when(F.col("n_removed") > 0, F.length("left")).otherwise(F.col("row.n_chars"))}
+    kinds = {field.name: field.dataType for field in docs.schema}
+    return cut.select(*(new.get(c, F.col(f"row.`{c}`")).cast(kinds[c]).alias(c) for c in docs.columns))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.passages(docs, benchmark).where(F.size("spans") == 0).select("row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each piece of each document, and its place in a training sequence."""
+    pieces = ["n_tokens", "piece", "piece_tokens", "bin", "bin_offset"]
+    return packing.pack(docs).select("row.doc_id", "row.lang", "row.source", "row.n_chars", *pieces)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", good),
+    ("MinHash near-dedup", distinct),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
+
+#: The learned rules and the packing are not expressible in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
