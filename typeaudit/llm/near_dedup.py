@@ -4,8 +4,9 @@ A document's set is its distinct word shingles. Its signature has ``chunks * wid
 By pigeonhole, of two signatures that differ in fewer than ``chunks * (errors + 1)`` slots some chunk
 pair differs in at most ``errors`` slots; every chunk is therefore indexed once for each choice of
 ``errors`` slots left out, and an equality join on these keys meets all such pairs. A pair at the
-threshold that no chunk catches has a probability of about 2e-6 with the defaults. A second, one-bit
-signature of 128 slots screens what met in a bucket; links are confirmed on the full sets.
+threshold that no chunk catches has a probability of about 2e-6 with the defaults. What met in a bucket is
+screened by a lower bound of the sets' difference: each shingle toggles one of 1,024 bits, so sets differ in at
+least as many shingles as their bits do. Links are confirmed on the full sets.
 
 Scale: texts with equal sets are one node. A bucket is never expanded into its pairs while one pass over
 its rows does the work: in the first rounds each bucket links its rows to one representative, confirmed
@@ -40,13 +41,12 @@ class Settings(NamedTuple):
     chunks: int = 10
     width: int = 5
     errors: int = 1
-    #: One-bit slots of 128 in which a pair may differ; at 80 % some 13 do, more than 32 in one of a million pairs.
-    differing: int = 32
     star_rounds: int = 2
 
 
-SCREEN_SLOTS = 128
-SIGNED = "doc_id long, n_shingles long, d0 long, d1 long, s0 long, s1 long, keys array<long>"
+SCREEN = [f"s{i}" for i in range(16)]
+SCREEN_BITS = 64 * len(SCREEN)
+SIGNED = f"doc_id long, n_shingles long, d0 long, d1 long, {', '.join(f'{s} long' for s in SCREEN)}, keys array<long>"
 SETS = "node long, members array<long>"
 
 
@@ -77,22 +77,24 @@ def _factors(count: int) -> np.ndarray:
     return scan.mix(np.arange(1, count + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _signatures(values: np.ndarray, first: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
-    """Digests, screens and bucket keys of the texts whose set isn't empty."""
-    begin = first[:-1][np.diff(first) > 0]
+def _signatures(values: np.ndarray, first: np.ndarray, settings: Settings) -> tuple[list[np.ndarray], np.ndarray]:
+    """Digests and screens, as columns, and bucket keys of the texts whose set isn't empty."""
+    sizes = np.diff(first)
+    begin, sizes = first[:-1][sizes > 0], sizes[sizes > 0]
     slots = settings.chunks * settings.width
-    factors = _factors(max(slots, SCREEN_SLOTS) + 2)
-    digest = [np.add.reduceat(scan.mix(values ^ f), begin) for f in factors[-2:]]
-    lowest = np.empty((len(begin), max(slots, SCREEN_SLOTS)), np.uint64)
+    factors = _factors(slots + 3)
+    columns = [np.add.reduceat(scan.mix(values ^ f), begin) for f in factors[-2:]]
+    bit = (scan.mix(values ^ factors[-3]) % np.uint64(SCREEN_BITS)).astype(np.int64)
+    tally = np.bincount(np.repeat(np.arange(len(begin)) * SCREEN_BITS, sizes) + bit, minlength=len(begin) * SCREEN_BITS)
+    screen = np.packbits((tally & 1).astype(np.uint8)).view(np.uint64).reshape(len(begin), -1)
+    columns += [np.ascontiguousarray(screen[:, i]) for i in range(len(SCREEN))]
+    lowest = np.empty((len(begin), slots), np.uint64)
     product = np.empty_like(values)
-    for at, factor in enumerate(factors[:-2]):
+    for at, factor in enumerate(factors[:slots]):
         np.multiply(values, factor, out=product)
         lowest[:, at] = np.minimum.reduceat(product, begin)
     # The least product is small; which value it came from decides the bits, so they are mixed anew.
-    lowest = scan.mix(lowest)
-    bits = np.packbits((lowest[:, :SCREEN_SLOTS] & np.uint64(1)).astype(np.uint8), axis=1)
-    screen = np.ascontiguousarray(bits).view(np.uint64)
-    signature = lowest[:, :slots] >> np.uint64(48)
+    signature = scan.mix(lowest) >> np.uint64(48)
     keys = []
     for chunk in range(settings.chunks):
         part = signature[:, chunk * settings.width : (chunk + 1) * settings.width]
@@ -101,7 +103,7 @@ def _signatures(values: np.ndarray, first: np.ndarray, settings: Settings) -> tu
             for slot in set(range(settings.width)) - set(left_out):
                 key = scan.mix(key + part[:, slot] * factors[slot])
             keys.append(key)
-    return digest[0], digest[1], screen[:, 0], screen[:, 1], np.stack(keys, axis=1)
+    return columns, np.stack(keys, axis=1)
 
 
 def _sign(settings: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,23 +112,21 @@ def _sign(settings: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         values, first = shingle_sets(*scan.texts(batch.column("text")), settings.shingle)
         size = np.diff(first)
         some = size > 0
-        row = np.cumsum(some) - 1
         if some.any():
-            d0, d1, s0, s1, keys = _signatures(values, first, settings)
+            columns, keys = _signatures(values, first, settings)
         else:
-            d0 = d1 = s0 = s1 = np.empty(0, np.uint64)
-            keys = np.empty((0, width), np.uint64)
+            columns, keys = [np.empty(0, np.uint64)] * (2 + len(SCREEN)), np.empty((0, width), np.uint64)
 
         def column(of: np.ndarray) -> pa.Array:
             spread = np.zeros(len(size), np.int64)
-            spread[some] = of.view(np.int64)[row[some]]
+            spread[some] = of.view(np.int64)
             return pa.array(spread, mask=~some)
 
         bounds = np.concatenate(([0], np.cumsum(some * width))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1).view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), *map(column, (d0, d1, s0, s1)), lists],
-            ["doc_id", "n_shingles", "d0", "d1", "s0", "s1", "keys"],
+            [batch.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), *map(column, columns), lists],
+            ["doc_id", "n_shingles", "d0", "d1", *SCREEN, "keys"],
         )
 
 
@@ -138,17 +138,19 @@ def _members(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _may_link(a: str, b: str, settings: Settings) -> Column:
-    """Sizes and one-bit signatures that a pair at the threshold can have."""
+    """Sizes and bits that a pair at the threshold can have; no pair at or above it is turned away."""
     col = lambda side, name: F.col(f"{side}.{name}")
     least, most = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
-    apart = sum((F.bit_count(col(a, s).bitwiseXOR(col(b, s))) for s in ("s0", "s1")), F.lit(0))
-    return (least * 100 >= most * settings.percent) & (apart <= settings.differing)
+    apart = sum((F.bit_count(col(a, s).bitwiseXOR(col(b, s))) for s in SCREEN), F.lit(0))
+    # Of sets with the union u and the similarity p, (1 - p) * u shingles are in one only, and na + nb = (1 + p) * u.
+    differing = (col(a, "n") + col(b, "n")) * (100 - settings.percent)
+    return (least * 100 >= most * settings.percent) & (apart * (100 + settings.percent) <= differing)
 
 
 def _stars(rows: DataFrame, number: int, settings: Settings) -> DataFrame:
     """Pairs of each bucket's representative with the bucket's rows of other components."""
     order = F.col("node") if number == 0 else F.xxhash64("node", F.lit(number))
-    heads = rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "comp", "n", "s0", "s1")).alias("head"))
+    heads = rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "comp", "n", *SCREEN)).alias("head"))
     heads = heads.select("key", "head.*").alias("h")
     met = rows.alias("r").join(heads, "key").where(
         (F.col("r.comp") != F.col("h.comp")) & _may_link("r", "h", settings)
@@ -182,10 +184,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     signed = materialize(texts.mapInArrow(lambda it: _sign(settings, it), SIGNED), "signatures")
     nodes = signed.where("d0 is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
     named = signed.join(nodes, ["d0", "d1"])
-    # Of the rows of a node one is enough; repeated rows have equal keys, which distinct pairs absorb.
-    entries = named.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "s0", "s1", F.explode("keys").alias("key"))
+    own = named.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), *SCREEN, "keys")
+    entries = own.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg((F.min("node") < F.max("node")).alias("shared")).where("shared").select("key")
-    buckets = materialize(entries.join(shared, "key"), "buckets")
+    met = entries.join(shared, "key").distinct()
+    buckets = materialize(met.join(own.drop("keys").dropDuplicates(["node"]), "node"), "buckets")
     wanted = buckets.select("node").distinct()
     sets = materialize(
         texts.where("doc_id is not null")
@@ -212,7 +215,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         components = smallest_reachable(links)
         if number < settings.star_rounds:
             rows = buckets.join(components, "node", "left").select(
-                "key", "node", "n", "s0", "s1", F.coalesce("component", "node").alias("comp")
+                "key", "node", "n", *SCREEN, F.coalesce("component", "node").alias("comp")
             )
             apart = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("apart")).where("apart").select("key")
             rows = materialize(rows.join(apart, "key"), "open")
