@@ -4,15 +4,17 @@ Tokens are blank-separated words in lower case and one end. The probability of a
 ``(c(context, word) + strength * p(word after the context without its first word)) / (c(context) + strength)``;
 below the single words stands ``(c(word) + 1) / (tokens + words + 1)``. So each context is a state, each
 counted continuation an arc with the logarithm of this value, and a word without arc takes the failure arc,
-whose weight is ``log(strength / (c(context) + strength))``, to the shorter context. A text is read once from
-left to right; the state is carried and the weights are summed. The state before a text is the one after an end.
+whose weight is ``log(strength / (c(context) + strength))``, to the shorter context. A text is read from left to
+right; the state is carried and the weights are summed. The state before a text is the one after an end. Counted
+grams are closed under leaving out their first or last word, so the state carried to a place is the longest counted
+context that ends there, and the texts of a block take each step of the traversal together.
 
 Scale: the model is as large as the corpus and never in one place. Documents
 are packed, as they are read, into blocks of bounded size, written once. A block counts its own n-grams; the
-counts travel as sorted runs, one row for each block and key range, are summed by key range, and only sums that
-differ from what the block counted itself travel back. Each block then builds the part of the automaton that its
-texts can reach. A key range holds hashes of whole n-grams, so a word with a third of all occurrences is one entry
-of each block, not a group.
+counts travel as sorted runs, one row for each block and key range, are summed by key range, and the sums travel back
+in the order of the block's keys, without them. Each block then builds the part of the automaton that its texts
+reach. A key range holds hashes of whole n-grams, so a word with a third of all occurrences is one entry of each
+block, not a group.
 
 Cases: null and empty texts are one end. A null ``doc_id`` is in no held-out fold and teaches like others; repeated rows
 teach as often as they stand and get equal scores. Columns other than ``doc_id`` and ``text`` are ignored.
@@ -20,7 +22,6 @@ teach as often as they stand and get equal scores. Columns other than ``doc_id``
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -42,7 +43,7 @@ class Settings(NamedTuple):
     folds: int = 7
     held_out: int = 2
     #: Text bytes of a block, and distinct n-grams of a key range, about.
-    block_bytes: int = 6 << 20
+    block_bytes: int = 8 << 20
     range_keys: int = 1 << 19
 
 
@@ -210,99 +211,61 @@ def _count(batches: Iterator[pa.RecordBatch], settings: Settings, ranges: int) -
 
 
 def _sum_range(group: pa.Table) -> pa.Table:
-    """To each block the sums that differ from its own counts; one row more with how many keys were taught."""
+    """To each block the sums of its keys, in their order; one row more with how much was taught."""
     keys = [_unpacked(x) for x in group.column("keys").to_pylist()]
     counts = [_counts_unpacked(x) for x in group.column("counts").to_pylist()]
     distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64)
     single = total[(distinct & np.uint64(3)) == 0]
-    rows = [(0, TOTALS, int((single > 0).sum()).to_bytes(8, "big"), int(single.sum()).to_bytes(8, "big"))]
+    number = group.column("range")[0].as_py()
+    rows = [(number, TOTALS, int((single > 0).sum()).to_bytes(8, "big"), int(single.sum()).to_bytes(8, "big"))]
     begin = 0
-    for number, own_keys, own in zip(group.column("block").to_pylist(), keys, counts, strict=True):
-        sums = total[back[begin : begin + len(own)]]
+    for block, own in zip(group.column("block").to_pylist(), keys, strict=True):
+        rows.append((number, block, None, _counts_packed(total[back[begin : begin + len(own)]])))
         begin += len(own)
-        differ = sums != own
-        if differ.any():
-            rows.append((0, number, _packed(own_keys[differ]), _counts_packed(sums[differ])))
     return _table(rows, _RUN_NAMES, _RUN_KINDS)
 
 
 class Automaton(NamedTuple):
-    """Arcs ``(state * words + word) -> (weight, next state)``, failure arcs, and the weights at the root.
+    """States are the counted contexts; the one of a place is the longest that ends there, so it is carried by place.
 
-    State 0 is the root; the others are the block's counted contexts, shorter ones first.
+    ``arcs[n]`` holds for each place whether the gram of n + 1 words that ends there is an arc, and its weight;
+    ``penalty[n]`` the weight of the failure arc from the context of n words that ends there.
     """
 
-    arcs: dict[int, tuple[float, int]]
-    failure: list[int]
-    penalty: list[float]
-    root: list[float]
-    after: list[int]
-    start: int
+    arcs: list[tuple[np.ndarray, np.ndarray]]
+    penalty: list[np.ndarray]
 
 
 def build(block: Block, every: list[Grams], count_of: list[np.ndarray], tokens: int, types: int, settings: Settings) -> Automaton:
-    """The part of the automaton that the block's texts can reach."""
-    words, strength = len(block.hashes), settings.strength
-    # The probability of each gram's last word after the rest of the gram.
-    probability = [(count_of[0] + 1) / (tokens + types + 1)]
+    """The part of the automaton that the block's texts reach, laid out along them."""
+    strength = settings.strength
     starts = np.repeat(block.first[:-1], np.diff(block.first))
-    # State of a gram as a context; a context that was never counted has none of its own.
-    state_of, failure, penalty, states = [], [0], [0.0], 1
-    for n, gram in enumerate(every[: settings.order - 1]):
-        taught = count_of[n] > 0
-        state = np.zeros(len(gram.keys), np.int64)
-        state[taught] = np.arange(states, states + taught.sum())
-        states += int(taught.sum())
-        if n:
-            last = every[n - 1].of[gram.at]
-            state[~taught] = state_of[n - 1][last[~taught]]
-            failure += state_of[n - 1][last[taught]].tolist()
-        else:
-            failure += [0] * int(taught.sum())
-        penalty += np.log10(strength / (count_of[n][taught] + strength)).tolist()
-        state_of.append(state)
-    arcs: dict[int, tuple[float, int]] = {}
+    # The probability of each gram's last word after the rest of the gram.
+    probability = (count_of[0] + 1) / (tokens + types + 1)
+    arcs = [(np.ones(len(block.ids), bool), np.log10(probability)[block.ids])]
+    penalty = [np.zeros(len(block.ids))]
     for n in range(1, settings.order):
-        gram = every[n]
-        at = gram.at
+        gram, at = every[n], every[n].at
         # The context of the gram that ends at a place ends one place earlier; before a text it is the end alone.
         context = np.where(at == starts[at], 0, every[n - 1].of[np.maximum(at - 1, 0)])
-        shorter = every[n - 1].of[at]
-        total = count_of[n - 1][context]
-        p = (count_of[n] + strength * probability[n - 1][shorter]) / (total + strength)
-        p = np.where(total > 0, p, probability[n - 1][shorter])
-        probability.append(p)
-        counted = np.flatnonzero(count_of[n] > 0)
-        if n + 1 < settings.order:
-            target = state_of[n][counted]
-        else:
-            target = state_of[n - 1][shorter[counted]]
-        codes = state_of[n - 1][context[counted]] * words + block.ids[at[counted]]
-        weights = np.log10(p[counted])
-        arcs.update(zip(codes.tolist(), zip(weights.tolist(), target.tolist(), strict=True), strict=True))
-    after = state_of[0].tolist() if settings.order > 1 else [0] * words
-    return Automaton(arcs, failure, penalty, np.log10(probability[0]).tolist(), after, after[0])
-
-
-def traverse(automaton: Automaton, ids: list[int], words: int) -> float:
-    """One pass over a text's tokens; the state is carried, weights are summed."""
-    arcs, failure, penalty = automaton.arcs, automaton.failure, automaton.penalty
-    state, total = automaton.start, 0.0
-    for word in ids:
-        while True:
-            if state == 0:
-                total += automaton.root[word]
-                state = automaton.after[word]
-                break
-            arc = arcs.get(state * words + word)
-            if arc is not None:
-                total += arc[0]
-                state = arc[1]
-                break
-            total += penalty[state]
-            state = failure[state]
-    return total
+        total, shorter = count_of[n - 1][context], probability[every[n - 1].of[at]]
+        probability = np.where(total > 0, (count_of[n] + strength * shorter) / (total + strength), shorter)
+        there = gram.of >= 0
+        of = np.where(there, gram.of, 0)
+        arcs.append((there & (count_of[n][of] > 0), np.log10(probability)[of]))
+        penalty.append(np.where(there & (total > 0)[of], np.log10(strength / (total + strength))[of], 0.0))
+    return Automaton(arcs, penalty)
+
+
+def traverse(automaton: Automaton) -> np.ndarray:
+    """Weight of each place: from the longest context carried there, failure arcs down to the first context with an arc."""
+    weight = np.zeros(len(automaton.penalty[0]))
+    falling = np.ones(len(weight), bool)
+    for (arc, value), penalty in zip(reversed(automaton.arcs), reversed(automaton.penalty), strict=True):
+        weight += np.where(falling, np.where(arc, value, penalty), 0.0)
+        falling &= ~arc
+    return weight
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -311,22 +274,21 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def _score(group: pa.Table, sums: pa.Table, tokens: int, types: int, settings: Settings) -> pa.Table:
     ids, block = _unpack(group.column("texts")[0].as_py())
     every = grams(block, settings.order)
-    keys, counts = _local_counts(block, every, _teaching(ids, block, settings))
-    for own, total in zip(sums.column("keys").to_pylist(), sums.column("counts").to_pylist(), strict=True):
-        counts[np.searchsorted(keys, _unpacked(own))] = _counts_unpacked(total)
-    count_of = [counts[np.searchsorted(keys, gram.keys)] for gram in every]
+    keys = np.sort(np.concatenate([gram.keys for gram in every]))
+    # The sums come by key range, so in the order of the block's sorted keys.
+    numbers, parts = sums.column("range").to_numpy(), sums.column("counts").to_pylist()
+    totals = np.concatenate([_counts_unpacked(parts[i]) for i in np.argsort(numbers)])
+    count_of = [totals[np.searchsorted(keys, gram.keys)] for gram in every]
     automaton = build(block, every, count_of, tokens, types, settings)
-    single, root = count_of[0][block.ids], np.array(automaton.root)[block.ids]
-    bounds = list(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True))
-    words, places = len(block.hashes), block.ids.tolist()
+    root, first = automaton.arcs[0][1], block.first[:-1]
     return pa.table(
         [
             pa.array(ids, pa.int64()),
             pa.array([is_held_out(i, settings) for i in ids], pa.bool_()),
             pa.array(np.diff(block.first)),
-            pa.array(np.add.reduceat((single > 0).astype(np.int64), block.first[:-1])),
-            pa.array([math.fsum(root[b:e]) for b, e in bounds], pa.float64()),
-            pa.array([traverse(automaton, places[b:e], words) for b, e in bounds], pa.float64()),
+            pa.array(np.add.reduceat((count_of[0] > 0).astype(np.int64)[block.ids], first)),
+            pa.array(np.add.reduceat(root, first)),
+            pa.array(np.add.reduceat(traverse(automaton), first)),
         ],
         names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
     )
@@ -350,7 +312,7 @@ def scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     found = (
         packs.select("block", "texts")
         .groupBy("block")
-        .cogroup(sums.where(F.col("block") != TOTALS).select("block", "keys", "counts").groupBy("block"))
+        .cogroup(sums.where(F.col("block") != TOTALS).select("range", "block", "counts").groupBy("block"))
         .applyInArrow(lambda a, b: _score(a, b, tokens, types, settings), _SCORES)
     )
     return found.select(
