@@ -1,8 +1,7 @@
 """Source text to ``types`` and ``members``.
 
-One row per file is hashed by (project, path) while it is still one compact row; its
-elements are exploded after that, so every later window and aggregate finds its
-distribution in place and the whole extraction has a single exchange. Windows order by
+A file is cut where it was read; only its elements (kind, keyword, name, counters, no text) are hashed by
+(project, path), so the extraction has a single exchange, whose partitions the planner sizes. Windows order by
 position and keep only running frames, so each costs one pass over its (spillable) sort.
 """
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from typeaudit import schema
 from typeaudit.functions import text as tx
-from typeaudit.operators import lexis
+from typeaudit.operators import lexis, nesting
 from typeaudit.operators.classify import category
 
 _TYPE_WORDS = ("class", "struct")
@@ -35,18 +34,18 @@ def _breaks(column: str):
     return F.when(F.col("only_lf"), tx.lf_count(F.col(column))).otherwise(tx.newline_count(F.col(column)))
 
 
-def _by_file(sources: DataFrame, partitions: int | None) -> DataFrame:
-    """Readable files, hashed by file. The partition count is fixed: a file grows many times over
-    when it is cut up, so partitions must not be merged by the size of the raw text. Aim at some
-    64 MB of text per partition."""
-    spark = sources.sparkSession
-    count = partitions or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
-    return sources.where(F.col("text").isNotNull()).select(*_FILE, "text").repartition(count, *_FILE)
+def _by_file(sources: DataFrame, partitions: int | None, close: bool = True) -> DataFrame:
+    """Readable files with regular nesting; dealt out anew only where ``partitions`` is given, for sources
+    that lie in too few partitions to begin with."""
+    files = sources.where(F.col("text").isNotNull()).select(*_FILE, "text")
+    if partitions:
+        files = files.repartition(partitions, *_FILE)
+    return files.withColumn("text", nesting.regular(F.col("text"), close))
 
 
-def tokens(sources: DataFrame, partitions: int | None = None, outline: bool = False) -> DataFrame:
+def tokens(
+    sources: DataFrame, partitions: int | None = None, outline: bool = False, close: bool = True
+) -> DataFrame:
     """Structural elements of every readable file, with running line and nesting counters.
 
     With ``outline`` the bodies of functions, and other braced groups that can hold no member of a
@@ -55,7 +54,7 @@ def tokens(sources: DataFrame, partitions: int | None = None, outline: bool = Fa
     ``line_from`` and ``line_to`` are newline counts before the first and after the last
     character of the element proper, ``line_before`` the one at the end of the previous element.
     """
-    by_file = _by_file(sources, partitions).withColumn("only_lf", ~F.col("text").rlike(tx.RARE_NEWLINES))
+    by_file = _by_file(sources, partitions, close).withColumn("only_lf", ~F.col("text").rlike(tx.RARE_NEWLINES))
     element = F.regexp_extract_all("text", F.lit(lexis.OUTLINE if outline else lexis.ELEMENT), F.lit(0))
     cut = by_file.select(*_FILE, "only_lf", F.posexplode(element).alias("pos", "element"))
     # Blanks are trimmed natively; only a comment or a rare blank in front needs the expression.
@@ -221,20 +220,23 @@ def _type_rows(member_rows: DataFrame) -> DataFrame:
     )
 
 
-def extract_all(sources: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Every class and struct with a body; ``line_count`` is null where the body never closes."""
-    return _type_rows(_member_rows(_blocks(tokens(sources, partitions, outline=True))))
+def extract_all(sources: DataFrame, partitions: int | None = None, close: bool = True) -> DataFrame:
+    """Every class and struct with a body. Unless ``close``, ``line_count`` is null where the body never closes."""
+    return _type_rows(_member_rows(_blocks(tokens(sources, partitions, outline=True, close=close))))
 
 
 def extract_types(sources: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The ``types`` table: one row per complete class or struct, in declaration order."""
-    return extract_all(sources, partitions).where(F.col("line_count").isNotNull())
+    """The ``types`` table: one row per class or struct, in declaration order.
+
+    A body that never closes ends with the file's last token.
+    """
+    return extract_all(sources, partitions)
 
 
 def incomplete_types(sources: DataFrame) -> DataFrame:
-    """Declarations whose closing brace is missing, reported instead of measured."""
+    """The types whose closing brace is missing."""
     return (
-        extract_all(sources)
+        extract_all(sources, close=False)
         .where(F.col("line_count").isNull())
         .select(*schema.TYPE_KEY, "name", F.lit("parse_incomplete").alias("problem"))
     )
