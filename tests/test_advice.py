@@ -181,10 +181,17 @@ def test_responses_and_retries(spark):
         ],
         "request_id string, attempt int, status int, body string, error string",
     )
-    parsed = responses.extract_chat(log)
-    by_id = {(r.request_id, r.attempt): (r.answer, r.error_kind, r.error_message) for r in parsed.collect()}
+    chat = responses.extract_chat(log)
+    by_id = {(r.request_id, r.attempt): (r.answer, r.error_kind, r.error_message) for r in chat.collect()}
     assert by_id["ok", 1] == ("hi", None, None)
-    assert {by_id[name, 1][1] for name in ("number", "empty", "junk")} == {"invalidResponse"}
+    assert {by_id[name, 1][1] for name in ("number", "empty")} == {"invalidResponse"}
+    assert by_id["junk", 1][1:] == ("requestFailed", responses.CHAT_ERROR + responses.NOT_JSON)
+    assert by_id["busy", 2][2] == 'Ollama HTTP 429: {"error":{"message":" slow down "}}'
+    assert by_id["denied", 1][2] == "Ollama HTTP 403: <empty>"
+    assert by_id["offline", 1][2] == "Ollama Error: URL_ERROR -1009: offline"
+    parsed = responses.extract_content(log)
+    by_id = {(r.request_id, r.attempt): (r.answer, r.error_kind, r.error_message) for r in parsed.collect()}
+    assert {by_id[name, 1][1] for name in ("ok", "number", "empty", "junk")} == {"invalidResponse"}
     assert by_id["busy", 2][2] == "HTTP 429: slow down"
     assert by_id["denied", 1][2] == "HTTP 403: <empty>"
     triage = {(r.request_id, r.attempt): (r.retryable, r.retry, r.backoff_seconds) for r in responses.retry_triage(parsed).collect()}
@@ -201,7 +208,9 @@ def test_responses_and_retries(spark):
 
 
 def test_failed_requests_drop_out_of_the_advice(spark):
-    asked = spark.createDataFrame([("ok", "R", "T", "warning"), ("bad", "R", None, "critical")], REQUESTS)
+    asked = spark.createDataFrame(
+        [("ok", "R", "T", "warning"), ("bad", "R", None, "critical"), ("lost", "R", None, "critical")], REQUESTS
+    )
     log = spark.createDataFrame(
         [("ok", 1, 200, '{"choices":[{"message":{"content":"hi"}}]}', None), ("bad", 1, 500, "no", None)],
         "request_id string, attempt int, status int, body string, error string",
@@ -211,8 +220,10 @@ def test_failed_requests_drop_out_of_the_advice(spark):
         ("ok", "R", "T", "warning", responses.CHAT_DIAGNOSIS, "Local (Ollama: m)", "hi")
     ]
     failed = responses.failed_advice(given)
-    text = failed.select(responses.error_text(F.col("error_kind"), F.col("error_message")).alias("t")).first().t
-    assert text == "AI request failed: HTTP 500: no"
+    text = responses.error_text(F.col("error_kind"), F.col("error_message"))
+    assert {r.request_id: r.t for r in failed.select("request_id", text.alias("t")).collect()} == {
+        "bad": "AI request failed: Ollama HTTP 500: no", "lost": "AI request timed out."
+    }
 
 
 def test_provider_plugin(spark, context):

@@ -6,13 +6,13 @@ import pytest
 
 import __spark_entry__ as entry_point
 from typeaudit import session
-from typeaudit.plans import derived
+from typeaudit.plans import derived, oracle, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, SQL = queries.REGISTRY, oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +31,7 @@ def comparable(frame):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

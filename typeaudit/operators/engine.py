@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeaudit import schema
@@ -71,11 +71,10 @@ def analyze_types(
 
 
 def suppress_redundant(all_issues: DataFrame) -> DataFrame:
-    """Suppression on an issue table whose types are no longer at hand: an anti join."""
-    gods = all_issues.where(F.col("rule") == R.GOD_OBJECT).select(*schema.TYPE_KEY).distinct()
+    """Suppression on an issue table whose types are no longer at hand: one window over each type's few issues."""
+    is_god = F.max(F.col("rule") == R.GOD_OBJECT).over(Window.partitionBy(*schema.TYPE_KEY))
     redundant = F.col("rule").isin(*REDUNDANT_WITH_GOD_OBJECT)
-    kept = all_issues.where(redundant).join(gods, schema.TYPE_KEY, "left_anti")
-    return all_issues.where(~redundant).unionByName(kept)
+    return all_issues.withColumn("is_god", is_god).where(~(redundant & F.col("is_god"))).drop("is_god")
 
 
 def count_by_severity(found: DataFrame, severity: str | None = None) -> Column:

@@ -25,6 +25,8 @@ CHAT_TEXT = "$.choices[0].message.content"
 CONTENT_TEXT = "$.candidates[0].content.parts[0].text"
 CHAT_DIAGNOSIS = "Local analysis generated by Ollama."
 CHAT_SOURCE = "Local (Ollama: %s)"
+CHAT_STATUS, CHAT_ERROR = "Ollama HTTP ", "Ollama Error: "
+NOT_JSON = "The data couldn’t be read because it isn’t in the correct format."
 CONTENT_DIAGNOSIS = "AI analysis generated for "
 CONTENT_SOURCE = "Cloud (Gemini: %s)"
 
@@ -40,32 +42,46 @@ def succeeded(status: Column) -> Column:
     return F.coalesce(status.between(200, 299), F.lit(False))
 
 
-def error_message(prefix: str = "HTTP ") -> Column:
-    """Message of a failed attempt: the transport error, or status code and body."""
-    body = F.coalesce("body", F.lit("<empty>"))
-    detail = F.coalesce(tx.trim_blank(string_at(F.col("body"), "$.error.message")), body)
-    by_status = F.concat(F.lit(prefix), F.col("status").cast("string"), F.lit(": "), detail)
-    return F.when(F.col("error").isNotNull(), F.col("error")).when(~succeeded(F.col("status")), by_status)
+def _failed() -> Column:
+    return F.col("error").isNotNull() | ~succeeded(F.col("status"))
 
 
-def parsed(responses: DataFrame, path: str) -> DataFrame:
-    """``responses`` plus ``answer``, ``error_kind`` and ``error_message``."""
-    failed = F.col("error").isNotNull() | ~succeeded(F.col("status"))
-    answer = F.when(~failed, string_at(F.col("body"), path))
+def _status_message(prefix: str, detail: Column) -> Column:
+    return F.concat(F.lit(prefix), F.coalesce(F.col("status").cast("string"), F.lit("?")), F.lit(": "), detail)
+
+
+def extract_chat(responses: DataFrame) -> DataFrame:
+    """``responses`` plus ``answer``, ``error_kind`` and ``error_message`` of the chat endpoint.
+
+    A failed status is reported with the whole body; a body that is no JSON object or array is a failed request.
+    """
+    answer = F.when(~_failed(), string_at(F.col("body"), CHAT_TEXT))
+    kind = F.schema_of_variant(F.try_parse_json("body"))
+    is_json = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+    message = (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit(CHAT_ERROR), F.col("error")))
+        .when(_failed(), _status_message(CHAT_STATUS, F.coalesce("body", F.lit("<empty>"))))
+        .when(~is_json, CHAT_ERROR + NOT_JSON)
+    )
     return responses.withColumn("answer", answer).withColumns(
         {
-            "error_kind": F.when(failed, REQUEST_FAILED).when(F.col("answer").isNull(), INVALID_RESPONSE),
-            "error_message": error_message(),
+            "error_kind": F.when(_failed() | ~is_json, REQUEST_FAILED).when(F.col("answer").isNull(), INVALID_RESPONSE),
+            "error_message": message,
         }
     )
 
 
-def extract_chat(responses: DataFrame) -> DataFrame:
-    return parsed(responses, CHAT_TEXT)
-
-
 def extract_content(responses: DataFrame) -> DataFrame:
-    return parsed(responses, CONTENT_TEXT)
+    """The same of the content endpoint, whose failures name the message in the body if there is one."""
+    answer = F.when(~_failed(), string_at(F.col("body"), CONTENT_TEXT))
+    detail = F.coalesce(tx.trim_blank(string_at(F.col("body"), "$.error.message")), F.col("body"), F.lit("<empty>"))
+    message = F.when(F.col("error").isNotNull(), F.col("error")).when(_failed(), _status_message("HTTP ", detail))
+    return responses.withColumn("answer", answer).withColumns(
+        {
+            "error_kind": F.when(_failed(), REQUEST_FAILED).when(F.col("answer").isNull(), INVALID_RESPONSE),
+            "error_message": message,
+        }
+    )
 
 
 def retryable(kind: Column, message: Column) -> Column:
@@ -107,8 +123,12 @@ def content_advice(requests: DataFrame, parsed_responses: DataFrame, model: str)
 
 
 def _advice(requests: DataFrame, parsed_responses: DataFrame, diagnosis: Column, source: str) -> DataFrame:
-    answers = parsed_responses.select("request_id", "answer", "error_kind", "error_message")
-    return requests.join(answers, "request_id").select(
+    """A request that nobody answered has timed out."""
+    answers = parsed_responses.select("request_id", "answer", "error_kind", "error_message", F.lit(True).alias("answered"))
+    joined = requests.join(answers, "request_id", "left").withColumn(
+        "error_kind", F.when(F.col("answered").isNull(), TIMEOUT).otherwise(F.col("error_kind"))
+    )
+    return joined.select(
         "request_id",
         "rule",
         F.coalesce("type_name", F.lit("UnknownType")).alias("type_name"),

@@ -210,6 +210,13 @@ failures AS (
          CASE kind WHEN 4 THEN 'HTTP 429: busy ' || role WHEN 5 THEN 'HTTP 500: oops ' || role
            WHEN 6 THEN CASE WHEN turn % 2 = 0 THEN 'URL_ERROR -1001: timed out' ELSE 'URL_ERROR -1002: bad address' END
          END AS error_message,
+         CASE WHEN kind BETWEEN 4 AND 7 THEN 'requestFailed' END AS chat_failed,
+         CASE kind WHEN 4 THEN 'Ollama HTTP 429: {"error":{"message":' || to_json(' busy ' || role || '  ') || '}}'
+           WHEN 5 THEN 'Ollama HTTP 500: oops ' || role
+           WHEN 6 THEN 'Ollama Error: '
+             || CASE WHEN turn % 2 = 0 THEN 'URL_ERROR -1001: timed out' ELSE 'URL_ERROR -1002: bad address' END
+           WHEN 7 THEN 'Ollama Error: The data couldn’t be read because it isn’t in the correct format.'
+         END AS chat_message,
          CASE WHEN kind <= 1 THEN text END AS chat, CASE WHEN kind = 2 THEN text END AS content
   FROM log)"""
 
@@ -217,10 +224,10 @@ _TURNS = f"""
 turns AS (
   SELECT request_id, (['LargeClass','HighMethodDensity','GodObject','DataHeavyClass'])[turn % 4 + 1] AS rule,
          CASE WHEN (conv_id + turn) % 9 <> 0 THEN 'Conv' || conv_id || 'Service' END AS type_name,
-         CASE WHEN turn % 2 = 0 THEN 'warning' ELSE 'critical' END AS severity, chat, content, failed, error_message
+         CASE WHEN turn % 2 = 0 THEN 'warning' ELSE 'critical' END AS severity, chat, content, failed, error_message, kind
   FROM failures),
 tiers AS (
-  SELECT request_id, rule, severity, chat, content, failed, error_message,
+  SELECT request_id, rule, severity, chat, content, failed, error_message, kind,
          coalesce(type_name, 'UnknownType') AS asked, coalesce(type_name, 'Type') AS subject
   FROM turns)"""
 
@@ -382,13 +389,15 @@ def _single(rule: str) -> str:
     )
 
 
-_PARSED = "SELECT request_id, attempt, {answer} AS answer, {kind} AS error_kind, coalesce(error_message, '-') AS error_message FROM failures"
+_PARSED = "SELECT request_id, attempt, {answer} AS answer, {kind} AS error_kind, coalesce({message}, '-') AS error_message FROM failures"
 
 
 def _parsed(column: str) -> str:
+    failed, message = ("chat_failed", "chat_message") if column == "chat" else ("failed", "error_message")
     return _with(_LOG) + _PARSED.format(
         answer=f"coalesce({column}, '-')",
-        kind=f"coalesce(failed, CASE WHEN {column} IS NULL THEN 'invalidResponse' END, '-')",
+        message=message,
+        kind=f"coalesce({failed}, CASE WHEN {column} IS NULL THEN 'invalidResponse' END, '-')",
     )
 
 
@@ -542,16 +551,17 @@ FROM capped c JOIN types t ON t.path = c.path AND t.type_ord = c.matched_ord WHE
     s["retry_triage"] = _with(_LOG) + """SELECT request_id, attempt, coalesce(failed, 'invalidResponse') AS error_kind,
   kind = 4 OR (kind = 6 AND turn % 2 = 0) AS retryable, (kind = 4 OR (kind = 6 AND turn % 2 = 0)) AND attempt < 3 AS retry,
   CASE WHEN (kind = 4 OR (kind = 6 AND turn % 2 = 0)) AND attempt < 3 THEN 1 << (attempt - 1) ELSE 0 END AS backoff_seconds
-FROM failures WHERE chat IS NULL"""
+FROM failures WHERE content IS NULL"""
     s["final_attempts"] = _with(_LOG) + """SELECT conv_id::VARCHAR AS request_id, turn AS attempt, coalesce(chat, '-') AS answer,
-  coalesce(failed, CASE WHEN chat IS NULL THEN 'invalidResponse' END, '-') AS error_kind,
-  coalesce(error_message, '-') AS error_message
+  coalesce(chat_failed, CASE WHEN chat IS NULL THEN 'invalidResponse' END, '-') AS error_kind,
+  coalesce(chat_message, '-') AS error_message
 FROM failures QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
     turns = _with(_LOG, _TURNS)
     s["advice_good"] = turns + """SELECT request_id, rule, asked AS type_name, severity, 'Local analysis generated by Ollama.' AS diagnosis,
   'Local (Ollama: coder)' AS model_source, chat AS suggested_refactor FROM tiers WHERE chat IS NOT NULL"""
-    s["advice_failed"] = turns + """SELECT request_id, rule, coalesce(failed, 'invalidResponse') AS error_kind,
-  CASE WHEN failed IS NOT NULL THEN 'AI request failed: ' || error_message
+    s["advice_failed"] = turns + """SELECT request_id, rule,
+  CASE WHEN kind = 3 THEN 'timeout' ELSE coalesce(failed, 'invalidResponse') END AS error_kind,
+  CASE WHEN kind = 3 THEN 'AI request timed out.' WHEN failed IS NOT NULL THEN 'AI request failed: ' || error_message
     ELSE 'AI provider returned an invalid response.' END AS error_text FROM tiers WHERE content IS NULL"""
     s["cascade_local_first"] = _cascade(local=True, cloud=True)
     s["cascade_local_only"] = _cascade(local=True, cloud=False)

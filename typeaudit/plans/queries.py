@@ -510,7 +510,7 @@ def content_extract(spark, sf_dir):
 
 @query
 def retry_triage(spark, sf_dir):
-    triage = responses.retry_triage(responses.extract_chat(_log(spark, sf_dir)))
+    triage = responses.retry_triage(responses.extract_content(_log(spark, sf_dir)))
     pause = F.coalesce(F.col("backoff_seconds").cast("int"), F.lit(0))
     return triage.withColumn("backoff_seconds", pause).drop("error_message")
 
@@ -558,7 +558,10 @@ def advice_good(spark, sf_dir):
 
 @query
 def advice_failed(spark, sf_dir):
-    failed = responses.failed_advice(_content_advice(spark, sf_dir))
+    """Of some requests no answer has arrived."""
+    arrived = _log(spark, sf_dir).where(F.coalesce(~F.col("body").contains('"content":5'), F.lit(True)))
+    answers = responses.extract_content(arrived)
+    failed = responses.failed_advice(responses.content_advice(_turn_requests(spark, sf_dir), answers, "flash"))
     return failed.select(
         "request_id", "rule", "error_kind", responses.error_text(F.col("error_kind"), F.col("error_message")).alias("error_text")
     )
