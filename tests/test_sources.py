@@ -137,7 +137,7 @@ def test_config_files_and_projects(spark, tmp_path):
     projects = spark.createDataFrame(list(roots.items()), "project string, folder string")
     configs = cfg.read_configs(projects, ".audit.json")
     assert configs.count() == 2
-    sources = files.scan_sources(spark, roots["one"]).unionByName(files.scan_sources(spark, roots["two"]))
+    sources = files.scan_sources(spark, roots)
     run = analysis.analyze(sources, configs, keep_types=True)
     assert [(r.project, r.rule) for r in run.issues.orderBy("project", "path").collect()] == [
         ("two", "LargeClass"), ("two", "LargeClass"),
@@ -145,6 +145,42 @@ def test_config_files_and_projects(spark, tmp_path):
     assert run.sources.count() == 3
 
 
+def test_ignored_folders_above_the_root_do_not_count_with_configs(spark, tree):
+    sources = files.scan_sources(spark, tree)
+    configs = cfg.merge(spark.createDataFrame([("app", '{"ignoreDirectories":["Generated"]}')], "project string, config_text string"))
+    run = analysis.analyze(sources, configs, keep_types=False)
+    assert names(run.sources) == ["A.swift", "B.swift", "B.swift", "Broken.swift"]
+    assert {r.relative_path for r in run.sources.collect()} >= {"Sources/A.swift", "Other/B.swift"}
+
+
+def test_no_text_meets_the_configs(spark):
+    sources = spark.createDataFrame([("p", "a/A.swift", "A.swift", "class A {}", None)], "project string, path string, file_name string, text string, read_error string")
+    configs = cfg.merge(spark.createDataFrame([("p", None)], "project string, config_text string"))
+    met = cfg.with_config(sources.select("project", "path"), configs)
+    assert "text" not in met.columns
+    plan = files.prune_by_config(sources, configs)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert ["LeftAnti" in line for line in joins] == [True, False]
+
+
+def test_nested_roots_go_to_the_longest(spark, tree):
+    found = files.scan_sources(spark, {"outer": tree, "inner": f"{tree}/Sources"})
+    rows = {(r.project, r.relative_path) for r in found.where("text is not null").collect()}
+    assert ("inner", "Deep/er/B.swift") in rows and ("outer", "Other/B.swift") in rows and ("outer", "Sources/A.swift") not in rows
+
+
+def test_configs_through_a_file_system_of_the_caller(spark, tmp_path):
+    write(str(tmp_path), "one/.audit.json", '{"rules":{"largeClass":{"threshold":7}}}')
+
+    def opened(folder):
+        from pyarrow import fs
+
+        return fs.LocalFileSystem(), str(tmp_path / folder.removeprefix("store:"))
+
+    projects = spark.createDataFrame([("p", "store:one")], "project string, folder string")
+    assert cfg.read_configs(projects, ".audit.json", opened).first().rules.largeClass.threshold == 7
+
+
 def test_text_helpers(spark):
     def value(column):
         return spark.range(1).select(column.alias("v")).first().v

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 INFO, WARNING, CRITICAL = "info", "warning", "critical"
 
 # Fixed values, equal to the ones existing report consumers expect.
-EMOJI = {INFO: "ℹ️", WARNING: "⚠️", CRITICAL: "\U0001f534"}
+EMOJI = {INFO: "ℹ️", WARNING: "⚠️", CRITICAL: "🔴"}
 LABEL = {INFO: "Info", WARNING: "Warning", CRITICAL: "Critical"}
 DIAGNOSTIC_LEVEL = {INFO: "note", WARNING: "warning", CRITICAL: "error"}
 RANK = {INFO: 0, WARNING: 1, CRITICAL: 2}

@@ -19,15 +19,15 @@ UNKNOWN_CLASS = "UnknownClass"
 
 
 def _with_parts(words: DataFrame) -> DataFrame:
-    """A row per substring of ``word``, as ``candidate``. Two generators, so the rows are produced
-    in compiled code and no word holds all its substrings at once."""
-    starts = words.selectExpr("*", "explode(sequence(1, length(word))) AS start")
-    cuts = starts.selectExpr("*", "explode(sequence(1, length(word) - start + 1)) AS size")
-    return cuts.withColumn("candidate", F.expr("substring(word, start, size)")).drop("start", "size")
+    """A row per substring of ``word`` that is as long as some name of the file, as ``candidate``. Two generators,
+    so the rows are produced in compiled code and no word holds all its substrings at once."""
+    sized = words.selectExpr("*", "explode(filter(sizes, s -> s <= length(word))) AS size")
+    cuts = sized.selectExpr("*", "explode(sequence(1, length(word) - size + 1)) AS start")
+    return cuts.withColumn("candidate", F.expr("substring(word, start, size)")).drop("start", "size", "sizes")
 
 
 def message_words(message: Column) -> Column:
-    """Distinct blank-separated words. A type name never holds a blank, so it lies within one."""
+    """Distinct blank-separated words. A name without blanks lies within one."""
     return F.array_distinct(F.filter(F.split(message, r"\s+"), lambda word: word != ""))
 
 
@@ -42,10 +42,15 @@ def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknow
     first_of_name = types.groupBy(*schema.FILE_KEY, F.col("name").alias("candidate")).agg(
         F.min("type_ord").alias("candidate_ord")
     )
-    words = issues.select(*issue_key, F.explode(message_words(F.col("message"))).alias("word"))
+    # Names in backticks may hold blanks; then the message is taken whole.
+    names = types.groupBy(*schema.FILE_KEY).agg(
+        F.sort_array(F.collect_set(F.length("name"))).alias("sizes"), F.bool_or(F.col("name").rlike(r"\s")).alias("blanks")
+    )
+    texts = F.when(F.col("blanks"), F.array("message")).otherwise(message_words(F.col("message")))
+    words = issues.join(names, schema.FILE_KEY).select(*issue_key, "sizes", F.explode(texts).alias("word"))
     # Words shared by all messages of a file collapse before the exchange.
     matched_words = (
-        _with_parts(words.select(*word_key).distinct())
+        _with_parts(words.select(*word_key, "sizes").distinct())
         .join(first_of_name, [*schema.FILE_KEY, "candidate"])
         .groupBy(*word_key)
         .agg(F.min(F.struct("candidate_ord", "candidate")).alias("hit"))

@@ -8,6 +8,7 @@ cut at the breaks. Everything happens inside the row, without a shuffle.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from typeaudit.functions import severity as sev
@@ -21,6 +22,9 @@ TITLES = {"root_cause": "Root Cause", "refactor_steps": "Refactor Steps", "quick
 COMPACT_LINES = 8
 VERBOSE_LINES = 20
 MORE_HINT = "- ... set AI_VERBOSE=true for full AI text"
+# Heading of a file's suggestions, and the rule between them.
+ADVICE_HEADING = "🤖 AI Suggestions for "
+ADVICE_RULE = "-" * 40
 
 # Cleaned lines are not empty and neither start nor end with LF, so an empty line is free as a mark.
 _BREAK = "\n\n"
@@ -74,8 +78,8 @@ def _bullets(lines: Column) -> Column:
     return F.transform(lines, lambda line: F.concat(F.lit("- "), line))
 
 
-def report(verbose: bool = False) -> Column:
-    """The report text of one ``with_sections`` row."""
+def report(verbose: bool = False, more: str = MORE_HINT) -> Column:
+    """The report text of one ``with_sections`` row; ``more`` is the line under a shortened one."""
     nothing = F.array().cast("array<string>")
     head = F.array(
         F.concat(sev.emoji(F.col("severity")), F.lit(" "), sev.label(F.col("severity")), F.lit(" ["), F.col("rule"), F.lit("]")),
@@ -93,7 +97,7 @@ def report(verbose: bool = False) -> Column:
         unstructured = unstructured & (F.size(name) == 0)
     text = F.col("suggested_refactor")
     short = compact_lines(text, VERBOSE_LINES if verbose else COMPACT_LINES)
-    hint = nothing if verbose else F.when(F.size(short) >= COMPACT_LINES, F.array(F.lit(MORE_HINT))).otherwise(nothing)
+    hint = nothing if verbose else F.when(F.size(short) >= COMPACT_LINES, F.array(F.lit(more))).otherwise(nothing)
     loose = F.when(
         unstructured, F.concat(F.array(F.lit("Suggestion")), _bullets(short), hint, F.array(F.lit("")))
     ).otherwise(nothing)
@@ -101,5 +105,24 @@ def report(verbose: bool = False) -> Column:
     return F.array_join(F.concat(head, *blocks, loose, raw), "\n")
 
 
-def advice_report(advice: DataFrame, verbose: bool = False) -> DataFrame:
-    return with_sections(advice).select("request_id", report(verbose).alias("report"))
+def advice_report(advice: DataFrame, verbose: bool = False, more: str = MORE_HINT) -> DataFrame:
+    return with_sections(advice).select("request_id", report(verbose, more).alias("report"))
+
+
+def file_advice(advice: DataFrame, requests: DataFrame, verbose: bool = False, more: str = MORE_HINT) -> DataFrame:
+    """Per file with suggestions ``project, path, position, line``: a heading, and each suggestion between rules.
+
+    ``requests(request_id, project, path, type_ord, rule_ord)`` tells the file and the order of the suggestions.
+    """
+    texts = advice_report(advice, verbose, more).join(
+        requests.select("request_id", "project", "path", "type_ord", "rule_ord"), "request_id"
+    )
+    in_file = W.partitionBy("project", "path").orderBy("type_ord", "rule_ord")
+    placed = texts.withColumn("number", F.row_number().over(in_file))
+    rule = F.lit(ADVICE_RULE)
+    heading = F.concat(F.lit(ADVICE_HEADING), tx.base_name(F.col("path")))
+    lines = F.when(F.col("number") == 1, F.array(heading, rule, F.col("report"), rule)).otherwise(F.array(F.col("report"), rule))
+    first = F.when(F.col("number") == 1, F.lit(0)).otherwise(F.col("number") * 2)
+    return placed.select("project", "path", first.alias("first"), F.posexplode(lines).alias("at", "line")).select(
+        "project", "path", (F.col("first") + F.col("at")).alias("position"), "line"
+    )

@@ -58,14 +58,14 @@ def analyze(
 ) -> Analysis:
     """Analyze a ``sources`` table.
 
-    With ``configs`` each project uses its own switches, thresholds and ignored folders.
+    With ``configs`` each project uses its own switches, thresholds and ignored folders, which are tested
+    below the scan's root where ``sources`` has a ``relative_path``.
     ``keep_types`` writes the extracted types to the shared folder once, since every report
     starts from them; unset it when a single report is wanted. ``partitions`` is the number of
     tasks of the extraction.
     """
     if configs is not None:
-        pruned = cfg.with_config(sources, configs)
-        sources = files.prune(pruned, F.col("config_ignored")).drop("config_ignored", "config_rules")
+        sources = files.prune_by_config(sources, configs)
     types = extract.extract_types(sources, partitions)
     if keep_types:
         types = materialize(types, "types")

@@ -401,6 +401,18 @@ def _parsed(column: str) -> str:
     )
 
 
+_HEURISTIC_REPORT = f"""SELECT request_id,
+  {_EMOJI} || ' ' || {_LABEL} || ' [' || rule || ']' || chr(10) || 'Type       : ' || type_name || chr(10)
+  || 'Model      : ' || {_LOCAL_SOURCE} || chr(10) || 'Diagnosis  : Analysis of ' || rule || ' violation.' || chr(10) || chr(10)
+  || CASE rule WHEN 'GodObject' THEN 'Refactor Steps' || chr(10) || '- Extract networking logic into a Service class.' || chr(10)
+         || '- Move property-heavy state into a specialized Model or ViewModel.' || chr(10) || '- Use a Coordinator for navigation logic.'
+       WHEN 'LargeClass' THEN 'Refactor Steps' || chr(10) || '- Identify distinct functional blocks and move them to separate files.' || chr(10)
+         || '- Use composition instead of inheritance to share logic.' || chr(10)
+         || '- Audit methods: if a method doesn''t use class state, move it to a Utility.'
+       ELSE 'Suggestion' || chr(10) || '- Local analysis suggests reviewing the SRP (Single Responsibility Principle) for ' || type_name || '.'
+     END || chr(10) AS report FROM capped"""
+
+
 def statements() -> dict[str, str]:
     best = _with(_DERIVED, _raw_issues(), _SUPPRESSED, _BEST)
     s: dict[str, str] = {}
@@ -571,16 +583,18 @@ FROM failures QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC
         "SELECT doc_id::VARCHAR AS request_id, section, line_ord, line FROM section_lines"
     )
     s["advice_report"], s["advice_report_verbose"] = _report(False), _report(True)
-    s["advice_report_heuristic"] = best + f"""SELECT request_id,
-  {_EMOJI} || ' ' || {_LABEL} || ' [' || rule || ']' || chr(10) || 'Type       : ' || type_name || chr(10)
-  || 'Model      : ' || {_LOCAL_SOURCE} || chr(10) || 'Diagnosis  : Analysis of ' || rule || ' violation.' || chr(10) || chr(10)
-  || CASE rule WHEN 'GodObject' THEN 'Refactor Steps' || chr(10) || '- Extract networking logic into a Service class.' || chr(10)
-         || '- Move property-heavy state into a specialized Model or ViewModel.' || chr(10) || '- Use a Coordinator for navigation logic.'
-       WHEN 'LargeClass' THEN 'Refactor Steps' || chr(10) || '- Identify distinct functional blocks and move them to separate files.' || chr(10)
-         || '- Use composition instead of inheritance to share logic.' || chr(10)
-         || '- Audit methods: if a method doesn''t use class state, move it to a Utility.'
-       ELSE 'Suggestion' || chr(10) || '- Local analysis suggests reviewing the SRP (Single Responsibility Principle) for ' || type_name || '.'
-     END || chr(10) AS report FROM capped"""
+    s["advice_report_heuristic"] = best + _HEURISTIC_REPORT
+    s["advice_report_files"] = best + f"""SELECT project, path, place AS position,
+  CASE WHEN place = 0 THEN '🤖 AI Suggestions for ' || regexp_replace(path, '^.*/', '') WHEN place % 2 = 1 THEN repeat('-', 40) ELSE report END AS line
+FROM (SELECT project, path, report, unnest(CASE WHEN n = 1 THEN [0, 1, 2, 3] ELSE [2 * n, 2 * n + 1] END) AS place
+  FROM (SELECT c.project, c.path, r.report, row_number() OVER (PARTITION BY c.project, c.path ORDER BY c.type_ord, c.rule_ord) AS n
+    FROM capped c JOIN ({_HEURISTIC_REPORT}) r ON r.request_id = c.request_id))"""
+    s["advice_after_failure"] = best + f"""SELECT request_id, rule, type_name, severity, 'Analysis of ' || rule || ' violation.' AS diagnosis,
+  'Local Heuristics (Fallback from Qwen2.5-Coder-7B-Instruct)' AS model_source, {_advice('rule', 'type_name')} AS suggested_refactor FROM capped"""
+    s["types_nested"] = """SELECT doc_id::VARCHAR AS path, 0 AS type_ord, 'T' || doc_id AS name, 1 AS method_count, 2 AS property_count,
+  6 AS line_count FROM documents"""
+    s["types_unclosed"] = """SELECT doc_id::VARCHAR AS path, 0 AS type_ord, 'U' || doc_id AS name, (doc_id % 7)::INTEGER AS method_count,
+  1 AS property_count, (2 + doc_id % 7)::INTEGER AS line_count FROM documents"""
     s["compact_lines"] = _with(_ADVICE_LINES) + (
         "SELECT d.doc_id::VARCHAR AS request_id, coalesce(piped, '') AS compact FROM documents d"
         " LEFT JOIN compacted c ON c.doc_id = d.doc_id"

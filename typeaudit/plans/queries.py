@@ -346,6 +346,33 @@ def types(spark, sf_dir):
     return extract.extract_types(derived.document_sources(spark, sf_dir)).withColumn("members", _member_text())
 
 
+def _built_types(spark, sf_dir, text) -> DataFrame:
+    """Types of one source text per document."""
+    built = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), text.alias("text"))
+    found = extract.extract_types(files.from_table(built, "id", "id", "text"))
+    return found.select("path", "type_ord", "name", "method_count", "property_count", "line_count")
+
+
+@query
+def types_nested(spark, sf_dir):
+    """Generic clauses, comments, raw literals and groups, nested to a depth that varies by document."""
+    depth = (F.col("doc_id") % 40 + 1).cast("int")
+    times = lambda part, n: F.repeat(F.lit(part), n)
+    text = F.concat(
+        F.lit("class T"), F.col("doc_id"), F.lit(" {\n  var a: "), times("A<", depth), F.lit("Int, Int"), times(">", depth),
+        F.lit("\n  "), times("/*", depth), F.lit(" { "), times("*/", depth), F.lit("\n  let b = "), times("#", depth + 1),
+        F.lit('"}"'), times("#", depth + 1), F.lit("\n  func f() { "), times("(", depth), F.lit("1, 2"), times(")", depth), F.lit(" }\n}"),
+    )
+    return _built_types(spark, sf_dir, text)
+
+
+@query
+def types_unclosed(spark, sf_dir):
+    """A type that never closes, with as many methods as the document's number says, and a remark at the end."""
+    methods = F.repeat(F.lit('  func f() { "}" }\n'), (F.col("doc_id") % 7).cast("int"))
+    return _built_types(spark, sf_dir, F.concat(F.lit("struct U"), F.col("doc_id"), F.lit(" {\n  var a = 1\n"), methods, F.lit("// }\n")))
+
+
 @query
 def members(spark, sf_dir):
     return extract.members(extract.extract_types(derived.document_sources(spark, sf_dir)))
@@ -642,6 +669,19 @@ def advice_report_heuristic(spark, sf_dir):
     return sections.advice_report(heuristics.local_advice(_all_requests(spark, sf_dir)))
 
 
+@query
+def advice_report_files(spark, sf_dir):
+    """The fixed advice of each file, under the file's name and between rules."""
+    asked = _all_requests(spark, sf_dir)
+    return sections.file_advice(heuristics.local_advice(asked), asked)
+
+
+@query
+def advice_after_failure(spark, sf_dir):
+    """The fixed advice where a model was asked and failed."""
+    return _advice_columns(heuristics.local_advice(_all_requests(spark, sf_dir), after_failure=True))
+
+
 @query
 def compact_lines(spark, sf_dir):
     advice = _free_text_advice(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,18 +72,26 @@ def default_rules() -> Column:
     )
 
 
-def read_configs(projects: DataFrame, file_name: str = DEFAULT_FILE) -> DataFrame:
+def _open(folder: str):
+    """Arrow's file system of a folder, and the path in it. ``s3a`` is Hadoop's name of ``s3``."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3" + folder[3:] if folder.startswith("s3a://") else folder)
+
+
+def read_configs(projects: DataFrame, file_name: str = DEFAULT_FILE, opened: Callable = _open) -> DataFrame:
     """Merged config of each row of ``projects(project, folder)``; a missing file means defaults.
 
     Config files usually have dot names, which Spark's own file listing hides, so each task opens
-    the small files of its projects itself.
+    the small files of its projects itself, through ``opened``: a folder to an Arrow file system and a path.
+    Where the texts are in a table ``(project, config_text)`` already, give that to ``merge``.
     """
 
     def read(batches):
         from pyarrow import fs
 
         def text_of(folder: str) -> str | None:
-            where, path = fs.FileSystem.from_uri(folder)
+            where, path = opened(folder)
             target = f"{path.rstrip('/')}/{file_name}"
             if where.get_file_info(target).type != fs.FileType.File:
                 return None

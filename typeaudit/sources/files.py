@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeaudit.functions import text as tx
-from typeaudit.sources.config import DEFAULT_IGNORED
+from typeaudit.sources.config import DEFAULT_IGNORED, with_config
 
 SOURCE_SUFFIX = ".swift"
 
@@ -69,6 +69,18 @@ def prune_by_table(files: DataFrame, ignored: DataFrame, path: str = "path") ->
     return files.join(hits.select("project", path).distinct(), ["project", path], "left_anti")
 
 
+def prune_by_config(sources: DataFrame, configs: DataFrame) -> DataFrame:
+    """Drop the files below the ignored folders of their project's config.
+
+    Only keys and paths meet the configs; what they drop is anti-joined, so texts move at most where many files are
+    dropped.
+    """
+    path = "relative_path" if "relative_path" in sources.columns else "path"
+    keys = sources.select("project", "path", F.col(path).alias("tested"))
+    dropped = with_config(keys, configs).where(is_ignored(F.col("tested"), F.col("config_ignored")))
+    return sources.join(dropped.select("project", "path"), ["project", "path"], "left_anti")
+
+
 def decode(files: DataFrame) -> DataFrame:
     """Binary ``content`` to ``text``; bytes that are not UTF-8 give ``read_error`` and no text."""
     valid = F.is_valid_utf8(F.col("content"))
@@ -82,22 +94,30 @@ def decode(files: DataFrame) -> DataFrame:
 
 def scan_sources(
     spark: SparkSession,
-    root: str,
+    root: str | dict[str, str],
     project: Column | None = None,
     ignored: Column | None = None,
     absolute: bool = False,
     suffix: str = SOURCE_SUFFIX,
 ) -> DataFrame:
-    """The ``sources`` table of everything below ``root``.
+    """The ``sources`` table of everything below ``root``, with the path below it as ``relative_path``.
 
-    ``project`` names the project of a row; by default the whole root is one project. Folders
+    ``root`` may map the names of many projects to their roots; of roots that hold one another, the longest
+    has the file. ``project`` names the project of a row; by default a root is one project. Folders
     are tested below the root unless ``absolute`` is set, which also tests the folders above it.
     """
-    inside = below_root(F.col("path"), root)
-    kept = prune(list_files(spark, root, suffix), ignored, None if absolute else inside)
-    label = F.lit(root.rstrip("/").rsplit("/", 1)[-1]) if project is None else project
+    roots = root if isinstance(root, dict) else {root.rstrip("/").rsplit("/", 1)[-1]: root}
+    longest = sorted(((re.sub(_SCHEME, "", r).rstrip("/") + "/", name) for name, r in roots.items()), key=lambda x: -len(x[0]))
+    known = F.array(*[F.struct(F.lit(prefix).alias("prefix"), F.lit(name).alias("name")) for prefix, name in longest])
+    owner = F.get(F.filter(known, lambda r: F.col("path").startswith(r["prefix"])), F.lit(0))
+    found = list_files(spark, list(roots.values()), suffix).withColumn("owner", owner)
+    inside = F.when(
+        F.col("owner").isNotNull(), F.substring(F.col("path"), F.length("owner.prefix") + 1, F.lit(1 << 30))
+    ).otherwise(F.col("path"))
+    kept = prune(found.withColumn("relative_path", inside), ignored, None if absolute else F.col("relative_path"))
+    label = F.coalesce("owner.name", F.lit("")) if project is None else project
     return decode(kept).select(
-        label.alias("project"), "path", tx.base_name(F.col("path")).alias("file_name"), "text", "read_error"
+        label.alias("project"), "path", tx.base_name(F.col("path")).alias("file_name"), "text", "read_error", "relative_path"
     )
 
 
