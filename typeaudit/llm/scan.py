@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
@@ -77,7 +78,7 @@ def texts(array: pa.Array) -> Texts:
 
 def _buffers(array: pa.Array) -> Texts:
     if array.null_count:
-        array = pa.compute.fill_null(array, b"" if pa.types.is_binary(array.type) else "")
+        array = pc.fill_null(array, b"" if pa.types.is_binary(array.type) else "")
     wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)
