@@ -31,6 +31,23 @@ def test_running_summary_over_arriving_files(spark, tmp_path):
     # Only the new file is read; the counters of the earlier ones stay.
     assert run() == (3, 3, 3, 2)
     assert run() == (3, 3, 3, 2)
+    for number in range(4):
+        add(f"D{number}.swift", 12)
+        assert run() == (4 + number, 4 + number, 4 + number, 2)
+    assert len([name for name in os.listdir(out) if name.startswith("batch=")]) == 2
+
+
+def test_a_replayed_batch_counts_once(spark, tmp_path):
+    root, out = tmp_path / "src", str(tmp_path / "out")
+    root.mkdir()
+    (root / "A.swift").write_text("class A {}")
+    arriving = files.decode(stream.file_stream(spark, str(root))).select(
+        F.lit("p").alias("project"), "path", F.lit("f").alias("file_name"), "text", "read_error"
+    )
+    for checkpoint in ("first", "again"):
+        # A new checkpoint gives the same batch the same number, as a restart before its commit does.
+        stream.start_summary(arriving, out, str(tmp_path / checkpoint)).awaitTermination()
+        assert stream.summary_so_far(spark, out).first().total_files == 1
 
 
 def test_rules_run_on_a_stream_of_types(spark, make_types, tmp_path):

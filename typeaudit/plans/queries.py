@@ -15,7 +15,7 @@ from typeaudit.operators import (
 )
 from typeaudit.operators import rules as R
 from typeaudit.plans import analysis, derived
-from typeaudit.session import new_shared_path
+from typeaudit.session import new_shared_path, remove_shared_path
 from typeaudit.sinks import reports
 from typeaudit.sources import config as cfg
 from typeaudit.sources import files
@@ -403,7 +403,11 @@ def stream_summary(spark, sf_dir):
     out, checkpoint = new_shared_path(spark, "stream-summary"), new_shared_path(spark, "stream-checkpoint")
     running = stream.start_summary(derived.as_document_sources(arriving), out, checkpoint)
     running.awaitTermination()
-    return stream.summary_so_far(spark, out)
+    total = stream.summary_so_far(spark, out)
+    row = total.collect()
+    for folder in (out, checkpoint):
+        remove_shared_path(spark, folder)
+    return spark.createDataFrame(row, total.schema)
 
 
 # --- advice -----------------------------------------------------------------------------

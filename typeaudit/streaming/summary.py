@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from typeaudit.functions import severity as sev
 from typeaudit.operators import engine, extract
 from typeaudit.operators import rules as R
-from typeaudit.operators.summary import COUNTERS, summary
+from typeaudit.operators.summary import COUNTERS
 
 
 def file_stream(spark: SparkSession, root: str, suffix: str = ".swift") -> DataFrame:
@@ -48,25 +48,48 @@ def start_summary(
     settings: R.Settings | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Analyze each micro-batch of a ``sources`` stream and write its counters to ``out``.
+    """Analyze each micro-batch of a ``sources`` stream and add its counters to those in ``out``.
 
     A file is one row, so each batch is complete for its files and the extraction windows may run
-    on it. A batch writes to a folder named after its id and overwrites it when replayed, so the
-    sum over ``out`` counts every file exactly once, also after a restart.
+    on it; files are counted while they pass. A batch writes the counters of everything so far to a folder named after
+    its id: those of the batch before, and its own. Replayed, it starts from the same ones and overwrites
+    its folder, so every file counts exactly once, also after a restart. Two folders are kept.
     """
     spark = sources.sparkSession
-    empty = spark.createDataFrame([], ", ".join(f"{name} bigint" for name in COUNTERS))
-    empty.write.mode("ignore").parquet(f"{out}/batch=none")
+    shape = ", ".join(f"{name} bigint" for name in COUNTERS)
+    spark.createDataFrame([[0] * len(COUNTERS)], shape).write.mode("ignore").parquet(f"{out}/batch=-1")
 
     def analyze(batch: DataFrame, batch_id: int) -> None:
-        found = engine.evaluate(extract.extract_types(batch), rules, settings)
-        counters = summary(found, batch)
-        counters.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        seen = Observation()
+        counted = batch.observe(seen, F.count("*").alias("total_files"))
+        found = engine.evaluate(extract.extract_types(counted), rules, settings)
+        own = type_totals(found).first().asDict() | seen.get
+        before = _latest(spark, out, batch_id).first()
+        total = [int(own[name]) + before[name] for name in COUNTERS]
+        spark.createDataFrame([total], shape).coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        _keep(spark, out, batch_id)
 
     writer = sources.writeStream.foreachBatch(analyze).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _latest(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    rows = spark.read.parquet(out)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    return rows.agg(*[F.max_by(name, "batch").alias(name) for name in COUNTERS])
+
+
+def _keep(spark: SparkSession, out: str, batch_id: int) -> None:
+    """Remove the folders of batches before the last one; a replay reads no others."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < batch_id - 1:
+            system.delete(status.getPath(), True)
+
+
 def summary_so_far(spark: SparkSession, out: str) -> DataFrame:
     """The counters of all files seen by :func:`start_summary`."""
-    return spark.read.parquet(out).agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in COUNTERS])
+    return _latest(spark, out)
