@@ -101,15 +101,23 @@ class _Scan:
             return
         before = at - 1
         live = np.flatnonzero((before >= 0) & self.wanted[np.maximum(before, 0)])
-        symbols = self.text[before[live]].astype(np.int64)
+        symbols = self.text[before[live]]
+        # Short integers are sorted by their digits.
         order = np.argsort(symbols, kind="stable")
-        live, symbols = live[order], symbols[order]
+        live, symbols = live[order], symbols[order].astype(np.int64)
         begin, length = scan.runs(symbols)
+        entries = np.empty(len(live), ENTRY)
+        entries["at"] = before[live]
+        heads = symbols[begin]
+        entries["common"] = self._common(common, live, begin, length, heads) if self.depth else 0
+        for symbol, b, n in zip(heads.tolist(), begin.tolist(), length.tolist(), strict=True):
+            self.queues.put(symbol, entries[b : b + n])
+
+    def _common(self, common: np.ndarray, live: np.ndarray, begin: np.ndarray, length: np.ndarray, heads: np.ndarray) -> np.ndarray:
         low = np.empty(len(live), np.int64)
         low[1:] = live[:-1] + 1
         low[begin] = 0
         since = _least(common, low, live)
-        heads = symbols[begin]
         since[begin] = np.minimum(since[begin], self.passed[heads])
         joined = np.minimum(since + 1, self.depth)
         joined[begin[self.empty[heads]]] = 0
@@ -120,10 +128,7 @@ class _Scan:
         tail[inner] = _least(common, last[inner] + 1, np.full(inner.sum(), len(common) - 1))
         self.passed[heads] = tail
         self.empty[heads] = False
-        entries = np.empty(len(live), ENTRY)
-        entries["at"], entries["common"] = before[live], joined
-        for symbol, b, n in zip(heads.tolist(), begin.tolist(), length.tolist(), strict=True):
-            self.queues.put(symbol, entries[b : b + n])
+        return joined
 
 
 def _agree(text: np.ndarray, a: int, b: int, depth: int) -> int:
@@ -139,7 +144,8 @@ def _chunks(*arrays: np.ndarray):
 
 
 def induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, and common prefixes (``depth`` at most), from the ordered leftmost S suffixes."""
+    """All suffixes in order, and common prefixes (``depth`` at most; 0: none are kept), from the ordered leftmost
+    S suffixes."""
     size = len(text)
     star_end = np.searchsorted(text[stars], np.arange(SYMBOLS + 1))
     order, shared = array(size, np.int64), array(size, np.int64)
@@ -196,10 +202,8 @@ def _types(text: np.ndarray) -> np.ndarray:
 def _rank(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of a string of names, by doubling; names stand for two symbols or more."""
     rank, reach = names.astype(np.int64), 1
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if 2 * reach >= depth or (len(rank) and rank[order][-1] == len(rank) - 1 and np.all(np.diff(rank[order]))):
-            return order
+    order = np.argsort(rank, kind="stable")
+    while 2 * reach < depth and rank.max() < len(rank) - 1:
         behind = np.zeros(len(rank), np.int64)
         behind[:-reach or None] = rank[reach:] + 1
         pair = rank * (len(rank) + 2) + behind
@@ -208,6 +212,7 @@ def _rank(names: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(len(rank), np.int64)
         rank[order] = np.repeat(np.arange(len(begin)), length)
         reach *= 2
+    return order
 
 
 def _shared_by_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -233,7 +238,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         stars = np.array([len(text) - 1])
     zeros = np.zeros(len(stars), np.int64)
     by_symbol = stars[np.argsort(text[stars], kind="stable")]
-    rough, _ = induce(text, small, by_symbol, zeros, 1)
+    rough, _ = induce(text, small, by_symbol, zeros, 0)
     is_star = np.zeros(len(text), bool)
     is_star[stars] = True
     sorted_stars = rough[is_star[rough]]

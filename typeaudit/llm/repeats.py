@@ -10,7 +10,7 @@ places, so windows are compared only with those of the same anchor string:
    induced sorting (``induced.py``); neighbours with ``window`` common bytes are repeated;
 4. the repeated windows go back to the texts that hold them, and the bytes they cover are removed.
 
-Scale: steps 1 and 2 move some 30 bytes for each 85 bytes of text, and counts are partial sums, so copies of one text or a passage
+Scale: steps 1 and 2 move some 30 bytes for each 70 bytes of text, and counts are partial sums, so copies of one text or a passage
 in a third of all rows reduce before they move. Step 3 holds distinct runs only, streams them to disk-backed arrays, and a
 shard may exceed memory. A text is never split, nor are two compared.
 
@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ from typeaudit.session import materialize
 
 class Settings(NamedTuple):
     window: int = 200
-    core: int = 32
+    core: int = 64
     #: Bytes of runs in a shard, about.
     shard_bytes: int = 4 << 20
 
@@ -90,7 +91,7 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     for batch in (part for whole in batches for part in scan.slices(whole, "text")):
         data, offsets = scan.texts(batch.column("text"))
         wanted = batch.column("wanted")
-        parents = pa.compute.list_parent_indices(wanted).to_numpy(zero_copy_only=False)
+        parents = pc.list_parent_indices(wanted).to_numpy(zero_copy_only=False)
         flat = wanted.flatten()
         low, high = (flat.field(name).to_numpy() for name in ("low", "high"))
         begin, end = offsets[parents] + low, offsets[parents] + high + window
@@ -161,8 +162,8 @@ def _remove(batches: Iterator[pa.RecordBatch], field: int, window: int) -> Itera
         whole = pa.RecordBatch.from_arrays([rows, rows.field(field), whole.column("spans")], ["row", "text", "spans"])
         for batch in scan.slices(whole, "text"):
             data, offsets = scan.texts(batch.column("text"))
-            spans = pa.compute.fill_null(batch.column("spans"), pa.scalar([], batch.column("spans").type))
-            parents = pa.compute.list_parent_indices(spans).to_numpy(zero_copy_only=False)
+            spans = pc.fill_null(batch.column("spans"), pa.scalar([], batch.column("spans").type))
+            parents = pc.list_parent_indices(spans).to_numpy(zero_copy_only=False)
             flat = spans.flatten()
             low, high = (offsets[parents] + flat.field(name).to_numpy() for name in ("low", "high"))
             change = np.bincount(low, minlength=len(data) + 1) - np.bincount(high + window, minlength=len(data) + 1)
