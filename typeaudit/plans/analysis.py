@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from typeaudit.operators import attribution, engine, extract, requests, summary
@@ -16,6 +16,10 @@ from typeaudit.sources import config as cfg
 from typeaudit.sources import files
 
 
+def _file_counts() -> list[Column]:
+    return [F.count("*").alias("files"), F.count_if(F.col("read_error").isNotNull()).alias("unreadable")]
+
+
 @dataclass(frozen=True)
 class Analysis:
     """Lazy tables of one run."""
@@ -24,6 +28,15 @@ class Analysis:
     types: DataFrame
     found: DataFrame
     issues: DataFrame
+    #: Counts of files and unreadable ones, taken while the types were extracted.
+    seen: Observation | None = None
+
+    def file_counts(self) -> tuple[int, int]:
+        """Files, and those that could not be read; from the extraction's own pass if it has run."""
+        counts = self.seen.get if self.seen is not None else {}
+        if "files" not in counts:
+            counts = self.sources.agg(*_file_counts()).first()
+        return counts["files"], counts["unreadable"]
 
     @property
     def tables(self) -> reports.Tables:
@@ -66,10 +79,11 @@ def analyze(
     """
     if configs is not None:
         sources = files.prune_by_config(sources, configs)
-    types = extract.extract_types(sources, partitions)
-    if keep_types:
-        types = materialize(types, "types")
-    return analyze_extracted(sources, types, configs, rules, settings)
+    if not keep_types:
+        return analyze_extracted(sources, extract.extract_types(sources, partitions), configs, rules, settings)
+    seen = Observation()
+    types = materialize(extract.extract_types(sources.observe(seen, *_file_counts()), partitions), "types")
+    return replace(analyze_extracted(sources, types, configs, rules, settings), seen=seen)
 
 
 def analyze_extracted(
@@ -97,8 +111,9 @@ def write_json_report(analysis: Analysis, path: str, mode: str = "lineage", stri
 
     An input without files writes nothing at all.
     """
-    if analysis.sources.isEmpty():
+    total, unreadable = analysis.file_counts()
+    if not total:
         return
     reports.write_json(analysis.reports(mode), path)
-    if strict and files.any_error(analysis.sources).first()["has_errors"]:
+    if strict and unreadable:
         raise StrictReadError("some files could not be read; see files.read_errors")
