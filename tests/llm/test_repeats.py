@@ -39,6 +39,12 @@ def test_equals_brute_force(sf_docs, window, core):
     assert in_order(digest(sf_docs, settings)) == in_order(brute(rows, window))
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_crowded_anchors_are_compared_window_by_window(sf_docs, most):
+    rows = [tuple(r) for r in sf_docs.select("doc_id", "text").collect()]
+    assert in_order(digest(sf_docs, repeats.Settings(core=16, shard_runs=most))) == in_order(brute(rows, 200))
+
+
 def test_odd_rows(odd_docs, odd_rows):
     assert in_order(digest(odd_docs, repeats.Settings())) == in_order(brute([r[:2] for r in odd_rows], 200))
 

@@ -12,7 +12,9 @@ places, so windows are compared only with those of the same anchor string:
 
 Scale: steps 1 and 2 move some 30 bytes for each 70 bytes of text, and counts are partial sums, so copies of one text or a passage
 in a third of all rows reduce before they move. Step 3 holds distinct runs only, streams them to disk-backed arrays, and a
-shard may exceed memory. A text is never split, nor are two compared.
+shard may exceed memory. An anchor string with very many distinct runs, such as a line that a third of all texts hold,
+would make a shard that more machines don't shorten: its windows are hashed one by one and counted by partial sums instead.
+A text is never split, nor are two compared.
 
 Cases: null and empty texts have no bytes. Texts shorter than the window keep all. Repeated rows are texts like others:
 each repeats the other. Overlapping repeats inside one text count. All columns of the input stay in ``row``, so their names cannot
@@ -40,6 +42,8 @@ class Settings(NamedTuple):
     core: int = 64
     #: Bytes of runs in a shard, about.
     shard_bytes: int = 4 << 20
+    #: Distinct runs of one anchor string that a shard takes; more are compared window by window.
+    shard_runs: int = 20_000
 
 
 ANCHORS = "rid long, low int, high int, key long, run long"
@@ -153,6 +157,34 @@ def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         )
 
 
+_WINDOWS = "key long, run long, at int, copies int, h0 long, h1 long"
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Every window of each run, by two hashes: of all its bytes and of its first half."""
+    for batch in (part for whole in batches for part in scan.slices(whole, "piece", scan.SLICE_BYTES >> 3)):
+        data, offsets = scan.texts(batch.column("piece"))
+        first, owner = scan.windows(offsets, window)
+        sums = scan.prefix_sums(data)
+        taken = pa.array(owner)
+        copies = np.where(batch.column("twice").to_numpy(zero_copy_only=False), 2, 1)[owner]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key").take(taken), batch.column("run").take(taken), pa.array((first - offsets[owner]).astype(np.int32)),
+             pa.array(copies.astype(np.int32)), pa.array(scan.range_hashes(sums, first, first + window).view(np.int64)),
+             pa.array(scan.range_hashes(sums, first, first + window // 2).view(np.int64))],
+            ["key", "run", "at", "copies", "h0", "h1"],
+        )
+
+
+def _window_by_window(pieces: DataFrame, window: int) -> DataFrame:
+    """The same result as ``_shard``, for runs of crowded anchor strings."""
+    each = pieces.mapInArrow(lambda it: _windows(it, window), _WINDOWS)
+    again = each.groupBy("h0", "h1").agg(F.sum("copies").alias("n")).where("n > 1").select("h0", "h1")
+    # A run has no more windows than the anchor's distance allows.
+    spans = F.collect_list(F.struct(F.col("at").alias("low"), F.col("at").alias("high"))).alias("spans")
+    return each.join(again, ["h0", "h1"]).groupBy("key", "run").agg(spans)
+
+
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -203,7 +235,12 @@ def repeated_windows(texts: DataFrame, settings: Settings = Settings()) -> DataF
     pieces = materialize(cut.dropDuplicates(["key", "run"]), "pieces")
     volume = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     shards = int(volume // settings.shard_bytes) + 1
-    repeated = pieces.repartition(shards, "key").mapInArrow(lambda it: _shard(it, window), REPEATED)
+    crowded = pieces.groupBy("key").count().where(F.col("count") > settings.shard_runs).select("key")
+    crowded = materialize(crowded, "crowded")
+    few = pieces if crowded.isEmpty() else pieces.join(crowded, "key", "left_anti")
+    repeated = few.repartition(shards, "key").mapInArrow(lambda it: _shard(it, window), REPEATED)
+    if few is not pieces:
+        repeated = repeated.unionByName(_window_by_window(pieces.join(crowded, "key", "left_semi"), window))
     repeated = repeated.where(F.size("spans") > 0)
     part = held.where("mixed").join(repeated, ["key", "run"]).select("rid", "low", F.explode("spans").alias("s")).select(
         "rid", F.struct((F.col("low") + F.col("s.low")).alias("low"), (F.col("low") + F.col("s.high")).alias("high")).alias("span")
