@@ -18,6 +18,10 @@ PROBES = {
     "generic clauses": ("struct A {\n var a: B<C<D<E<F<G<H, I>, J>, K>, L>, M>, N> = x\n}", [("A", 0, 1, 3)]),
     "literal in an interpolation": ('class A {\n let s = """\n \\(x + """\n a } {\n""" + y)\n"""\n func f() {}\n}', [("A", 1, 1, 8)]),
     "interpolations": ('class A {\n let s = "\\("\\("\\("\\("\\("{")")")")")"\n func f() {}\n}', [("A", 1, 1, 4)]),
+    "calls in interpolations": (
+        'class A {\n let s = "\\(f(x) + "\\(g(y) + "\\(h(z) + "\\(k) {")")")"\n func f() {}\n}', [("A", 1, 1, 4)]
+    ),
+    "raw literal in a raw one": ('class A {\n let s = #"a \\#(#"{"#) b"#\n func f() {}\n}', [("A", 1, 1, 4)]),
     "comments": ("class A { " + "/* " * 9 + "{ class Z { " + "*/ " * 9 + "func f() {} }", [("A", 1, 0, 1)]),
     "regex literal": ('class A {\n let r = /[{"]+/\n func f() { let x = a / b / c }\n}', [("A", 1, 1, 4)]),
     "regex literal with marks": ('class A {\n let r = ##/ [{"/]+ /# /##\n var p: Int { 1 }\n}', [("A", 0, 2, 4)]),

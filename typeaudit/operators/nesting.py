@@ -37,7 +37,8 @@ def _open_groups(opener: str, closer: str, plain: str, depth: int) -> str:
 
 _REGEX_LITERAL = r"(?:^|[=(,:\[{;!&|?+*<>~^%\s-])/[^\s/*][^\n\r]*/"
 _SUSPECT = [
-    "####|#/",
+    r"####|#/|\\#+\(",
+    r"(?:\\\([^\n\r]*){4}",
     r"\\\([^)\n\r]*\\\(",
     _open_groups("<", ">", "(?:[^-<>{};=]|->?+)", 5),
     _open_groups(r"[(\[]", r"[)\]]", r"[^()\[\]]", 3),
