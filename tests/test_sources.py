@@ -145,6 +145,19 @@ def test_config_files_and_projects(spark, tmp_path):
     assert run.sources.count() == 3
 
 
+def test_json_records_by_project(spark, tmp_path):
+    body = "\n".join(f"  func m{i}() {{ }}" for i in range(12))
+    for name in ("one", "two"):
+        write(str(tmp_path), f"{name}/A.swift", f"class Big {{\n{body}\n}}\nclass Large {{\n{body}\n}}")
+    sources = files.scan_sources(spark, {name: str(tmp_path / name) for name in ("one", "two")})
+    out = str(tmp_path / "out")
+    analysis.write_json_report(analysis.analyze(sources), out, by_project=True)
+    assert sorted(n for n in os.listdir(out) if n.startswith("project=")) == ["project=one", "project=two"]
+    rows = spark.read.json(out).where("project = 'two'").collect()
+    assert [(r.file, r.typeName) for r in rows] == [("A.swift", "Big"), ("A.swift", "Large")]
+    assert rows[0].path.endswith("/two/A.swift")
+
+
 def test_ignored_folders_above_the_root_do_not_count_with_configs(spark, tree):
     sources = files.scan_sources(spark, tree)
     configs = cfg.merge(spark.createDataFrame([("app", '{"ignoreDirectories":["Generated"]}')], "project string, config_text string"))

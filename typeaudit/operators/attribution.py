@@ -9,6 +9,8 @@ once, so the work grows with the words of the messages and never with issues tim
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +73,11 @@ def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknow
     )
 
 
-def reports(attributed: DataFrame) -> DataFrame:
-    """The machine-readable issue record; columns already in the order of the sorted keys."""
+def reports(attributed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The machine-readable issue record; columns already in the order of the sorted keys.
+
+    ``keys`` names columns to keep after those of the record.
+    """
     from typeaudit.functions import severity as sev
 
     return attributed.select(
@@ -82,4 +87,5 @@ def reports(attributed: DataFrame) -> DataFrame:
         "rule",
         sev.emoji(F.col("severity")).alias("severity"),
         F.col("matched_name").alias("typeName"),
+        *keys,
     )

@@ -106,14 +106,23 @@ class StrictReadError(RuntimeError):
     """Raised after a strict JSON run in which some file could not be read."""
 
 
-def write_json_report(analysis: Analysis, path: str, mode: str = "lineage", strict: bool = True) -> None:
+def write_json_report(
+    analysis: Analysis, path: str, mode: str = "lineage", strict: bool = True, by_project: bool = False
+) -> None:
     """Write the issue records; then fail if a file was unreadable, unless ``strict`` is off.
 
+    With ``by_project`` each project has a folder, and records carry their path and stand in order.
+
     An input without files writes nothing at all.
     """
     total, unreadable = analysis.file_counts()
     if not total:
         return
-    reports.write_json(analysis.reports(mode), path)
+    if by_project:
+        attributed = attribution.attribute(analysis.issues, analysis.types, mode)
+        records = attribution.reports(attributed, ["project", "path", "type_ord", "rule_ord"])
+        reports.write_json_by_project(records, path)
+    else:
+        reports.write_json(analysis.reports(mode), path)
     if strict and unreadable:
         raise StrictReadError("some files could not be read; see files.read_errors")

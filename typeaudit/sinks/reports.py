@@ -43,6 +43,14 @@ def write_json(reports: DataFrame, path: str) -> None:
     reports.select(*sorted(reports.columns)).write.mode("errorifexists").json(path)
 
 
+def write_json_by_project(records: DataFrame, path: str) -> None:
+    """Records that keep ``project, path, type_ord, rule_ord``: a folder per project, a file's issues in their order."""
+    order = ["project", "path", "type_ord", "rule_ord"]
+    record = sorted(name for name in records.columns if name not in order)
+    placed = records.repartitionByRange("project", "path").sortWithinPartitions(*order)
+    placed.select(*record, "path", "project").write.mode("errorifexists").partitionBy("project").json(path)
+
+
 # --- compiler-style diagnostics ---------------------------------------------------------
 
 
