@@ -65,7 +65,7 @@ REGISTRY["rule_data_heavy"] = _single_rule(R.DataHeavyClass)
 
 @query
 def rule_custom(spark, sf_dir):
-    """A user's rule beside the built-in ones: more open orders than any other kind of member."""
+    """A user's rule beside the built-in ones: more than one property for each two methods."""
     lonely = R.Rule(
         "Lopsided",
         lambda settings: R.finding(

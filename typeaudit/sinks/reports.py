@@ -14,6 +14,9 @@ from typeaudit.functions import severity as sev
 from typeaudit.operators import summary
 
 DEFAULT_TAG = "typeaudit"
+#: Bound of a leaderboard, whose rows are broadcast.
+MOST_FILES = 10_000
+# The rules, titles and phrases of the renderings below equal those existing consumers expect.
 RULE_LINE = "-" * 40
 DOUBLE_LINE = "=" * 40
 
@@ -145,6 +148,8 @@ def summary_report_lines(tables: Tables, size: int = 10, per_file: int = 5) -> D
 
     Sections: 0 title, 1 leaderboard files (by ``file_issues`` descending, then path), 2 totals.
     """
+    if not 0 < size <= MOST_FILES:
+        raise ValueError(f"the leaderboard holds 1 to {MOST_FILES} files")
     top = summary.leaderboard(tables.issues, size).select(*schema.FILE_KEY, F.col("issue_count").alias("file_issues"))
     # At most `size` rows, fixed by the limit above, so this side is safe to broadcast.
     of_top = tables.issues.join(F.broadcast(top), schema.FILE_KEY)
