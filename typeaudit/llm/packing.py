@@ -112,7 +112,7 @@ def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 found = scan.texts(batch.column("text"))
                 waiting.append((batch.column("row"), length, clusters(*found)))
                 held, volume = held + batch.num_rows, volume + len(found.data)
-                if held >= settings.block_rows or volume >= 8 * scan.SLICE_BYTES:
+                if held >= settings.block_rows or volume >= 16 * scan.SLICE_BYTES:
                     yield packed(waiting, number)
                     number, waiting, held, volume = number + 1, [], 0, 0
         if waiting:

@@ -41,7 +41,7 @@ class Settings(NamedTuple):
     window: int = 200
     core: int = 64
     #: Bytes of runs in a shard, about.
-    shard_bytes: int = 4 << 20
+    shard_bytes: int = 2 << 20
     #: Distinct runs of one anchor string that a shard takes; more are compared window by window.
     shard_runs: int = 20_000
 
@@ -162,7 +162,7 @@ _WINDOWS = "key long, run long, at int, copies int, h0 long, h1 long"
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Every window of each run, by two hashes: of all its bytes and of its first half."""
-    for batch in (part for whole in batches for part in scan.slices(whole, "piece", scan.SLICE_BYTES >> 3)):
+    for batch in (part for whole in batches for part in scan.slices(whole, "piece", scan.SLICE_BYTES >> 2)):
         data, offsets = scan.texts(batch.column("piece"))
         first, owner = scan.windows(offsets, window)
         sums = scan.prefix_sums(data)

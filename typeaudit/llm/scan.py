@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+#: Text bytes and rows that a task works on at once.
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 2048
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -58,14 +60,14 @@ class Spans(NamedTuple):
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about ``limit`` bytes of text each, at least one row each."""
+    """Consecutive parts of a batch with about ``limit`` bytes of text each, at least one row and at most SLICE_ROWS each."""
     if not batch.num_rows:
         return
     offsets = _buffers(batch.column(column)).offsets
     begin = 0
     while begin < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1
-        end = min(max(end, begin + 1), batch.num_rows)
+        end = min(max(end, begin + 1), begin + SLICE_ROWS, batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
 
