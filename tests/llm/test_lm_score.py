@@ -68,6 +68,18 @@ def test_empty(no_docs):
     assert lm_score.scores(no_docs).count() == 0
 
 
+def test_sums_beyond_four_bytes():
+    import numpy as np
+
+    keys, counts = np.array([4, 9, 12], np.uint64), np.array([3_000_000_000, 1, (1 << 53) - 1])
+    runs = [row for number in (0, 1) for row in lm_score._runs(number, keys, counts, 1)]
+    found = lm_score._sum_range(lm_score._table(runs, lm_score._RUN_NAMES, lm_score._RUN_KINDS)).to_pylist()
+    totals = {r["block"]: r["counts"] for r in found}
+    for block in (0, 1):
+        assert lm_score._counts_unpacked(totals[block]).tolist() == (2 * counts).tolist()
+    assert int.from_bytes(totals[lm_score.TOTALS], "big") == 6_000_000_000 + 2 * ((1 << 53) - 1)
+
+
 def test_packed_runs_round_trip():
     import numpy as np
 
