@@ -27,6 +27,23 @@ def test_no_bin_holds_a_conflict(odd_docs, odd_rows, encode):
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0 and spans[-1][1] <= 512
 
 
+def test_near_copies_of_different_sources_share_no_bin(spark, tmp_path):
+    words = [f"w{i:03d}" for i in range(120)]
+    edited = lambda i: " ".join("edit" if at == i else w for at, w in enumerate(words))
+    rows = [(i if i % 4 else None, edited(9 * i), f"s{i}") for i in range(12)]
+    # One id with two texts, of which one is a near copy, and texts without a word, which are copies of each other.
+    rows += [(1, "something else", "t0"), (20, "", "t1"), (21, None, "t2"), (None, " \n", "t3")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = packing.pack_apart(docs).collect()
+    bin_of = {r.row.source: r.bin for r in found}
+    assert len(found) == len(rows)
+    assert len({bin_of[f"s{i}"] for i in range(12)}) == 12
+    assert len({bin_of[f"t{i}"] for i in range(1, 4)}) == 3
+    assert bin_of["t0"] in {bin_of[f"s{i}"] for i in range(12)}
+    assert len({r.bin for r in queries.REGISTRY["op5_best_fit_packing"](spark, str(tmp_path)).collect()}) == 12
+
+
 def brute_best_fit(lengths, sources, clusters, capacity):
     bins, chosen = [], [0] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):

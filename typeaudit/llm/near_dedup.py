@@ -226,3 +226,32 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+#: Keys made from hashes begin here; smaller ids are keys themselves.
+HASHED = 1 << 62
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs(doc_id, text, ..)`` with a key that only rows of equal ``doc_id`` and text share, as column ``name``.
+
+    It is the ``doc_id``, so that the order of ids is kept; rows without one, and rows whose ``doc_id`` stands for
+    several texts, get a hash of both, larger than any such id. Null and empty texts are told apart.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    hashed = F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+    hashed = hashed.bitwiseAND(F.lit(HASHED - 1)).bitwiseOR(F.lit(HASHED))
+    seen = docs.where("doc_id is not null").groupBy(doc_id.alias("several")).agg((F.min(hashed) < F.max(hashed)).alias("differ"))
+    several = materialize(seen.where("differ").select("several"), "several")
+    own = doc_id.isNotNull() & (doc_id < HASHED)
+    if several.isEmpty():
+        return docs.withColumn(name, F.when(own, doc_id).otherwise(hashed))
+    met = docs.join(several, doc_id == F.col("several"), "left")
+    return met.withColumn(name, F.when(own & F.col("several").isNull(), doc_id).otherwise(hashed)).drop("several")
+
+
+def row_components(keyed: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
+    """``key, component``, once for each key of ``with_row_key``; the component is its smallest key, null without a word in the text."""
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), settings)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    return found.groupBy(F.col("doc_id").alias("key")).agg(F.min(component).alias("component"))

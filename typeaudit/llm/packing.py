@@ -5,12 +5,17 @@ bitmaps in the bin. Bins stand in the order of what is left in them. A piece, lo
 that it fits: the search starts at the least sufficient residual and goes on to the next larger one until the bitmaps
 allow the bin; else a new bin is opened. Documents longer than a sequence are cut; full parts are sequences of their own.
 
-Scale: one narrow pass. Each task packs blocks of ``block_rows`` consecutive rows and holds the lengths of one block; nothing
+The cluster is the component of near copies that ``pack_apart`` finds by ``near_dedup``; without one, texts
+of the same words are a cluster.
+
+Scale: one narrow pass measures the texts; with ``components``, lengths and hashes (no texts) are joined with them by key.
+Each task then packs blocks of ``block_rows`` consecutive rows and holds the lengths of one block; nothing
 is keyed by source or cluster, so a source with a third of all rows meets itself only inside a block. A block leaves at most a
 few bins part-filled. Blocks are numbered by partition and order; write the result to fix the numbers.
 
-Cases: null and empty texts have no tokens but their end, and are packed as that. Rows without source conflict with none.
-Repeated rows conflict as copies. Columns of the input but the text stay in ``row``. An empty table gives an empty one.
+Cases: null and empty texts have no tokens but their end, and are packed as that; texts without a word are one cluster. Rows
+without source conflict with none. Repeated rows conflict as copies. Columns of the input but the text stay in ``row``. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeaudit.llm import scan, tokens
+from typeaudit.llm import near_dedup, scan, tokens
 
 
 class Settings(NamedTuple):
@@ -76,22 +81,35 @@ def best_fit(lengths: list[int], sources: list, duplicates: list, capacity: int)
     return bins, places
 
 
+MEASURED = "n_bytes long, n_tokens long, cluster long"
 PIECES = "n_tokens long, piece int, piece_tokens int, bin long, bin_offset int"
 
 
-def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``row`` (all columns of ``docs`` but ``text``) and, for each piece of it, its place in a bin.
+def _measure(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in scan.slices(whole, "text")):
+        found = scan.texts(batch.column("text"))
+        length = tokens.lengths(batch.column("text"), vocabulary) + 1
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), batch.column("key"), pa.array(np.diff(found.offsets)), pa.array(length),
+             pa.array(clusters(*found).view(np.int64))],
+            ["row", "key", "n_bytes", "n_tokens", "cluster"],
+        )
+
+
+def pack(docs: DataFrame, settings: Settings = Settings(), components: DataFrame | None = None, key: str = "") -> DataFrame:
+    """``row`` (all columns of ``docs`` but ``text`` and ``key``) and, for each piece of it, its place in a bin.
 
-    ``n_tokens`` counts the document's tokens and one end.
+    ``n_tokens`` counts the document's tokens and one end. ``components(key, component)`` has each value of the column
+    ``key`` once, as ``near_dedup.row_components`` gives it; rows without component are told apart by their words.
     """
-    carried = docs.drop("text")
+    carried = docs.drop("text", key)
     source_at = carried.columns.index("source")
-    schema = T.StructType([T.StructField("row", carried.schema), *T.StructType.fromDDL(PIECES).fields])
+    row_field = T.StructField("row", carried.schema)
+    schema = T.StructType([row_field, *T.StructType.fromDDL(PIECES).fields])
 
-    def packed(block: list[tuple[pa.Array, np.ndarray, np.ndarray]], number: int) -> pa.RecordBatch:
-        rows = pa.concat_arrays([b[0] for b in block])
-        length = np.concatenate([b[1] for b in block])
-        cluster = np.concatenate([b[2] for b in block])
+    def packed(block: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        rows = pa.concat_arrays([b.column("row") for b in block])
+        length, cluster = (np.concatenate([b.column(c).to_numpy() for b in block]) for c in ("n_tokens", "cluster"))
         source = rows.field(source_at).to_pylist()
         count = -(-length // settings.capacity)
         owner = np.repeat(np.arange(len(length)), count)
@@ -106,17 +124,34 @@ def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, waiting, held, volume = TaskContext.get().partitionId() << 20, [], 0, 0
-        for whole in batches:
-            for batch in scan.slices(whole, "text"):
-                length = tokens.lengths(batch.column("text"), settings.vocabulary) + 1
-                found = scan.texts(batch.column("text"))
-                waiting.append((batch.column("row"), length, clusters(*found)))
-                held, volume = held + batch.num_rows, volume + len(found.data)
+        for batch in batches:
+            ends, begin = np.cumsum(batch.column("n_bytes").to_numpy()), 0
+            while begin < batch.num_rows:
+                before = int(ends[begin - 1]) if begin else 0
+                # The row that reaches the block's volume is still of the block.
+                full = int(np.searchsorted(ends, before + 16 * scan.SLICE_BYTES - volume)) + 1
+                end = min(full, begin + settings.block_rows - held, batch.num_rows)
+                waiting.append(batch.slice(begin, end - begin))
+                held, volume, begin = held + end - begin, volume + int(ends[end - 1]) - before, end
                 if held >= settings.block_rows or volume >= 16 * scan.SLICE_BYTES:
                     yield packed(waiting, number)
                     number, waiting, held, volume = number + 1, [], 0, 0
         if waiting:
             yield packed(waiting, number)
 
+    number = F.lit(0).cast("long") if components is None else F.col(f"`{key}`")
     row = F.struct(*(F.col(f"`{c}`") for c in carried.columns)).alias("row")
-    return docs.select(row, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    measured = docs.select(row, number.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(
+        lambda it: _measure(it, settings.vocabulary),
+        T.StructType([row_field, T.StructField("key", T.LongType()), *T.StructType.fromDDL(MEASURED).fields]),
+    )
+    if components is not None:
+        cluster = F.coalesce("component", "cluster").alias("cluster")
+        measured = measured.join(components, "key", "left").select("row", "n_bytes", "n_tokens", cluster)
+    return measured.select("row", "n_bytes", "n_tokens", "cluster").mapInArrow(run, schema)
+
+
+def pack_apart(docs: DataFrame, settings: Settings = Settings(), near: near_dedup.Settings = near_dedup.Settings()) -> DataFrame:
+    """As ``pack``, with the components of near copies as clusters."""
+    keyed = near_dedup.with_row_key(docs, "near_key")
+    return pack(keyed, settings, near_dedup.row_components(keyed, "near_key", near), "near_key")

@@ -75,7 +75,8 @@ def op4_token_output(spark, sf_dir):
 @query
 def op5_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return packing.pack(docs).select("row.doc_id", "n_tokens", "piece", "piece_tokens", "bin", "bin_offset")
+    found = packing.pack_apart(docs)
+    return found.select("row.doc_id", "n_tokens", "piece", "piece_tokens", "bin", "bin_offset")
 
 
 #: Shards of the production layout; the first ones stand on larger machines.
