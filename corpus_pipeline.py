@@ -20,15 +20,30 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest ``doc_id`` of each group of near copies, once; rows without ``doc_id`` stay."""
-    found = materialize(near_dedup.near_duplicates(docs), "groups")
-    dropped = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Keeps one row of each group of near copies: the smallest ``doc_id``, or a row without one where the group has none.
+
+    Rows are told apart by ``doc_id`` and text, so each text of a repeated ``doc_id``, and each row without one, is judged
+    by itself. Rows equal in both are kept once.
+    """
+    keyed = near_dedup.with_row_key(docs, "near_key")
+    labels = keyed.select(F.col("near_key").alias("doc_id"), "text")
+    found = materialize(near_dedup.near_duplicates(labels).withColumnRenamed("doc_id", "near_key"), "groups")
+    # Hashed keys are larger than ids, but do not follow the ids they stand for.
+    hashed = keyed.where(F.col("near_key") >= near_dedup.HASHED).select("near_key", "doc_id").distinct()
+    if hashed.isEmpty():
+        dropped = found.where("not kept").select("near_key").distinct()
+    else:
+        named = found.select("near_key", "component_id").distinct().join(hashed, "near_key", "left")
+        own = F.when(F.col("near_key") < near_dedup.HASHED, F.col("near_key")).otherwise(F.col("doc_id"))
+        least = F.min(F.struct(own.isNull().alias("no_id"), own.alias("id"), "near_key")).alias("least")
+        heads = named.groupBy("component_id").agg(least).select("least.near_key")
+        dropped = named.select("near_key").join(heads, "near_key", "left_anti")
+    kept = keyed.join(dropped, "near_key", "left_anti")
+    again = found.groupBy("near_key").count().where("count > 1").select("near_key")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        return kept.select(docs.columns)
+    once = kept.join(again, "near_key", "left_semi").dropDuplicates(["near_key"]).select(docs.columns)
+    return kept.join(again, "near_key", "left_anti").select(docs.columns).unionByName(once)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

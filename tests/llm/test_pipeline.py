@@ -77,6 +77,28 @@ def test_odd_rows_through_all_stages(spark, tmp_path, odd_docs, odd_rows):
     assert stages[-1].count() > 0
 
 
+def test_near_dedup_judges_rows_by_id_and_text(spark, tmp_path):
+    words = [f"w{i:03d}" for i in range(120)]
+    near = " ".join([*words[:-1], "edit"])
+    rows = [
+        # Two texts under one id: a near copy of document 1, and one of its own that must stay.
+        (1, " ".join(words)), (2, near), (2, "a text of its own"), (2, "a text of its own"), (3, "and another one"),
+        # Copies without id, of document 1 and of each other.
+        (None, near), (None, "copy without id"), (None, "Copy without id"), (None, "copy without id"),
+        # Near copies under repeated ids: the smaller id stays.
+        (9, "first of nine"), (9, "shared words"), (5, "Shared words"), (5, "second of five"),
+    ]
+    full = [(i, t, "en", "s", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.distinct(spark, docs, str(tmp_path))
+    assert left.columns == COLUMNS
+    found = sorted((r.doc_id or 0, r.text.lower()) for r in left.collect())
+    assert found == [
+        (0, "copy without id"), (1, " ".join(words)), (2, "a text of its own"), (3, "and another one"),
+        (5, "second of five"), (5, "shared words"), (9, "first of nine"),
+    ]
+
+
 def test_empty_tables(spark, tmp_path, no_docs):
     folder = tables(spark, tmp_path, no_docs, [], [])
     assert [docs.count() for docs in staged(spark, folder)] == [0] * 5
