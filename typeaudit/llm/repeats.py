@@ -11,8 +11,8 @@ places, so windows are compared only with those of the same anchor string:
 4. the repeated windows go back to the texts that hold them, and the bytes they cover are removed.
 
 Scale: steps 1 and 2 move some 30 bytes for each 70 bytes of text, and counts are partial sums, so copies of one text or a passage
-in a third of all rows reduce before they move. Step 3 holds distinct runs only, streams them to disk-backed arrays, and a
-shard may exceed memory. An anchor string with very many distinct runs, such as a line that a third of all texts hold,
+in a third of all rows reduce before they move. Step 3 holds distinct runs only, in
+shards kept small enough for memory: beyond their bounds queues and arrays go to disk, but other arrays stay in memory. An anchor string with very many distinct runs, such as a line that a third of all texts hold,
 would make a shard that more machines don't shorten: its windows are hashed one by one and counted by partial sums instead.
 A text is never split, nor are two compared.
 
