@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeaudit.llm import (
-    decontaminate, lm_score, near_dedup, packing, quality_rules, repeats, sharding, token_counts, token_output, url_filter,
+    decontaminate, lm_score, merkle, near_dedup, packing, quality_rules, repeats, sharding, token_counts, token_output, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +140,81 @@ LEFT JOIN listed l ON l.canonical = n.canonical
 @query
 def op8_token_counts(spark, sf_dir):
     return token_counts.by_limit(token_counts.histogram(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    """Trees of fanout 8 over each language; every third row or so is tampered with and must not verify."""
+    docs = table(spark, sf_dir, "documents")
+    doc_id, text = F.col("doc_id"), F.col("text")
+
+    def leaf(of: Column) -> Column:
+        return merkle.digest(*[merkle.field(c) for c in (doc_id, F.col("source"), F.col("lang"), F.col("n_chars"), of)])
+
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(doc_id.cast("string")) % 3 == 0, leaf(lowered))
+    kept = {"doc_id": doc_id, "tampered": tampered}
+    found = merkle.manifest(docs, leaf(text), F.col("lang"), doc_id, kept).proofs
+    shown = F.coalesce("row.tampered", "leaf")
+    proved = found.select(
+        "row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(shown, F.col("path")).alias("folded_root"),
+    )
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(levels: int = 12) -> str:
+    """Both trees level by level; ``levels`` of them hold 8 ** levels rows."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    fields = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    eight = ", ".join(["0"] * 8)
+    parts = [
+        f"""crcs AS (SELECT DISTINCT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT],
+             list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda a, b: list_reduce([xor(a, b), {eight}], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc
+           FROM documents WHERE doc_id IS NOT NULL)""",
+        f"""leaves AS (SELECT d.doc_id, d.lang, sha256({fields.replace("doc_id", "d.doc_id")} || {field.format("text")}) AS leaf,
+             CASE WHEN crc % 3 = 0 THEN sha256({fields.replace("doc_id", "d.doc_id")} || {field.format(lowered)}) END AS tampered
+           FROM documents d LEFT JOIN crcs c ON c.doc_id = d.doc_id)""",
+        """numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves)""",
+        "a0 AS (SELECT lang AS g, pos, leaf AS h FROM numbered)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            parts.append(
+                f"""{name}m{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}{k})"""
+            )
+            parts.append(
+                f"""{name}{k + 1} AS (SELECT g, pos // 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {name}m{k} WHERE n > 1
+                  GROUP BY g, pos // 8 UNION ALL SELECT g, pos, h FROM {name}m{k} WHERE n = 1)"""
+            )
+            parts.append(
+                f"""{name}s{k} AS (SELECT x.g, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l,
+                  coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r, any_value(x.n) > 1 AS up
+                  FROM {name}m{k} x JOIN {name}m{k} y ON x.g IS NOT DISTINCT FROM y.g AND x.pos // 8 = y.pos // 8 GROUP BY x.g, x.pos)"""
+            )
+
+    climb("a")
+    parts.append(f"b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, h, g AS lang FROM a{levels})")
+    parts.append("subroots AS (SELECT lang, pos AS place, h AS subroot FROM b0)")
+    climb("b")
+    parts.append(
+        f"""f0 AS (SELECT n.doc_id, n.lang, n.leaf, n.pos, s.subroot, s.place, (SELECT h FROM b{levels}) AS root, '' AS proof,
+          coalesce(n.tampered, n.leaf) AS h FROM numbered n JOIN subroots s ON n.lang IS NOT DISTINCT FROM s.lang)"""
+    )
+    steps = [(f"as{k}", "f.lang IS NOT DISTINCT FROM s.g", "pos") for k in range(levels)]
+    steps += [(f"bs{k}", "s.g = 0", "place") for k in range(levels)]
+    for k, (side, same, pos) in enumerate(steps):
+        other = "place" if pos == "pos" else "pos"
+        parts.append(
+            f"""f{k + 1} AS (SELECT doc_id, lang, leaf, CASE WHEN up THEN f.{pos} // 8 ELSE f.{pos} END AS {pos}, f.{other}, subroot, root,
+              CASE WHEN up THEN proof || l || r ELSE proof END AS proof, CASE WHEN up THEN sha256(l || f.h || r) ELSE f.h END AS h
+              FROM f{k} f JOIN {side} s ON {same} AND f.{pos} = s.pos)"""
+        )
+    return f"""WITH {", ".join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root,
+      h = root AS verified FROM f{len(steps)}"""
+
+
+SQL["op11_merkle_manifest"] = _merkle_sql()
