@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from typeaudit.llm import (
     decontaminate, lm_score, merkle, near_dedup, packing, quality_rules, repeats, sharding, token_counts, token_output, url_filter,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,3 +219,24 @@ def _merkle_sql(levels: int = 12) -> str:
 
 
 SQL["op11_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op12_warc(spark, sf_dir):
+    """Archives of all pages, written and read back."""
+    folder = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op12_warc"] = """
+WITH held AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY hex, payload_bytes ORDER BY page_id DESC NULLS LAST) AS k,
+    first_value(page_id) OVER (PARTITION BY hex, payload_bytes ORDER BY page_id DESC NULLS LAST) AS last_id FROM held
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)), 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN last_id END AS refers_to
+FROM ranked
+"""
