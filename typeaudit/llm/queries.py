@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeaudit.llm import (
-    decontaminate, lm_score, merkle, near_dedup, packing, quality_rules, repeats, sharding, token_counts, token_output, url_filter,
+    collocations, decontaminate, lm_score, merkle, near_dedup, packing, quality_rules, repeats, sharding, token_counts, token_output, url_filter,
     warc,
 )
 
@@ -240,3 +240,48 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
   CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN last_id END AS refers_to
 FROM ranked
 """
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS id, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS words FROM (
+      SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)) WHERE len(words) > 0
+), words AS (
+  SELECT lang, id, unnest(words) AS w, unnest(range(len(words))) AS i FROM pieces
+), windows AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM words WINDOW p AS (PARTITION BY id ORDER BY i)
+), counts AS (
+  SELECT lang, phrase, m, count(*)::HUGEINT AS f FROM (
+    SELECT lang, 1 AS m, w1 AS phrase FROM windows
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM windows WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM windows WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM windows WHERE w4 IS NOT NULL) GROUP BY ALL
+), totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, f, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM candidates, (VALUES (1), (2), (3)) t(k) WHERE k < m
+), rated AS (
+  SELECT c.lang, c.phrase, c.f AS a, h.f AS l, r.f AS r, 2000000 * c.f // (h.f + r.f) AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 2000000 * c.f // (h.f + r.f), k) AS best
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest
+), inner_phrases AS (
+  SELECT lang, f, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM candidates, (VALUES (1), (2), (3)) p(i), (VALUES (2), (3)) q(s) WHERE s < m AND i + s - 1 <= m
+), held AS (SELECT lang, phrase, max(f) AS longer FROM inner_phrases GROUP BY ALL
+), ranked AS (
+  SELECT r.*, row_number() OVER (PARTITION BY r.lang ORDER BY score DESC, a DESC, r.phrase) AS rank
+  FROM rated r LEFT JOIN held h ON h.lang = r.lang AND h.phrase = r.phrase
+  WHERE best = 1 AND (longer IS NULL OR 100 * longer < 80 * a)
+)
+SELECT r.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
