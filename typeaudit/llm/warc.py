@@ -1,21 +1,21 @@
 """WARC archives of fetched pages: deterministic sharded writer, committed by a manifest, and a reader.
 
-1. Pages are sorted in ranges of (page_id, url, payload) and written, each with the bytes before it in its range. With the sums of the ranges
-   that gives every record its place in the whole order, and each ``shard_bytes`` of payload are a shard. So shards follow from the rows, not from
-   the number of tasks or the sampled ranges.
-2. Of records with equal payloads of at least ``min_bytes``, the last by page_id is the response; the others are revisits of it and
-   leave their payload behind before anything moves again.
-3. A task writes its shards in order, each record a gzip member of its own, and begins a file when the last one holds ``file_bytes``
-   compressed. Headers, lengths and digests are made anew from the payload; identifiers follow from the place, dates from the settings, so equal
-   rows give equal files.
+1. The order of records is page_id, payload digest, url. A narrow table without payloads is sorted in ranges; the bytes before each record
+   cut the order into shards of ``shard_bytes`` of payload. What is kept of that is the first key of each shard, so shards follow from
+   the rows, not from the number of tasks or the sampled ranges.
+2. Of records with equal payloads of at least ``min_bytes``, the last in the order is the response; a notice for each of the others names it.
+3. Pages and notices are dealt to their shards and sorted. A task merges them: a notice stands before the pages it is for, which
+   become revisits. Each record is a gzip member of its own, and a file ends when it holds ``file_bytes`` compressed. Headers, lengths and digests
+   are made anew from the payload; identifiers follow from the key, dates from the settings, so equal rows give equal files.
 4. Files have names of their own until the rows that describe them are written as a table (the manifest). Then each is moved to its final
    name. A lost, repeated or speculative task leaves files that no manifest names; their folder is removed.
 
-Scale: a payload is sorted once, written once compressed, and moves once more by shard. Groups of equal payloads are counted by partial
-sums of digests, and only digests found more than once are joined, so a page that a third of all rows hold is no hot task. A task holds one record
-at a time, and the reader too.
+Scale: a payload moves once, to its shard; all else is done on rows of some hundred bytes. Groups of equal payloads are counted by partial
+sums of digests, and only digests found more than once are joined, so a page that a third of all rows hold is no hot task. What tasks get of the shards
+is one key of 57 characters for each ``shard_bytes`` of payload, a millionth of the input. A task holds one record at a time, and the
+reader too. Rows equal in page_id, url and payload share a shard.
 
-Cases: null html is an empty payload, and empty payloads are equal payloads. A null page_id is smaller than any. Rows equal in page_id and
+Cases: null html is an empty payload, and empty payloads are equal payloads. A null page_id is smaller than any. Rows equal in page_id, url and
 payload: one is the response, the others revisit it. A null url leaves its header out; control characters and blanks in one are percent-encoded.
 Other columns are ignored. An empty table gives an empty manifest and no row.
 """
@@ -30,6 +30,8 @@ import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
@@ -57,7 +59,7 @@ REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 HTTP_RESPONSE = b"application/http; msgtype=response"
 FIELDS = b"application/warc-fields"
 
-_SORTED = "page_id long, url string, payload binary, digest string, n_bytes long, range int, before long, at long"
+_PLACED = "key string, before long, n_bytes long, range int"
 _MANIFEST = "shard long, file int, name string, temporary string, n_records long, n_bytes long, sha256 string"
 _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -74,15 +76,14 @@ def sha1(data: bytes) -> bytes:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the number of this range, and for each row the bytes and rows before it in the range."""
-    part, total, count = TaskContext.get().partitionId(), 0, 0
+    """Adds the bytes before each row in this range, and the range's number."""
+    part, total = TaskContext.get().partitionId(), 0
     for batch in batches:
         sizes = batch.column("n_bytes").to_numpy()
-        sums = sizes.cumsum()
-        rows = batch.num_rows
-        places = [pa.array([part] * rows, pa.int32()), pa.array(total + sums - sizes), pa.array(range(count, count + rows), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *places], [*batch.schema.names, "range", "before", "at"])
-        total, count = total + int(sums[-1]) if rows else total, count + rows
+        sums = total + sizes.cumsum()
+        arrays = [batch.column("key"), pa.array(sums - sizes), batch.column("n_bytes"), pa.array([part] * batch.num_rows, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, ["key", "before", "n_bytes", "range"])
+        total = int(sums[-1]) if batch.num_rows else total
 
 
 def _identifier(name: str) -> bytes:
@@ -106,23 +107,34 @@ def _head(kind: bytes, identifier: bytes, content: bytes, settings: Settings) ->
     ]
 
 
-def page_record(row: dict, settings: Settings) -> bytes:
-    """A page as a response, or as a revisit if ``response`` names the row that holds its payload."""
-    response, payload = row["response"], row["payload"] or b""
-    digest = base64.b32encode(bytes.fromhex(row["digest"])) if response is not None else sha1(payload)
-    size = row["n_bytes"] if response is not None else len(payload)
-    kind = b"response" if response is None else b"revisit"
-    headers = _head(kind, _identifier(f"record {row['number']}"), HTTP_RESPONSE, settings)
+def _name(key: str, url: str | None, copy: int) -> str:
+    """What a record is identified by; ``copy`` tells apart records of equal key and url."""
+    return f"record {key} {copy} {'-' if url is None else '+' + url}"
+
+
+class Notice(NamedTuple):
+    """The response of a group of equal payloads."""
+
+    page_id: int | None
+    key: str
+    url: str | None
+
+
+def page_record(row: dict, copy: int, response: Notice | None, settings: Settings) -> bytes:
+    """A page as a response, or as a revisit of ``response``."""
+    payload = row["payload"] or b""
+    digest = sha1(payload)
+    headers = _head(b"response" if response is None else b"revisit", _identifier(_name(row["key"], row["url"], copy)), HTTP_RESPONSE, settings)
     if row["url"] is not None:
         headers.append((b"WARC-Target-URI", _uri(row["url"])))
     headers.append((b"WARC-Payload-Digest", b"sha1:" + digest))
     if row["page_id"] is not None:
         headers.append((b"WARC-Page-ID", b"%d" % row["page_id"]))
     if response is not None:
-        headers += [(b"WARC-Profile", REVISIT_PROFILE), (b"WARC-Refers-To", _identifier(f"record {response['number']}"))]
-        if response["page_id"] is not None:
-            headers.append((b"WARC-Refers-To-Page-ID", b"%d" % response["page_id"]))
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+        headers += [(b"WARC-Profile", REVISIT_PROFILE), (b"WARC-Refers-To", _identifier(_name(response.key, response.url, 0)))]
+        if response.page_id is not None:
+            headers.append((b"WARC-Refers-To-Page-ID", b"%d" % response.page_id))
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     return record(headers, block + (payload if response is None else b""))
 
 
@@ -159,28 +171,34 @@ class _Archive:
         }
 
 
+_FILES = pa.schema(
+    [("shard", pa.int64()), ("file", pa.int32()), ("name", pa.string()), ("temporary", pa.string()),
+     ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())]
+)
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str, settings: Settings) -> Iterator[pa.RecordBatch]:
-    """Sorted rows to files; a row for each file."""
-    archive, found = None, []
-    schema = pa.schema(
-        [("shard", pa.int64()), ("file", pa.int32()), ("name", pa.string()), ("temporary", pa.string()),
-         ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())]
-    )
+    """Sorted pages and notices to files; a row for each file."""
+    archive, at, copy, notice = None, None, 0, None
     for batch in batches:
-        for at in range(batch.num_rows):
-            row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+        for i in range(batch.num_rows):
+            row = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            if at != (row["key"], row["url"]):
+                at, copy, notice = (row["key"], row["url"]), 0, None
+            if row["notice"] is not None:
+                notice = Notice(**row["notice"])
+                continue
             if archive is None or archive.shard != row["shard"] or archive.bytes >= settings.file_bytes:
                 number = 0
                 if archive is not None:
-                    found.append(archive.close())
+                    yield pa.RecordBatch.from_pylist([archive.close()], _FILES)
                     number = archive.number + 1 if archive.shard == row["shard"] else 0
                 archive = _Archive(folder, row["shard"], number, settings)
-            archive.add(page_record(row, settings), settings)
-        if found:
-            yield pa.RecordBatch.from_pylist(found, schema)
-            found = []
+            is_it = notice is not None and (notice.key, notice.url) == at and copy == 0
+            archive.add(page_record(row, copy, None if is_it else notice, settings), settings)
+            copy += 1
     if archive is not None:
-        yield pa.RecordBatch.from_pylist([archive.close()], schema)
+        yield pa.RecordBatch.from_pylist([archive.close()], _FILES)
 
 
 def _commit(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -194,38 +212,38 @@ def _commit(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
         yield batch
 
 
-def _decided(pages: DataFrame, settings: Settings) -> DataFrame:
-    """Sorted pages with their place, shard, and the record they revisit."""
+def _keyed(pages: DataFrame) -> DataFrame:
+    """``page_id, url, payload, n_bytes, key``; keys sort by page_id, nulls first, then by digest."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     taken = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    # Equal rows are interchangeable; the salt deals them over several ranges.
-    rows = taken.withColumns(
-        {"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long"), "salt": F.xxhash64(F.monotonically_increasing_id())}
-    )
-    by = [F.col(c).asc_nulls_first() for c in ("page_id", "url", "digest", "salt")]
-    sorted_rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("salt")
-    kept = materialize(sorted_rows.mapInArrow(_placed, _SORTED), "pages")
-    ranges = kept.groupBy("range").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    key = F.concat(F.when(F.col("page_id").isNull(), "0" * 17).otherwise(F.concat(F.lit("1"), number)), F.sha1("payload"))
+    return taken.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "key": key})
+
+
+def shard_starts(narrow: DataFrame, settings: Settings) -> list[str]:
+    """The first key of each shard but the first, in order. A shard begins where a multiple of ``shard_bytes`` does."""
+    # The salt deals equal keys over several ranges.
+    salted = narrow.select("key", "n_bytes").withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    in_order = salted.repartitionByRange("key", "salt").sortWithinPartitions("key", "salt").select("key", "n_bytes")
+    placed = materialize(in_order.mapInArrow(_placed, _PLACED), "warc-order")
+    ranges = placed.groupBy("range").agg(F.sum("n_bytes").alias("bytes"))
+    so_far = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # A row for each sorted range.
-    starts = ranges.select(
-        "range", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("bytes_before"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
-    )
-    number = F.col("rows_before") + F.col("at")
-    placed = kept.join(starts, "range").select(
-        "page_id", "url", "payload", "digest", "n_bytes", number.alias("number"),
-        F.floor((F.col("bytes_before") + F.col("before")) / settings.shard_bytes).alias("shard"),
-    )
-    # The last by number has the largest page_id.
-    last = F.max(F.struct("number", "page_id")).alias("response")
-    shared = placed.where(F.col("n_bytes") >= settings.min_bytes).groupBy("digest", "n_bytes").agg(last, F.count("*").alias("held"))
-    shared = shared.where("held > 1").select("digest", "n_bytes", "response")
-    met = placed.join(shared, ["digest", "n_bytes"], "left")
-    revisits = F.col("response.number") > F.col("number")
-    return met.withColumns(
-        {"payload": F.when(~F.coalesce(revisits, F.lit(False)), F.col("payload")), "response": F.when(revisits, F.col("response"))}
-    )
+    starts = ranges.select("range", F.coalesce(F.sum("bytes").over(so_far), F.lit(0)).alias("earlier"))
+    shard = F.floor((F.col("earlier") + F.col("before")) / settings.shard_bytes)
+    first = placed.join(starts, "range").groupBy(shard.alias("shard")).agg(F.min("key").alias("key"))
+    return sorted({row.key for row in first.where("shard > 0").select("key").collect()})
+
+
+def notices(narrow: DataFrame, settings: Settings) -> DataFrame:
+    """``key, url, notice`` for each page of a group of equal payloads."""
+    payload = [F.substring("key", 18, 40).alias("digest"), "n_bytes"]
+    members = narrow.where(F.col("n_bytes") >= settings.min_bytes).select("key", "url", "page_id", *payload)
+    last = F.max(F.struct("key", "url", "page_id")).alias("last")
+    shared = members.groupBy("digest", "n_bytes").agg(last, F.count("*").alias("held")).where("held > 1").drop("held")
+    each = members.select("key", "url", "digest", "n_bytes").distinct().join(shared, ["digest", "n_bytes"])
+    return each.select("key", "url", F.struct("last.page_id", "last.key", "last.url").alias("notice"))
 
 
 def write(pages: DataFrame, folder: str | None = None, settings: Settings = Settings()) -> str:
@@ -237,7 +255,20 @@ def write(pages: DataFrame, folder: str | None = None, settings: Settings = Sett
     folder = folder or new_shared_path(spark, "warc")
     system, root = _system(folder)
     system.create_dir(f"{root}/.writing", recursive=True)
-    in_order = _decided(pages, settings).repartition("shard").sortWithinPartitions("shard", "number")
+    keyed = _keyed(pages)
+    narrow = materialize(keyed.drop("payload"), "warc-keys")
+    starts = np.array([key.encode() for key in shard_starts(narrow, settings)], dtype="S57")
+
+    @F.pandas_udf("long")
+    def shard_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, keys.to_numpy().astype("S57"), side="right"))
+
+    no_notice, no_page = F.lit(None).cast("struct<page_id:long,key:string,url:string>"), F.lit(None)
+    rows = keyed.select("key", "url", "page_id", "payload", no_notice.alias("notice")).unionByName(
+        notices(narrow, settings).select("key", "url", no_page.cast("long").alias("page_id"), no_page.cast("binary").alias("payload"), "notice")
+    )
+    dealt = rows.withColumn("shard", shard_of("key")).repartition("shard")
+    in_order = dealt.sortWithinPartitions("shard", "key", F.col("url").asc_nulls_first(), F.col("notice").isNull())
     written = materialize(in_order.mapInArrow(lambda it: _write(it, folder, settings), _MANIFEST), "warc-files")
     written.mapInArrow(lambda it: _commit(it, folder), _MANIFEST).drop("temporary").write.parquet(f"{folder}/manifest")
     system.delete_dir(f"{root}/.writing")
