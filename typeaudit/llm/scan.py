@@ -59,15 +59,15 @@ class Spans(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about ``limit`` bytes of text each, at least one row and at most SLICE_ROWS each."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``limit`` bytes of text each, at least one row and at most ``rows`` each."""
     if not batch.num_rows:
         return
     offsets = _buffers(batch.column(column)).offsets
     begin = 0
     while begin < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1
-        end = min(max(end, begin + 1), begin + SLICE_ROWS, batch.num_rows)
+        end = min(max(end, begin + 1), begin + rows, batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
 
