@@ -278,6 +278,10 @@ def write(pages: DataFrame, folder: str | None = None, settings: Settings = Sett
 # --- reader ------------------------------------------------------------------------------
 
 
+#: Files that a task reads, about.
+_FILES_A_TASK = 4
+
+
 class Broken(ValueError):
     """An archive isn't what its manifest or its own digests say."""
 
@@ -369,4 +373,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     ``payload_bytes`` and ``payload_digest`` are those of the full payload, for revisits too.
     """
     files = read_manifest(spark, folder).select("name", "n_records")
-    return files.repartition("name").mapInArrow(lambda it: _read(it, folder), _RECORDS)
+    # By number, since the rows are too small to be dealt by size.
+    tasks = -(-files.count() // _FILES_A_TASK) or 1
+    return files.repartition(tasks).mapInArrow(lambda it: _read(it, folder), _RECORDS)
