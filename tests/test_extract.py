@@ -243,10 +243,10 @@ def test_members_table(make_sources):
     ]
 
 
-def test_extraction_has_one_exchange_and_python_for_deep_texts_only(make_sources):
+def test_extraction_has_one_exchange_and_no_python(make_sources):
     plan = extract.extract_types(make_sources(a="class A {}"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
-    assert plan.count("ArrowEvalPython") == 1
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def random_file(rng):

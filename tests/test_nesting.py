@@ -2,10 +2,12 @@
 
 import random
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from typeaudit.operators import extract, nesting
+from typeaudit.operators import extract, lexis, nesting
 
 
 def types(sources):
@@ -59,24 +61,69 @@ def test_any_depth(make_sources):
     assert types(make_sources(**texts)) == want
 
 
+def code_of(sources):
+    return {r.path.removesuffix(".swift"): r.code for r in nesting.rewritten(sources).select("path", "code").collect()}
+
+
+def suspects(sources):
+    cut = F.regexp_extract_all("text", F.lit(lexis.OUTLINE), F.lit(0))
+    return {r.path.removesuffix(".swift") for r in sources.withColumn("cut", cut).where(nesting.is_suspect(F.col("cut"))).select("path").collect()}
+
+
 def test_rewriting_changes_nothing_where_it_isn_t_needed(make_sources):
-    """Random shallow sources: the scanner's text gives the same types as the text itself."""
+    """Random shallow sources: the automaton's code gives the same types as the text itself."""
     pick = random.Random(11)
     parts = [
         "func f() { if a { b() } }", "var a = 1, b: [Int] = [1, 2]", 'let s = "x {"', "// } remark", "/* { */", "init() {}",
         "struct N { let z = 0 }", "var p: Int { get { 1 } set {} }", "subscript(i: Int) -> Int { 0 }", 'let m = """\n  }\n"""', "@objc(x) func g<T>(a: T) {}",
+        'let u = "http://a/b?c=\\(d(e))&f", v = #"\\("#', "let w = f(a(b(1)), c[2], { $0 })", "/** doc */ let q = a < b && c > d", "case x(_: A<B>), y",
     ]
-    texts = {f"t{i}": "class A {\n" + "\n".join(pick.choices(parts, k=6)) + "\n}\n" for i in range(40)}
+    texts = {f"t{i}": "class A {\n" + "\n".join(pick.choices(parts, k=6)) + "\n}\n" for i in range(60)}
     sources = make_sources(**texts)
-    again = make_sources(**{k: nesting.rewritten(v) for k, v in texts.items()})
     plain = types(sources)
-    assert plain == types(again) and len(plain) >= 40
-    assert not sources.where(nesting.is_deep(F.col("text"))).count()
+    assert plain == types(make_sources(**code_of(sources))) and len(plain) >= 60
+    assert not suspects(sources)
+
+
+def test_deep_texts_are_suspects(make_sources):
+    regular = {"division", "closure in deep groups", "unclosed", "unclosed inside unclosed", "closed before it opens"}
+    sources = make_sources(**{name: text for name, (text, _) in PROBES.items()})
+    assert suspects(sources) == set(PROBES) - regular
+
+
+def test_line_ends_keep_their_number_and_kind(make_sources):
+    text = 'class A {\r\n let a = """\r\n{\u2028\x85\n"""\r // {\n f(g(h(\x0b))) A<B,\n\x0cC> '
+    [code] = code_of(make_sources(a=text)).values()
+    assert [c for c in code if c in "\r\n\u2028\x85\x0b\x0c"] == [c for c in text if c in "\r\n\u2028\x85\x0b\x0c"]
+
+
+HOSTILE = {
+    "interpolations that never close": 'class A {\n let s = ' + '"\\(' * 400 + "\n}",
+    "interpolations": "class A {\n let s = " + '"\\(' * 1500 + "1" + ')"' * 1500 + "\n func f() {}\n}",
+    "groups": "class A {\n let s = " + "(" * 30000 + ")" * 30000 + "\n func f() {}\n}",
+    "clause": "class A {\n var s: " + "B<" * 4000 + "C, D" + ">" * 4000 + "\n func f() {}\n}",
+    "comments": "class A {\n " + "/*" * 20000 + "}" + "*/" * 20000 + " func f() {}\n}",
+    "literals": "class A {\n" + ' let s = "\\("}")"\n' * 20000 + " func f() {}\n}",
+    "braces": "class A {\n func f() " + "{" * 3000 + "}" * 3000 + "\n}",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_files_do_not_stop_the_others(make_sources, name):
+    """A row for each, in time that doesn't grow with the square of the text."""
+    started = time.perf_counter()
+    found = types(make_sources(good="class G {\n func g() {}\n}", hostile=HOSTILE[name]))
+    assert found[0] == ("G", 1, 0, 3)
+    unclosed = name == "interpolations that never close"
+    lines = 2 if unclosed else 20003 if name == "literals" else 3 if name in ("comments", "braces") else 4
+    counts = {"comments": (1, 0), "braces": (1, 0), "literals": (1, 20000)}.get(name, (1, 1))
+    assert found[1] == ("A", 0, 1, 2) if unclosed else ("A", *counts, lines)
+    assert time.perf_counter() - started < 60
 
 
-def test_line_ends_keep_their_number_and_kind():
-    text = 'class A {\r\n let a = """\r\n{\u2028\x85\n"""\r // {\n'
-    assert [c for c in nesting.rewritten(text) if c in "\r\n\u2028\x85"] == [c for c in text if c in "\r\n\u2028\x85"]
+def test_no_python_in_the_plan(make_sources):
+    plan = extract.extract_types(make_sources(a="class A {}"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_no_text_in_the_exchange(make_sources):

@@ -34,18 +34,27 @@ def _breaks(column: str):
     return F.when(F.col("only_lf"), tx.lf_count(F.col(column))).otherwise(tx.newline_count(F.col(column)))
 
 
-def _by_file(sources: DataFrame, partitions: int | None, close: bool = True) -> DataFrame:
-    """Readable files with regular nesting; dealt out anew only where ``partitions`` is given, for sources
-    that lie in too few partitions to begin with."""
+def _cut(sources: DataFrame, partitions: int | None, expression: str) -> DataFrame:
+    """The elements of readable files; dealt out anew only where ``partitions`` is given, for sources
+    that lie in too few partitions to begin with.
+
+    A text that nests beyond the expression is rewritten and cut again.
+    """
     files = sources.where(F.col("text").isNotNull()).select(*_FILE, "text")
     if partitions:
         files = files.repartition(partitions, *_FILE)
-    return files.withColumn("text", nesting.regular(F.col("text"), close))
-
-
-def tokens(
-    sources: DataFrame, partitions: int | None = None, outline: bool = False, close: bool = True
-) -> DataFrame:
+    # What a row needs of its text is taken before there are rows of elements.
+    files = files.withColumn("only_lf", ~F.col("text").rlike(tx.RARE_NEWLINES))
+    files = files.withColumn("elements", F.regexp_extract_all("text", F.lit(expression), F.lit(0)))
+    files = files.withColumn("suspect", nesting.is_suspect(F.col("elements")))
+    again = nesting.rewritten(files, "text", F.col("suspect"))
+    elements = F.coalesce(F.regexp_extract_all("code", F.lit(expression), F.lit(0)), F.col("elements"))
+    cut = again.select(*_FILE, "only_lf", elements.alias("elements"))
+    # Every text has an element; the outer form keeps the planner from testing that by cutting twice.
+    return cut.select(*_FILE, "only_lf", F.posexplode_outer("elements").alias("pos", "element"))
+
+
+def tokens(sources: DataFrame, partitions: int | None = None, outline: bool = False) -> DataFrame:
     """Structural elements of every readable file, with running line and nesting counters.
 
     With ``outline`` the bodies of functions, and other braced groups that can hold no member of a
@@ -54,9 +63,7 @@ def tokens(
     ``line_from`` and ``line_to`` are newline counts before the first and after the last
     character of the element proper, ``line_before`` the one at the end of the previous element.
     """
-    by_file = _by_file(sources, partitions, close).withColumn("only_lf", ~F.col("text").rlike(tx.RARE_NEWLINES))
-    element = F.regexp_extract_all("text", F.lit(lexis.OUTLINE if outline else lexis.ELEMENT), F.lit(0))
-    cut = by_file.select(*_FILE, "only_lf", F.posexplode(element).alias("pos", "element"))
+    cut = _cut(sources, partitions, lexis.OUTLINE if outline else lexis.ELEMENT)
     # Blanks are trimmed natively; only a comment or a rare blank in front needs the expression.
     trimmed = F.ltrim("element", F.lit(" \n\t\r"))
     headed = cut.withColumn(
@@ -79,7 +86,7 @@ def tokens(
         _breaks("head").alias("breaks_inside"),
         F.expr("""CASE WHEN is_decl THEN 'decl' WHEN first IN ('{', '}', ',') THEN first
             WHEN first IN ('(', '[') THEN '(' WHEN first IN (')', ']') THEN ')'
-            WHEN first = '#' THEN regexp_extract(head, '^#[a-zA-Z]+', 0) ELSE '' END AS kind"""),
+            WHEN first = '#' THEN regexp_extract(head, '^#[a-zA-Z]+', 0) WHEN first = '' THEN 'end' ELSE '' END AS kind"""),
         F.expr("CASE WHEN is_decl THEN parts[0] END AS keyword"),
         F.expr("CASE WHEN is_decl THEN nullif(parts[1], '') END AS name"),
         # Only members without a name of their own go by their first token.
@@ -110,9 +117,10 @@ def tokens(
 def _blocks(token_rows: DataFrame) -> DataFrame:
     """Rows that lie directly in the body of a class or struct, keyed by the body's ``block``.
 
-    ``role``: ``open`` and ``close`` of the body, ``member`` start, ``comma``, ``accessor``.
+    ``role``: ``open`` and ``close`` of the body, ``member`` start, ``comma``, ``accessor``, and ``end`` for the end of a file
+    inside the body.
     """
-    structural = "kind IN ('decl', '{', '}', ',', '#if', '#warning', '#error', '#sourceLocation')"
+    structural = "kind IN ('decl', '{', '}', ',', 'end', '#if', '#warning', '#error', '#sourceLocation')"
     by_pos = "PARTITION BY project, path ORDER BY pos"
     marked = token_rows.where(f"{structural} OR has_value").selectExpr(
         "*",
@@ -121,20 +129,25 @@ def _blocks(token_rows: DataFrame) -> DataFrame:
               THEN struct(keyword, name, line_from AS line, pos AS decl_pos) END, true)
             OVER ({by_pos} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS owner""",
         f"lag(CASE WHEN has_value THEN '=' WHEN kind = 'decl' THEN keyword ELSE kind END) OVER ({by_pos}) AS before",
+        # A brace may close before any opens.
+        f"least(0, min(braces) OVER ({by_pos} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS lowest",
     )
     # A brace right after a declared name (or its type) or a binding comma is an accessor block;
     # after an initial value it is one only if an accessor keyword follows. The brace itself
-    # belongs to the block it opens; as an accessor it belongs to the block around it.
+    # belongs to the block it opens; as an accessor it belongs to the block around it. The end of the
+    # file ends every block that is open, the outermost first.
     roles = marked.where(structural).selectExpr(
         "*",
-        """explode(CASE
+        """posexplode(CASE
              WHEN kind = '{' AND (opens_accessor OR before IN ('var', 'let', ',')) THEN array('open', 'accessor')
              WHEN kind = '{' THEN array('open') WHEN kind = '}' THEN array('close')
-             WHEN kind = ',' THEN array('comma') ELSE array('member') END) AS role""",
+             WHEN kind = 'end' THEN array_repeat('end', if(before = 'end', 0, CAST(braces - lowest AS INT)))
+             WHEN kind = ',' THEN array('comma') ELSE array('member') END) AS (nth, role)""",
     )
     leveled = roles.selectExpr(
-        *_FILE, "pos", "role", "owner", "keyword", "name", "first_token", "line_from", "line_before", "parens",
-        "braces + CASE role WHEN 'close' THEN 1 WHEN 'accessor' THEN -1 ELSE 0 END AS level",
+        *_FILE, "pos", "role", "owner", "keyword", "name", "first_token", "line_before", "parens",
+        "if(role = 'end', line_before, line_from) AS line_from",
+        "CASE role WHEN 'end' THEN lowest + nth + 1 WHEN 'close' THEN braces + 1 WHEN 'accessor' THEN braces - 1 ELSE braces END AS level",
         # The directive that opens a conditional group stands outside of it.
         "conditionals - CASE kind WHEN '#if' THEN 1 ELSE 0 END AS conditionals",
     )
@@ -146,7 +159,7 @@ def _blocks(token_rows: DataFrame) -> DataFrame:
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS around""",
     )
     direct = "parens = around.parens AND conditionals = around.conditionals"
-    return inside.where(f"around.is_type AND (role IN ('open', 'close') OR ({direct}))").selectExpr(
+    return inside.where(f"around.is_type AND (role IN ('open', 'close', 'end') OR ({direct}))").selectExpr(
         *_FILE, "pos", "around.block AS block", "role", "owner", "keyword", "name", "first_token", "line_from", "line_before",
     )
 
@@ -165,13 +178,12 @@ def _member_rows(block_rows: DataFrame) -> DataFrame:
         f"sum(CASE role WHEN 'comma' THEN 1 ELSE 0 END) {so_far} AS commas",
         f"sum(CASE role WHEN 'accessor' THEN 1 ELSE 0 END) {so_far} AS accessors",
     )
-    reaching = counted.where("role IN ('open', 'member', 'close')").selectExpr(
+    reaching = counted.where("role IN ('open', 'member', 'close', 'end')").selectExpr(
         "*",
         f"lead(line_before) OVER ({by_pos}) - line_from + 1 AS reach",
         f"lead(commas) OVER ({by_pos}) - commas AS own_commas",
         f"lead(accessors) OVER ({by_pos}) - accessors AS own_accessors",
     )
-    # A member that nothing follows belongs to a body that never closes.
     measured = reaching.selectExpr("*", "CASE WHEN role = 'member' THEN reach END AS lines").selectExpr(
         "*", f"coalesce(sum(lines) OVER ({by_pos} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier"
     )
@@ -187,11 +199,15 @@ def _member_rows(block_rows: DataFrame) -> DataFrame:
     )
 
 
-def _type_rows(member_rows: DataFrame) -> DataFrame:
-    """One grouped aggregate per type body; a body without members still has its two braces."""
+def _type_rows(member_rows: DataFrame, close: bool = True) -> DataFrame:
+    """One grouped aggregate per type body; a body without members still has its two braces.
+
+    Unless ``close``, a body that the file ends has no line count.
+    """
+    ends = "('close', 'end')" if close else "('close')"
     grouped = member_rows.groupBy(*_BLOCK).agg(
         F.expr("max(CASE WHEN role = 'open' THEN owner END) AS owner"),
-        F.expr("max(CASE WHEN role = 'close' THEN line_from END) AS close_line"),
+        F.expr(f"max(CASE WHEN role IN {ends} THEN line_from END) AS close_line"),
         F.expr("CAST(count_if(role = 'member' AND keyword = 'func') AS INT) AS method_count"),
         F.expr("CAST(sum(bindings) AS INT) AS property_count"),
         F.expr("CAST(count_if(role = 'member' AND keyword = 'init') AS INT) AS initializer_count"),
@@ -222,7 +238,7 @@ def _type_rows(member_rows: DataFrame) -> DataFrame:
 
 def extract_all(sources: DataFrame, partitions: int | None = None, close: bool = True) -> DataFrame:
     """Every class and struct with a body. Unless ``close``, ``line_count`` is null where the body never closes."""
-    return _type_rows(_member_rows(_blocks(tokens(sources, partitions, outline=True, close=close))))
+    return _type_rows(_member_rows(_blocks(tokens(sources, partitions, outline=True))), close)
 
 
 def extract_types(sources: DataFrame, partitions: int | None = None) -> DataFrame:

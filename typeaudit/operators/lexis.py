@@ -9,8 +9,13 @@ of a text join back to that text.
 
 Group loops are possessive throughout, which keeps the Java matcher iterative on long
 comments and literals.
+
+Literals, comments and generic clauses nest to a fixed depth here. What goes beyond is not cut wrongly but not matched: its first
+character begins an element, which no regular text has (``SUSPECT``), and ``nesting`` rewrites the text.
 """
 
+from functools import partial
+
 # --- blanks, comments, literals ---------------------------------------------------------
 
 # Classes of single Latin characters and \w are table lookups in Java; wider ones come second.
@@ -21,7 +26,7 @@ SPACE = rf"(?:[ \t\n\r\f\x0B]|{_RARE_SPACE})"
 def _block_comment(depth: int) -> str:
     """Block comments nest; an unclosed one runs to the end of the text."""
     if depth == 0:
-        return r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
+        return r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+(?:\*/|\z)"
     return rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*)|{_block_comment(depth - 1)})*+(?:\*/|\z)"
 
 
@@ -34,22 +39,26 @@ def _interpolation(depth: int) -> str:
     """Content of a ``\\( )`` group inside a one-line literal."""
     plain = r'[^()"\n\r]++'
     if depth == 0:
-        return rf'(?:{plain}|"(?:[^"\\\n\r]++|\\.)*+")*+'
+        return rf'(?:{plain}|"(?:[^"\\\n\r]++|\\[^(\n\r])*+")*+'
     inner = _interpolation(depth - 1)
-    return rf'(?:{plain}|"(?:[^"\\\n\r]++|\\\({inner}\)|\\.)*+"|\({inner}\))*+'
+    return rf'(?:{plain}|"(?:[^"\\\n\r]++|\\\({inner}\)|\\[^(\n\r])*+"|\({inner}\))*+'
 
 
 def _raw_literals() -> str:
+    """Raw literals without interpolation."""
     forms = []
     for hashes in ("###", "##", "#"):
-        forms.append(rf'{hashes}"""(?:[^"]++|"(?!""{hashes}))*+"""{hashes}')
-        forms.append(rf'{hashes}"(?:[^"\n\r]++|"(?!{hashes}))*+"{hashes}')
+        escape = rf"\\(?!{hashes}\()"
+        forms.append(rf'{hashes}"""(?:[^"\\]++|{escape}|"(?!""{hashes}))*+"""{hashes}')
+        forms.append(rf'{hashes}"(?!"")(?:[^"\\\n\r]++|{escape}|"(?!{hashes}))*+"{hashes}')
     return "|".join(forms)
 
 
+# In a literal of several lines, an interpolation without literals of its own.
+_CALL = r'\\\((?:[^()"]++|\([^()"]*+\))*+\)'
 LITERAL = (
-    rf'(?:{_raw_literals()}|"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""'
-    rf'|"(?:[^"\\\n\r]++|\\\({_interpolation(2)}\)|\\.)*+")'
+    rf'(?:{_raw_literals()}|"""(?:[^"\\]++|\\[^(]|{_CALL}|"(?!""))*+"""'
+    rf'|"(?!"")(?:[^"\\\n\r]++|\\\({_interpolation(2)}\)|\\[^(\n\r])*+")'
 )
 
 # --- words ------------------------------------------------------------------------------
@@ -137,10 +146,36 @@ def _generic(depth: int) -> str:
     return rf"(?:{plain})*+" if depth == 0 else rf"(?:{plain}|<{_generic(depth - 1)}>)*+"
 
 
+def _open_groups(opener: str, closer: str, plain: str, depth: int) -> str:
+    """``depth`` groups that are open at once. Before the next one opens, whole groups may stand that
+    are too shallow to be it."""
+    skipped = f"{plain}*+"
+    found = opener
+    for _ in range(depth - 1):
+        found = f"{opener}{skipped}{found}"
+        skipped = f"(?:{plain}|{opener}{skipped}{closer})*+"
+    return found
+
+
+GENERIC_DEPTH = 3
+_DEEP_GENERIC = rf"(?<=[\w`])(?={_open_groups('<', '>', '(?:[^-<>{};=]|->?+)', GENERIC_DEPTH + 2)})"
+
+# Words after which an expression begins.
+_BEFORE_EXPRESSION = "return in case where if guard while switch else try throw await yield is as".split()
+# A slash that begins an expression and has its fellow on the line is a regular expression of the language.
+REGEX_OPENER = (
+    r"/(?=[^\s/*][^\n\r]*(?<![ \t])/)"
+    rf"(?<=(?:^|[=(,:\[{{;!&|?+*<>~^%\n\r-]|(?<!\w)(?:{'|'.join(_BEFORE_EXPRESSION)})(?=[ \t]))[ \t]{{0,9}}/)"
+)
+_EXTENDED_REGEX = r"#++/(?=[^\n\r]*/#|[ \t]*[\n\r])"
+# What else may stand in a group: no mark that begins something of its own.
+_GROUP_MARK = rf'(?:#(?![#"/])|(?!/[/*]|{REGEX_OPENER})/)'
+
+
 def _flat(depth: int) -> str:
     """A group of parentheses or brackets without braces."""
     inner = "" if depth == 0 else f"|{_flat(depth - 1)}"
-    return rf'[(\[](?:[^()\[\]{{}}"/#]++|{LITERAL}|{COMMENT}|[#/]{inner})*+[)\]]'
+    return rf'[(\[](?:[^()\[\]{{}}"/#]++|{LITERAL}|{COMMENT}|{_GROUP_MARK}{inner})*+[)\]]'
 
 
 def _nest(opener: str, depth: int) -> str:
@@ -148,23 +183,31 @@ def _nest(opener: str, depth: int) -> str:
     inner = "" if depth == 0 else "|" + _nest(r"[({\[]", depth - 1)
     # Runs stop at c and s only, to look for the two words.
     letter = rf"(?!(?<!\w)(?:class|struct){_END}{TRIVIA}++[\w`])[cs]"
-    return rf'{opener}(?:[^()\[\]{{}}"/#cs]++|{letter}|{LITERAL}|{COMMENT}|[#/]{inner})*+[)}}\]]'
+    return rf'{opener}(?:[^()\[\]{{}}"/#cs]++|{letter}|{LITERAL}|{COMMENT}|{_GROUP_MARK}{inner})*+[)}}\]]'
 
 
 def _plain(group: str) -> str:
     return (
         rf"(?:{LITERAL}"
         rf"|{group}"
-        rf"|(?<=[\w`])<{_generic(3)}>"
+        rf"|(?<=[\w`])<{_generic(GENERIC_DEPTH)}>"
         rf"|\.(?:\.++|{SPACE}*+{IDENTIFIER})?+"
         rf"|(?!{_any(_RESERVED)}){IDENTIFIER}"
         rf"|\d{_WORD_TAIL}"
-        rf"|(?:(?!/[/*]){OPERATOR_CHAR})++"
-        rf"|#(?!{_any(DIRECTIVES)}){IDENTIFIER}"
+        rf"|(?!{REGEX_OPENER}|{_DEEP_GENERIC})(?:(?!/[/*]){OPERATOR_CHAR})++"
+        rf"|#(?!{_any(DIRECTIVES)}|[#\"/]){IDENTIFIER}"
         r"|[:;\\])"
     )
 
 
+# What an element begins with only where something nests beyond the expressions above: a literal, comment, generic
+# clause or regular expression that was not matched, and attributes and patterns that were cut.
+_PARENS = partial(_open_groups, r"\(", r"\)", "[^()]")
+SUSPECT = (
+    rf"^{TRIVIA}*+(?:[\"</]|#(?!{_any(DIRECTIVES)}|{IDENTIFIER})|@[\w.]++{BREAK}{_PARENS(4)}|(?:var|let){BREAK}{_PARENS(3)})"
+)
+
+
 # An opening brace takes the accessor keyword that follows it.
 _ACCESSOR_WORDS = "get set willSet didSet _read _modify".split()
 _ACCESSOR = (

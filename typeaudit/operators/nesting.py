@@ -1,219 +1,146 @@
-"""Texts whose nesting no regular expression bounds, rewritten to texts that one can cut.
+"""Texts whose nesting no regular expression bounds, rewritten in Catalyst to texts that one can cut.
 
-The expressions of ``lexis`` handle literals, comments, generic clauses and groups nested to a fixed depth. Texts
-that may go beyond (``is_deep``, native and one-sided: it may name a text that doesn't) pass a scanner with a stack,
-in Arrow batches: the inside of comments and literals becomes blanks, deep generic clauses and groups without braces
-as well, and braces that never close are closed after the last token. Newlines keep their number and kind, so counts of
-lines are those of the original.
+The expressions of ``lexis`` match literals, comments, generic clauses and groups to a fixed depth and leave a mark where that isn't enough
+(``is_suspect``). Such a text is read again by an automaton with a stack: its delimiters are found by one flat expression, and ``aggregate`` folds
+them with a state of mode, group depth and a stack of what is open. The inside of comments and literals becomes blanks, and so do groups
+deeper than two, but for what stands in braces; a literal leaves ``0``. Generic clauses are blanked after that, many levels at a time. Newlines keep
+their number and kind, so counts of lines are those of the original.
+
+Nothing recurses: an interpolation or brace is a frame of fixed width on a string. The fold runs in blocks of delimiters, so pieces of
+output are joined once for each block, and a text of any length costs time in proportion.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from typeaudit.operators import lexis
 
-_NEWLINES = "\n\r\x0b\x0c\x85\u2028\u2029"
-_COVER = re.compile(f"[^{_NEWLINES}]")
-
-# --- which texts -------------------------------------------------------------------------
-
-
-def _open_groups(opener: str, closer: str, plain: str, depth: int) -> str:
-    """``depth`` groups that are open at once. Before the next one opens, whole groups may stand that
-    are too shallow to be it."""
-    skipped = f"{plain}*+"
-    found = opener
-    for _ in range(depth - 1):
-        found = f"{opener}{skipped}{found}"
-        skipped = f"(?:{plain}|{opener}{skipped}{closer})*+"
-    return found
-
-
-_REGEX_LITERAL = r"(?:^|[=(,:\[{;!&|?+*<>~^%\s-])/[^\s/*][^\n\r]*/"
-_SUSPECT = [
-    r"####|#/|\\#+\(",
-    r"(?:\\\([^\n\r]*){4}",
-    r"\\\([^)\n\r]*\\\(",
-    _open_groups("<", ">", "(?:[^-<>{};=]|->?+)", 5),
-    _open_groups(r"[(\[]", r"[)\]]", r"[^()\[\]]", 3),
-    _REGEX_LITERAL,
-    # A brace that closes before any opens.
-    r"^[^{}]*+\}",
-]
-
-
-def _times(text: Column, part: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
-
-
-def is_deep(text: Column) -> Column:
-    """True for every text that the expressions of ``lexis`` might cut wrongly."""
-    found = _times(text, "/*") > 5
-    found |= F.contains(text, F.lit('"""')) & F.contains(text, F.lit("\\("))
-    for pattern in _SUSPECT:
-        found |= text.rlike(f"(?m){pattern}" if pattern == _REGEX_LITERAL else pattern)
-    # Braces of the code alone; literals and comments are taken out only where one may hold a brace.
-    code = F.when(text.rlike(r'["/][^\n\r]*[{}]|/\*|"""'), F.regexp_replace(text, f"{lexis.LITERAL}|{lexis.COMMENT}", "")).otherwise(text)
-    return found | (_times(code, "{") != _times(code, "}"))
-
-
-# --- the scanner -------------------------------------------------------------------------
-
-_CODE = re.compile(r'//[^\n\r]*|/\*|(?P<hashes>#*)(?P<quotes>"""|")|(?P<marks>#+)/|/|[()]')
-_COMMENT_MARK = re.compile(r"/\*|\*/")
-_BARE_REGEX = re.compile(r"/(?![ \t/*])(?:\\[^\n\r]|[^/\\\n\r])*(?<![ \t])/")
-# Words after which an expression begins.
-_BEFORE_EXPRESSION = set("return in case where if guard while switch else try throw await yield is as".split())
-_LAST_WORD = re.compile(r"(\w+|\S)\s*\Z")
-
-
-def _comment_end(text: str, at: int) -> int:
-    """End of the block comment that opens at ``at``; comments nest."""
-    depth = 0
-    for mark in _COMMENT_MARK.finditer(text, at):
-        depth += 1 if mark.group() == "/*" else -1
-        if not depth:
-            return mark.end()
-    return len(text)
-
-
-def _begins_expression(text: str, at: int) -> bool:
-    line = text[max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1 : at]
-    last = _LAST_WORD.search(line)
-    if last is None:
-        return True
-    word = last.group(1)
-    return word in _BEFORE_EXPRESSION if word[-1].isalnum() or word[-1] == "_" else word not in ")]}\"`'"
-
-
-def _literal_end(text: str, at: int, hashes: str, quotes: str) -> int:
-    """End of the literal whose content begins at ``at``; its interpolations may hold literals and groups."""
-    close = re.compile(rf'{quotes}{hashes}|\\{hashes}(?P<open>\()|\\{hashes}[\s\S]' + ("" if len(quotes) == 3 else r"|[\n\r]"))
-    while True:
-        found = close.search(text, at)
-        if found is None:
-            return len(text)
-        if found.group("open"):
-            at = _code_end(text, found.end())
-        elif found.group()[0] == "\\":
-            at = found.end()
-        else:
-            # A one-line literal that doesn't close ends before the line's end.
-            return found.start() if found.group() in "\n\r" else found.end()
-
-
-def _code_end(text: str, at: int) -> int:
-    """End of an interpolation whose content begins at ``at``."""
-    depth, done = 1, at
-    for start, end, kind in _parts(text, at):
-        done = end
-        if kind == "(":
-            depth += 1
-        elif kind == ")":
-            depth -= 1
-            if not depth:
-                return end
-    return max(done, len(text))
-
-
-def _parts(text: str, at: int):
-    """Begin, end and kind of the comments, literals and parentheses of code."""
-    while found := _CODE.search(text, at):
-        begin, mark = found.span()[0], found.group()
-        if mark in "()":
-            kind, end = mark, found.end()
-        elif mark.startswith("//"):
-            kind, end = "comment", found.end()
-        elif mark == "/*":
-            kind, end = "comment", _comment_end(text, begin)
-        elif found.group("quotes"):
-            kind, end = "literal", _literal_end(text, found.end(), found.group("hashes"), found.group("quotes"))
-        elif found.group("marks"):
-            close = re.compile(rf"/{found.group('marks')}").search(text, found.end())
-            one_line = text[found.end() : found.end() + 1] not in ("\n", "\r")
-            whole = close and not (one_line and re.search(r"[\n\r]", text[begin : close.start()]))
-            kind, end = ("literal", close.end()) if whole else ("", found.end())
-        else:
-            bare = _BARE_REGEX.match(text, begin) if _begins_expression(text, begin) else None
-            kind, end = ("literal", bare.end()) if bare else ("", found.end())
-        yield begin, end, kind
-        at = end
-
-
-def _blank(part: str) -> str:
-    return _COVER.sub(" ", part)
-
-
-_GENERIC = re.compile(r"(?<=[\w`])<((?:[\w\s.,?!:&@`~]|->|\[[^\[\]{}()=;<>]*\]|\([^(){}=;<>]*\))*)>")
-_BRACKET = re.compile(r"[()\[\]{}]")
+_NEWLINES = r"\n\r\x0B\f\x85\u2028\u2029"
+#: Groups up to this depth stay.
 _KEPT_DEPTH = 2
-
-
-def _shallow(code: str) -> str:
-    """Without the inside of generic clauses and of deep groups that hold no brace."""
-    before = None
-    while before != code:
-        before = code
-        code = _GENERIC.sub(lambda m: _blank(m.group()), code)
-    stack, covers = [], []
-    for mark in _BRACKET.finditer(code):
-        if mark.group() in "{}":
-            # No group around a brace is covered; braces start counting anew.
-            stack = [(at, depth, True) for at, depth, _ in stack]
-            if mark.group() == "{":
-                stack.append((None, 0, True))
-            else:
-                while stack and stack.pop()[0] is not None:
-                    pass
-        elif mark.group() in "([":
-            depth = stack[-1][1] + 1 if stack else 1
-            stack.append((mark.start(), depth, False))
-        elif stack and stack[-1][0] is not None:
-            at, depth, holds = stack.pop()
-            if depth > _KEPT_DEPTH and not holds:
-                covers.append((at, mark.end()))
-    for begin, end in covers:
-        code = code[:begin] + _blank(code[begin:end]) + code[end:]
-    return code
-
-
-def _closed(code: str) -> str:
-    """With a closing brace after the last token for each one that is missing."""
-    depth = 0
-    for mark in re.finditer(r"[{}]", code):
-        depth = depth + 1 if mark.group() == "{" else max(depth - 1, 0)
-    end = len(code.rstrip())
-    return code[:end] + "}" * depth + code[end:]
-
-
-def rewritten(text: str, close: bool = True) -> str:
-    pieces, at = [], 0
-    for begin, end, kind in _parts(text, 0):
-        if kind not in ("comment", "literal"):
-            continue
-        inside = _blank(text[begin:end])
-        if kind == "literal":
-            # Quotes stay, so that a literal is one token still.
-            quotes = '"""' if re.search(f"[{_NEWLINES}]", inside) else '"'
-            inside = f"{quotes}{inside}{quotes}"
-        pieces += [text[at:begin], inside]
-        at = end
-    pieces.append(text[at:])
-    code = _shallow("".join(pieces))
-    return _closed(code) if close else code
-
-
-def regular(text: Column, close: bool = True) -> Column:
-    """``text``, rewritten if it may be deep. Only deep texts are sent to Python."""
-
-    def each(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda one: rewritten(one, close), na_action="ignore")
-
-    scanner = F.pandas_udf(each, T.StringType())
-    return F.coalesce(scanner(F.when(is_deep(text), text)), text)
+#: Delimiters folded before their output is put aside.
+_BLOCK = 256
+
+# A delimiter with the plain run before it: run, opener of a regular expression, any other delimiter.
+_DELIMITER = (
+    r'//|/\*|\*/|\\#*+\(|\\"""#++|\\"#*+|\\[\\/]|#*+"""#*+|#*+"#*+'
+    rf"|{lexis._EXTENDED_REGEX}|/#++|[\s\S]|\z"
+)
+_TOKEN = rf'([^"/*\\#\n\r(){{}}\[\]]*+)(?:({lexis.REGEX_OPENER})|({_DELIMITER}))'
+
+# A generic clause of up to so many levels, what lies between, and the innermost kind.
+_LEVELS = 30
+_CLAUSE = rf"(?<=[\w`])<{lexis._generic(_LEVELS)}>"
+_PIECE = rf"{_CLAUSE}|[^<]++|<"
+_INNERMOST = rf"(?<=[\w`])<{lexis._generic(0)}>"
+
+
+def is_suspect(elements: Column) -> Column:
+    """Does any element of a text begin with what the expressions left unmatched?"""
+    return F.exists(elements, lambda e: e.rlike(lexis.SUSPECT))
+
+
+def _blank(text: Column) -> Column:
+    return F.regexp_replace(text, f"[^{_NEWLINES}]", " ")
+
+
+# --- the automaton -----------------------------------------------------------------------
+#
+# Modes: c code, s literal of one line, m of several, l line comment, b block comment, r regular expression, x extended one.
+# A frame is a kind ({ brace, else the mode of the literal around an interpolation), its marks and the group depth around it.
+
+_START = "struct('c' AS mode, 0 AS marks, 0 AS depth, 0 AS level, 0 AS inner, '' AS stack)"
+_FRAME = 13
+
+
+def _action(state: str, token: str) -> str:
+    """What a delimiter does, by name."""
+    d, mode, marks = f"{token}.d", f"{state}.mode", f"{state}.marks"
+    behind = f"length(regexp_extract({d}, '#*$', 0))"
+    hashes = f"length({d}) - length(replace({d}, '#', ''))"
+    top = f"substring({state}.stack, -{_FRAME}, 1)"
+    in_code = f"""CASE WHEN {token}.r <> '' THEN 'regex' WHEN {d} = '//' THEN 'line' WHEN {d} = '/*' THEN 'block'
+        WHEN {d} RLIKE '^#*"' THEN 'literal' WHEN {d} RLIKE '^#+/$' THEN 'extended'
+        WHEN {d} IN ('(', '[') OR {d} RLIKE '^.#*[(]$' THEN 'open'
+        WHEN {d} = ')' AND {state}.depth = 0 AND {top} IN ('s', 'm') THEN 'back'
+        WHEN {d} IN (')', ']') THEN 'close' WHEN {d} = '{{' THEN 'brace' WHEN {d} = '}}' THEN 'unbrace' ELSE '' END"""
+    quoted = f"""CASE WHEN {d} RLIKE '[(]$' AND startswith({d}, '\\\\') THEN if({hashes} = {marks}, 'into', '')
+        WHEN startswith({d}, '\\\\') AND ({marks} = 0 OR NOT contains({d}, '"')) THEN ''
+        WHEN {mode} = 's' THEN if(({d} IN ('\\n', '\\r')) OR (contains({d}, '"') AND {behind} >= {marks}), 'end', '')
+        ELSE if(contains({d}, '\"\"\"') AND {behind} >= {marks}, 'end', '') END"""
+    return f"""CASE {mode} WHEN 'c' THEN {in_code} WHEN 'l' THEN if({d} IN ('\\n', '\\r'), 'end', '')
+        WHEN 'b' THEN CASE {d} WHEN '/*' THEN 'more' WHEN '*/' THEN if({state}.level = 1, 'end', 'less') ELSE '' END
+        WHEN 'r' THEN if(({d} IN ('\\n', '\\r')) OR {token}.r <> '' OR (contains({d}, '/') AND NOT startswith({d}, '\\\\')), 'end', '')
+        WHEN 'x' THEN if({d} RLIKE '^/#+$' AND {behind} >= {marks}, 'end', '') ELSE {quoted} END"""
+
+
+def _step() -> str:
+    """The fold's function: state and token to state, with the token's output appended."""
+    s, t = "bound.s", "bound.t"
+    depth, stack = f"{s}.depth", f"{s}.stack"
+    saved = f"CAST(substring({stack}, -9, 9) AS INT)"
+    top = f"substring({stack}, -{_FRAME}, 1)"
+    popped = f"substring({stack}, 1, length({stack}) - {_FRAME})"
+    in_frame = f"lpad(CAST({depth} AS STRING), 9, '0')"
+    is_brace = f"({top} = '{{')"
+    shown = f"({s}.mode = 'c' AND {s}.inner = 0)"
+    blank = "regexp_replace({0}, '[^" + _NEWLINES.replace("\\", "\\\\") + "]', ' ')"
+    opened = f"length(regexp_extract({t}.d, '^#*', 0))"
+    run = f"if({shown} AND {depth} <= {_KEPT_DEPTH}, {t}.run, {blank.format(f'{t}.run')})"
+    mark = f"""CASE WHEN {t}.d IN ('\\n', '\\r') THEN {t}.d WHEN NOT {shown} THEN '  '
+        WHEN a IN ('brace', 'unbrace') THEN {t}.d WHEN a IN ('line', 'block') OR startswith({t}.d, '\\\\') THEN ' '
+        WHEN {depth} > {_KEPT_DEPTH} OR (a = 'open' AND {depth} = {_KEPT_DEPTH}) THEN ' '
+        WHEN a IN ('literal', 'regex', 'extended') THEN ' 0 ' ELSE {t}.d END"""
+    fields = {
+        "mode": f"""CASE a WHEN 'literal' THEN if(contains({t}.d, '\"\"\"'), 'm', 's') WHEN 'line' THEN 'l' WHEN 'block' THEN 'b'
+            WHEN 'regex' THEN 'r' WHEN 'extended' THEN 'x' WHEN 'end' THEN 'c' WHEN 'into' THEN 'c' WHEN 'back' THEN {top}
+            ELSE {s}.mode END""",
+        "marks": f"""CASE a WHEN 'literal' THEN {opened} WHEN 'extended' THEN length({t}.d) - 1
+            WHEN 'back' THEN CAST(substring({stack}, -{_FRAME - 1}, 3) AS INT) ELSE {s}.marks END""",
+        "depth": f"""CASE a WHEN 'open' THEN {depth} + 1 WHEN 'close' THEN greatest({depth} - 1, 0) WHEN 'into' THEN 0 WHEN 'brace' THEN 0
+            WHEN 'back' THEN {saved} WHEN 'unbrace' THEN if({is_brace}, {saved}, {depth}) ELSE {depth} END""",
+        "level": f"CASE a WHEN 'block' THEN 1 WHEN 'more' THEN {s}.level + 1 WHEN 'less' THEN {s}.level - 1 ELSE {s}.level END",
+        "inner": f"CASE a WHEN 'into' THEN {s}.inner + 1 WHEN 'back' THEN {s}.inner - 1 ELSE {s}.inner END",
+        "stack": f"""CASE a WHEN 'into' THEN concat({stack}, {s}.mode, lpad(CAST(least({s}.marks, 999) AS STRING), 3, '0'), {in_frame})
+            WHEN 'brace' THEN concat({stack}, '{{000', {in_frame}) WHEN 'back' THEN {popped}
+            WHEN 'unbrace' THEN if({is_brace}, {popped}, {stack}) ELSE {stack} END""",
+    }
+    state = "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+    result = f"named_struct('s', {state}, 'out', concat(acc.out, {run}, {mark}))"
+    bound = f"transform(array(named_struct('s', acc.s, 't', token)), bound -> transform(array({_action(s, t)}), a -> {result})[0])[0]"
+    return f"(acc, token) -> {bound}"
+
+
+_FOLD = f"""aggregate(
+    sequence(0, CAST((size(delimiters) - 1) / {_BLOCK} AS INT)),
+    named_struct('s', {_START}, 'parts', CAST(array() AS ARRAY<STRING>)),
+    (outer, i) -> transform(
+        array(aggregate(slice(delimiters, i * {_BLOCK} + 1, {_BLOCK}), named_struct('s', outer.s, 'out', ''), {_step()})),
+        block -> named_struct('s', block.s, 'parts', concat(outer.parts, array(block.out))))[0],
+    done -> array_join(done.parts, ''))"""
+
+
+def _without_generics(code: Column) -> Column:
+    """Blanks for generic clauses, ``_LEVELS`` levels at a time until none is left."""
+
+    def once(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+        blanked = F.transform(pieces, lambda p: F.when(p.startswith("<") & (F.length(p) > 1), _blank(p)).otherwise(p))
+        return F.when(text.rlike(_INNERMOST), F.array_join(blanked, "")).otherwise(text)
+
+    opened = F.length(code) - F.length(F.replace(code, F.lit("<"), F.lit("")))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(opened / (_LEVELS + 1))), code, lambda text, _: once(text))
+
+
+def rewritten(sources: DataFrame, text: str = "text", when: Column | None = None) -> DataFrame:
+    """``sources`` with a regular ``code`` for each text for which ``when`` holds, null for the others.
+
+    ``code`` has blanks for comments and deep groups, ``0`` for literals and no generic clauses.
+    """
+    chosen = F.col(text) if when is None else F.when(when, F.col(text))
+    run, opener, delimiter = (F.regexp_extract_all(chosen, F.lit(_TOKEN), F.lit(k)) for k in (1, 2, 3))
+    found = sources.withColumn("delimiters", F.arrays_zip(run.alias("run"), opener.alias("r"), delimiter.alias("d")))
+    found = found.withColumn("code", F.expr(_FOLD)).drop("delimiters")
+    return found.withColumn("code", _without_generics(F.col("code")))

@@ -169,8 +169,14 @@ def project_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("project"), text.alias("config_text"))
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than cores is dealt out, since a file with one row group is one task; others stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
+
+
 def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_document_sources(table(spark, sf_dir, "documents"))
+    return as_document_sources(_dealt(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def as_document_sources(documents: DataFrame) -> DataFrame:
