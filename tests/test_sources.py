@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from typeaudit.functions import text as tx
 from typeaudit.plans import analysis
 from typeaudit.sources import config as cfg
-from typeaudit.sources import files
+from typeaudit.sources import files, listing
 
 
 def write(root, name, content):
@@ -208,3 +208,104 @@ def test_text_helpers(spark):
     assert value(tx.strip_bullets(F.lit("- a - b"))) == "a b"
     with pytest.raises(ValueError):
         tx.head_lines(F.lit("a"), -1)
+
+
+def entered(monkeypatch):
+    """Folders that are listed from now on, in this process."""
+    seen, entries = [], listing.ListingReader._entries
+
+    def noted(self, system, folder, base, others):
+        seen.append(folder)
+        return entries(self, system, folder, base, others)
+
+    monkeypatch.setattr(listing.ListingReader, "_entries", noted)
+    return seen
+
+
+def walk(monkeypatch, filters=(), **options):
+    """All rows of a listing, and the folders that were entered for them."""
+    seen = entered(monkeypatch)
+    reader = listing.ListingReader(options)
+    list(reader.pushFilters(list(filters)))
+    return [row for part in reader.partitions() for row in reader.read(part)], set(seen)
+
+
+def test_nothing_below_ignored_folders_is_opened(spark, tmp_path, monkeypatch):
+    """An oversized file below Pods, one beside good files, a link to nothing, a pipe, and a link to a folder."""
+    root = str(tmp_path / "app")
+    write(root, "Good.swift", "class Good {}")
+    write(root, "_Under/_Score.swift", "class Under {}")
+    write(root, "Empty.swift", "")
+    for name in ("Pods/Huge.swift", "Sources/Huge.swift"):
+        write(root, name, "")
+        os.truncate(f"{root}/{name}", 3 << 30)
+    os.symlink(f"{root}/nowhere", f"{root}/Gone.swift")
+    os.mkfifo(f"{root}/Pipe.swift")
+    os.symlink(root, f"{root}/Loop")
+    sources = files.scan_sources(spark, root)
+    found = {r.relative_path: (r.text, r.read_error) for r in sources.collect()}
+    assert found == {
+        "Good.swift": ("class Good {}", None), "_Under/_Score.swift": ("class Under {}", None), "Empty.swift": ("", None),
+        "Sources/Huge.swift": (None, listing.TOO_LARGE.format(listing.MAX_BYTES)), "Gone.swift": (None, listing.NOT_READ),
+        "Pipe.swift": (None, listing.NOT_READ),
+    }
+    run = analysis.analyze(sources, keep_types=False)
+    assert sorted(r.name for r in run.types.collect()) == ["Good", "Under"] and run.file_counts() == (6, 3)
+    _, folders = walk(monkeypatch, roots='{"app": "%s"}' % root, ignored='["Pods"]', suffix=".swift")
+    assert folders == {root, f"{root}/_Under", f"{root}/Sources"}
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 3, 50])
+def test_listing_is_whole_for_any_number_of_tasks(tmp_path, monkeypatch, tasks):
+    want = set()
+    for i in range(40):
+        name = "/".join([*(f"d{(i * 7 + k) % 3}" for k in range(i % 5)), f"F{i}.swift"])
+        write(str(tmp_path), name, "")
+        want.add(name)
+    rows, _ = walk(monkeypatch, roots='{"p": "%s"}' % tmp_path, suffix=".swift", tasks=str(tasks))
+    assert sorted(r[2] for r in rows) == sorted(want)
+
+
+def test_filters_reach_the_listing(spark, tree, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, StringStartsWith
+
+    roots = '{"app": "%s", "other": "%s/Other"}' % (tree, tree)
+    asked = [StringStartsWith(("relative_path",), "Sources/De"), EqualTo(("project",), "app")]
+    rows, folders = walk(monkeypatch, asked, roots=roots, suffix=".swift")
+    assert "Sources/Deep/er/B.swift" in {r[2] for r in rows} and {r[0] for r in rows} == {"app"}
+    assert folders == {tree, f"{tree}/Sources", f"{tree}/Sources/Deep", f"{tree}/Sources/Deep/er"}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    where = F.col("relative_path").startswith("Sources/De") & (F.col("project") == "app")
+    found = files.scan_sources(spark, {"app": tree, "other": f"{tree}/Other"}, where=where)
+    assert names(found) == ["B.swift"]
+
+
+def test_a_folder_that_cannot_be_listed_is_a_row(tmp_path, monkeypatch):
+    write(str(tmp_path), "a/A.swift", "")
+    write(str(tmp_path), "b/B.swift", "")
+    entries = listing.ListingReader._entries
+
+    def failing(self, system, folder, base, others):
+        if folder.endswith("/a"):
+            raise PermissionError(folder)
+        return entries(self, system, folder, base, others)
+
+    monkeypatch.setattr(listing.ListingReader, "_entries", failing)
+    for tasks in ("1", "9"):
+        reader = listing.ListingReader({"roots": '{"p": "%s"}' % tmp_path, "tasks": tasks})
+        rows = [row for part in reader.partitions() for row in reader.read(part)]
+        assert sorted((r[2], r[5]) for r in rows) == [("a", listing.NOT_LISTED), ("b/B.swift", None)]
+
+
+def test_files_that_go_away_or_fill_the_limit(spark, tmp_path):
+    write(str(tmp_path), "A.swift", "class A {}")
+    rows = [("p", f"{tmp_path}/{name}", name, size, str(tmp_path), None) for name, size in (("A.swift", 10), ("Lost.swift", 5), ("A.swift", None))]
+    listed = spark.createDataFrame(rows, listing.COLUMNS)
+    found = sorted(tuple(r) for r in listing.read_listed(listed, 10, 1).select("relative_path", "content", "read_error").collect())
+    assert [(n, e) for n, _, e in found] == [("A.swift", None), ("A.swift", None), ("Lost.swift", listing.NOT_READ)]
+    assert {r.read_error for r in listing.read_listed(listed, 9, 1).collect()} == {listing.NOT_READ, listing.TOO_LARGE.format(9)}
+
+
+def test_missing_roots_are_named(spark, tmp_path):
+    with pytest.raises(Exception, match="is no folder"):
+        files.scan_sources(spark, str(tmp_path / "none")).count()

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Lets the listing of files skip folders that no row of a query can lie in.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Call-site tracking of every column expression; costs more than building the plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from typeaudit import schema
 from typeaudit.operators.rules import DEFAULT_THRESHOLDS
+from typeaudit.sources import listing
 
 # Folders that are never scanned.
 DEFAULT_IGNORED = [".build", ".git", ".swiftpm", "DerivedData", "Pods", "Build", "Carthage"]
@@ -72,14 +73,7 @@ def default_rules() -> Column:
     )
 
 
-def _open(folder: str):
-    """Arrow's file system of a folder, and the path in it. ``s3a`` is Hadoop's name of ``s3``."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri("s3" + folder[3:] if folder.startswith("s3a://") else folder)
-
-
-def read_configs(projects: DataFrame, file_name: str = DEFAULT_FILE, opened: Callable = _open) -> DataFrame:
+def read_configs(projects: DataFrame, file_name: str = DEFAULT_FILE, opened: Callable = listing.opened) -> DataFrame:
     """Merged config of each row of ``projects(project, folder)``; a missing file means defaults.
 
     Config files usually have dot names, which Spark's own file listing hides, so each task opens

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeaudit.functions import text as tx
+from typeaudit.sources import listing
 from typeaudit.sources.config import DEFAULT_IGNORED, with_config
 
 SOURCE_SUFFIX = ".swift"
@@ -20,22 +21,6 @@ NOT_UTF8 = "file is not valid UTF-8"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
 
-def list_files(spark: SparkSession, roots: str | Iterable[str], suffix: str = SOURCE_SUFFIX) -> DataFrame:
-    """Raw ``path, content`` rows of all files below ``roots`` with the (case-sensitive) suffix.
-
-    The suffix is applied while listing. Spark's listing hides names that start with a dot or
-    an underscore; give ``from_table`` a table of paths where underscore names matter.
-    """
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}")
-        .load(roots)
-        .select(F.regexp_replace("path", _SCHEME, "").alias("path"), "content")
-    )
-
-
 def below_root(path: Column, root: str) -> Column:
     """The part of ``path`` below ``root``."""
     prefix = re.sub(_SCHEME, "", root).rstrip("/") + "/"
@@ -47,9 +32,12 @@ def is_ignored(path: Column, ignored: Column) -> Column:
     return F.arrays_overlap(tx.components(path), ignored)
 
 
+def ignored_names(extra: Iterable[str] = ()) -> list[str]:
+    return list(dict.fromkeys([*DEFAULT_IGNORED, *extra]))
+
+
 def default_ignored(extra: Iterable[str] = ()) -> Column:
-    names = list(dict.fromkeys([*DEFAULT_IGNORED, *extra]))
-    return F.array(*[F.lit(name) for name in names])
+    return F.array(*[F.lit(name) for name in ignored_names(extra)])
 
 
 def prune(files: DataFrame, ignored: Column | None = None, path: Column | None = None) -> DataFrame:
@@ -82,56 +70,60 @@ def prune_by_config(sources: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def decode(files: DataFrame) -> DataFrame:
-    """Binary ``content`` to ``text``; bytes that are not UTF-8 give ``read_error`` and no text."""
+    """Binary ``content`` to ``text``; bytes that are not UTF-8 give ``read_error`` and no text. An earlier error stays."""
     valid = F.is_valid_utf8(F.col("content"))
-    return files.withColumns(
-        {
-            "text": F.when(valid, F.col("content").cast("string")),
-            "read_error": F.when(~valid, F.lit(NOT_UTF8)),
-        }
-    ).drop("content")
+    error = F.when(~valid, F.lit(NOT_UTF8))
+    if "read_error" in files.columns:
+        error = F.coalesce("read_error", error)
+    return files.withColumns({"text": F.when(valid, F.col("content").cast("string")), "read_error": error}).drop("content")
 
 
 def scan_sources(
     spark: SparkSession,
     root: str | dict[str, str],
     project: Column | None = None,
-    ignored: Column | None = None,
+    ignored: Column | list[str] | None = None,
     absolute: bool = False,
     suffix: str = SOURCE_SUFFIX,
+    where: Column | None = None,
+    max_bytes: int = listing.MAX_BYTES,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The ``sources`` table of everything below ``root``, with the path below it as ``relative_path``.
 
-    ``root`` may map the names of many projects to their roots; of roots that hold one another, the longest
-    has the file. ``project`` names the project of a row; by default a root is one project. Folders
-    are tested below the root unless ``absolute`` is set, which also tests the folders above it.
+    ``root`` may map the names of many projects to their roots; of roots that hold one another, the inner one
+    has the file. ``project`` names the project of a row; by default a root is one project. Folders with a name in
+    ``ignored`` are not entered (given as a column, it is tested on names before anything is read). Folders are tested below the root
+    unless ``absolute`` is set, which also tests the folders above it. Names that begin with a dot are skipped.
+
+    ``where`` is a condition on project, path, relative_path and n_bytes; beginnings of paths and projects are tested while
+    listing. A file or folder that cannot be read, or a file of more than ``max_bytes``, is a row with ``read_error``.
     """
     roots = root if isinstance(root, dict) else {root.rstrip("/").rsplit("/", 1)[-1]: root}
-    longest = sorted(((re.sub(_SCHEME, "", r).rstrip("/") + "/", name) for name, r in roots.items()), key=lambda x: -len(x[0]))
-    known = F.array(*[F.struct(F.lit(prefix).alias("prefix"), F.lit(name).alias("name")) for prefix, name in longest])
-    owner = F.get(F.filter(known, lambda r: F.col("path").startswith(r["prefix"])), F.lit(0))
-    found = list_files(spark, list(roots.values()), suffix).withColumn("owner", owner)
-    inside = F.when(
-        F.col("owner").isNotNull(), F.substring(F.col("path"), F.length("owner.prefix") + 1, F.lit(1 << 30))
-    ).otherwise(F.col("path"))
-    kept = prune(found.withColumn("relative_path", inside), ignored, None if absolute else F.col("relative_path"))
-    label = F.coalesce("owner.name", F.lit("")) if project is None else project
-    return decode(kept).select(
+    in_column = isinstance(ignored, Column)
+    names = [] if in_column else ignored_names() if ignored is None else list(ignored)
+    listed = listing.list_sources(spark, roots, names, suffix, absolute)
+    if in_column:
+        listed = prune(listed, ignored, F.col("path" if absolute else "relative_path"))
+    if where is not None:
+        listed = listed.where(where)
+    files = decode(listing.read_listed(listed, max_bytes, partitions))
+    label = F.col("project") if project is None else project
+    return files.select(
         label.alias("project"), "path", tx.base_name(F.col("path")).alias("file_name"), "text", "read_error", "relative_path"
     )
 
 
-def single_source(spark: SparkSession, path: str) -> DataFrame:
+def single_source(spark: SparkSession, path: str, max_bytes: int = listing.MAX_BYTES) -> DataFrame:
     """The ``sources`` table of one file. Ignored folders do not apply; the suffix may be in any case."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     stem, dot, suffix = name.rpartition(".")
     if not (stem and dot and suffix.lower() == SOURCE_SUFFIX.removeprefix(".")):
         raise ValueError(NOT_A_SOURCE_FILE)
-    files = spark.read.format("binaryFile").load(path).select(
-        F.regexp_replace("path", _SCHEME, "").alias("path"), "content"
-    )
-    return decode(files).select(
-        F.lit("").alias("project"), "path", tx.base_name(F.col("path")).alias("file_name"), "text", "read_error"
+    inner = listing.opened(path)[1]
+    row = spark.createDataFrame([("", inner, inner, None, path, None)], listing.COLUMNS)
+    return decode(listing.read_listed(row, max_bytes, 1)).select(
+        "project", "path", tx.base_name(F.col("path")).alias("file_name"), "text", "read_error"
     )
 
 
@@ -162,5 +154,5 @@ def read_errors(sources: DataFrame) -> DataFrame:
 
 
 def any_error(sources: DataFrame) -> DataFrame:
-    """One row: did any file fail to decode?"""
+    """One row: could any file not be read or decoded?"""
     return sources.agg(F.coalesce(F.bool_or(F.col("read_error").isNotNull()), F.lit(False)).alias("has_errors"))
