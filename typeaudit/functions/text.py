@@ -38,6 +38,16 @@ def line_count(text: Column) -> Column:
     return newline_count(text) + 1
 
 
+def grapheme_count(text: Column) -> Column:
+    """Number of extended grapheme clusters: what a reader sees as one character, CR LF included."""
+    return F.regexp_count(text, F.lit(r"\X"))
+
+
+def has_more_graphemes(text: Column, limit: int) -> Column:
+    """More than ``limit`` clusters? Only texts with more code points than that are cut into clusters."""
+    return F.when(F.length(text) > limit, grapheme_count(text) > limit).otherwise(F.length(text) > limit)
+
+
 def trim_blank(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 

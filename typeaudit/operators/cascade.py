@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from typeaudit.functions import text as tx
 from typeaudit.operators import heuristics
 from typeaudit.operators.responses import ADVICE_COLUMNS
 
-# An answer this short, or a stub's diagnosis, is not trusted.
+# An answer this short, in grapheme clusters, or a stub's diagnosis, is not trusted.
 MIN_ADVICE_LENGTH = 50
 STUB_MARK = "Stub"
 
@@ -16,7 +17,7 @@ _CONTENT = ["diagnosis", "model_source", "suggested_refactor"]
 
 
 def confident(diagnosis: Column, suggested_refactor: Column) -> Column:
-    return (F.length(suggested_refactor) > MIN_ADVICE_LENGTH) & ~diagnosis.contains(STUB_MARK)
+    return tx.has_more_graphemes(suggested_refactor, MIN_ADVICE_LENGTH) & ~diagnosis.contains(STUB_MARK)
 
 
 def _tier(advice: DataFrame, name: str) -> DataFrame:

@@ -236,7 +236,7 @@ def _cascade(local: bool, cloud: bool) -> str:
     """Tier by tier: which one answers, then its columns."""
     picks = []
     if local:
-        picks.append("WHEN length(chat) > 50 THEN 'chat'")
+        picks.append("WHEN length_grapheme(replace(chat, '\r\n', '\n')) > 50 THEN 'chat'")
     if cloud:
         picks.append("WHEN content IS NOT NULL THEN 'content'")
     picks.append("WHEN rule <> 'HighMethodDensity' THEN 'local'")
@@ -591,10 +591,15 @@ FROM (SELECT project, path, report, unnest(CASE WHEN n = 1 THEN [0, 1, 2, 3] ELS
     FROM capped c JOIN ({_HEURISTIC_REPORT}) r ON r.request_id = c.request_id))"""
     s["advice_after_failure"] = best + f"""SELECT request_id, rule, type_name, severity, 'Analysis of ' || rule || ' violation.' AS diagnosis,
   'Local Heuristics (Fallback from Qwen2.5-Coder-7B-Instruct)' AS model_source, {_advice('rule', 'type_name')} AS suggested_refactor FROM capped"""
-    s["types_nested"] = """SELECT doc_id::VARCHAR AS path, 0 AS type_ord, 'T' || doc_id AS name, 1 AS method_count, 2 AS property_count,
-  6 AS line_count FROM documents"""
-    s["types_unclosed"] = """SELECT doc_id::VARCHAR AS path, 0 AS type_ord, 'U' || doc_id AS name, (doc_id % 7)::INTEGER AS method_count,
-  1 AS property_count, (2 + doc_id % 7)::INTEGER AS line_count FROM documents"""
+    newlines = r"length(text) - length(regexp_replace(text, '[\n\x0B\f\r\x{85}\x{2028}\x{2029}]', '', 'g'))"
+    s["types_nested"] = f"""SELECT doc_id::VARCHAR AS path, 0 AS type_ord, 'T' || doc_id AS name, 1 AS method_count, 2 AS property_count,
+  (10 + 2 * ({newlines}))::INTEGER AS line_count FROM documents"""
+    lines = "length(text) - length(replace(text, chr(10), '')) + 1"
+    s["types_unclosed"] = f"""SELECT doc_id::VARCHAR AS path, 0 AS type_ord, 'U' || doc_id AS name, ({lines})::INTEGER AS method_count,
+  1 AS property_count, (2 + {lines})::INTEGER AS line_count FROM documents"""
+    s["advice_confidence"] = """SELECT conv_id, turn, length_grapheme(marked) AS characters, length_grapheme(marked) > 50 AS is_confident
+  FROM (SELECT conv_id, turn, regexp_replace(substr(replace(text, '\r\n', '\n'), 1, 45 + (conv_id % 12)::INTEGER), '([aeiou])', '\\1' || chr(769), 'g') AS marked
+    FROM conversations)"""
     s["compact_lines"] = _with(_ADVICE_LINES) + (
         "SELECT d.doc_id::VARCHAR AS request_id, coalesce(piped, '') AS compact FROM documents d"
         " LEFT JOIN compacted c ON c.doc_id = d.doc_id"

@@ -355,22 +355,26 @@ def _built_types(spark, sf_dir, text) -> DataFrame:
 
 @query
 def types_nested(spark, sf_dir):
-    """Generic clauses, comments, raw literals and groups, nested to a depth that varies by document."""
+    """Each document's text in a nested comment and in a raw literal, beside generic clauses and groups, to a depth that varies."""
     depth = (F.col("doc_id") % 40 + 1).cast("int")
     times = lambda part, n: F.repeat(F.lit(part), n)
+    # Neither closes before its end.
+    held = F.translate("text", '*"', "")
     text = F.concat(
         F.lit("class T"), F.col("doc_id"), F.lit(" {\n  var a: "), times("A<", depth), F.lit("Int, Int"), times(">", depth),
-        F.lit("\n  "), times("/*", depth), F.lit(" { "), times("*/", depth), F.lit("\n  let b = "), times("#", depth + 1),
-        F.lit('"}"'), times("#", depth + 1), F.lit("\n  func f() { "), times("(", depth), F.lit("1, 2"), times(")", depth), F.lit(" }\n}"),
+        F.lit("\n  "), times("/*", depth), F.lit(" {\n"), held, F.lit("\n"), times("*/", depth), F.lit("\n  let b = "),
+        times("#", depth), F.lit('"""\n} '), held, F.lit('\n"""'), times("#", depth), F.lit("\n  func f() { "), times("(", depth),
+        F.lit("1, 2"), times(")", depth), F.lit(" }\n}"),
     )
     return _built_types(spark, sf_dir, text)
 
 
 @query
 def types_unclosed(spark, sf_dir):
-    """A type that never closes, with as many methods as the document's number says, and a remark at the end."""
-    methods = F.repeat(F.lit('  func f() { "}" }\n'), (F.col("doc_id") % 7).cast("int"))
-    return _built_types(spark, sf_dir, F.concat(F.lit("struct U"), F.col("doc_id"), F.lit(" {\n  var a = 1\n"), methods, F.lit("// }\n")))
+    """A type that never closes, with a method for each line of the document's text, which is a remark."""
+    remark = lambda line: F.concat(F.lit('  func f() { "}" } // { '), F.translate(line, tx.NEWLINES, ""))
+    methods = F.array_join(F.transform(F.split("text", "\n", -1), remark), "\n")
+    return _built_types(spark, sf_dir, F.concat(F.lit("struct U"), F.col("doc_id"), F.lit(" {\n  var a = 1\n"), methods))
 
 
 @query
@@ -612,6 +616,16 @@ def cascade_local_first(spark, sf_dir):
     )
 
 
+@query
+def advice_confidence(spark, sf_dir):
+    """Turns cut near the limit, with an accent on each vowel: clusters are fewer than code points."""
+    cut = F.substring(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit(1), (F.col("conv_id") % 12 + 45).cast("int"))
+    marked = F.regexp_replace(cut, "([aeiou])", "$1\u0301")
+    return derived.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", tx.grapheme_count(marked).cast("long").alias("characters"), cascade.confident(F.lit(""), marked).alias("is_confident")
+    )
+
+
 @query
 def cascade_local_only(spark, sf_dir):
     return cascade.local_first(
