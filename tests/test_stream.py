@@ -34,7 +34,7 @@ def test_running_summary_over_arriving_files(spark, tmp_path):
     for number in range(4):
         add(f"D{number}.swift", 12)
         assert run() == (4 + number, 4 + number, 4 + number, 2)
-    assert len([name for name in os.listdir(out) if name.startswith("batch=")]) == 2
+    assert len([name for name in os.listdir(f"{out}/totals") if name.startswith("batch=")]) == 2
 
 
 def test_a_replayed_batch_counts_once(spark, tmp_path):
@@ -50,6 +50,46 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
         assert stream.summary_so_far(spark, out).first().total_files == 1
 
 
+def test_a_file_that_comes_again_replaces_its_counters(spark, tmp_path):
+    """Against the newest version of each file after every batch, over several merges of the state; batches are replayed too."""
+    root, out = str(tmp_path / "src"), str(tmp_path / "out")
+    shape = "project string, path string, file_name string, text string, read_error string, stamp int"
+    os.makedirs(root)
+    newest, stamp = {}, 0
+
+    def text(methods):
+        return "class Big {\n" + "".join(f"  func m{i}() {{}}\n" for i in range(methods)) + "}\n"
+
+    def add(*rows):
+        nonlocal stamp
+        stamp += 1
+        found = [("p", path, path, None if methods is None else text(methods), None, 10 * stamp + order) for order, (path, methods) in enumerate(rows)]
+        newest.update({path: methods for path, methods in rows})
+        spark.createDataFrame(found, shape).coalesce(1).write.mode("append").parquet(root)
+
+    def run(checkpoint="c"):
+        arriving = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(root)
+        stream.start_summary(arriving, out, str(tmp_path / checkpoint), version="stamp", compact_every=2).awaitTermination()
+        row = stream.summary_so_far(spark, out).first()
+        readable = {path: methods for path, methods in newest.items() if methods is not None}
+        assert (row.total_files, row.total_types) == (len(newest), len(readable))
+        assert row.total_issues == sum((m > 10) + (m > 20) for m in readable.values())
+        kept = {r.path: r.total_types for r in stream.files_so_far(spark, out).collect()}
+        assert kept == {path: int(methods is not None) for path, methods in newest.items()}
+
+    add(("A", 25), ("B", 3))
+    run()
+    add(("A", 2), ("C", 12))
+    run()
+    # Two versions in one batch, a file that can no longer be read, and one that is as it was.
+    add(("B", 30), ("B", 11), ("C", None), ("A", 2))
+    run()
+    add(("C", 21))
+    add(("A", 12))
+    run()
+    assert len([name for name in os.listdir(f"{out}/state") if name.startswith("batch=")]) <= 3
+
+
 def test_rules_run_on_a_stream_of_types(spark, make_types, tmp_path):
     types = make_types(("model", "MonsterModel", 30, 25, 400), ("unknown", "Quiet", 1, 1, 5))
     types.write.parquet(str(tmp_path / "types"))

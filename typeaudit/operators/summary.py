@@ -40,6 +40,11 @@ def summary(found: DataFrame, sources: DataFrame) -> DataFrame:
     return _counter_rows(found, sources).agg(*_totals())
 
 
+def file_counters(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per file, also for files without types."""
+    return _counter_rows(found, sources).groupBy(*schema.FILE_KEY).agg(*_totals())
+
+
 def summary_by_project(found: DataFrame, sources: DataFrame) -> DataFrame:
     return _counter_rows(found, sources).groupBy("project").agg(*_totals())
 
@@ -49,8 +54,7 @@ def summary_rollup(found: DataFrame, sources: DataFrame) -> DataFrame:
 
     Rows are added up per file first, so the rollup expands files and not types.
     """
-    per_file = _counter_rows(found, sources).groupBy(*schema.FILE_KEY).agg(*_totals())
-    return per_file.rollup(*schema.FILE_KEY).agg(
+    return file_counters(found, sources).rollup(*schema.FILE_KEY).agg(
         F.when(F.grouping("project") == 1, 2).when(F.grouping("path") == 1, 1).otherwise(0).alias("level"), *_totals()
     )
 
