@@ -55,6 +55,7 @@ def start_summary(
     available_now: bool = True,
     version: str | None = None,
     compact_every: int = COMPACT_EVERY,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Analyze each micro-batch of a ``sources`` stream and bring the counters in ``out`` up to date.
 
@@ -64,7 +65,8 @@ def start_summary(
 
     A batch meets only the state of its own files. Replayed, it starts from the batches before and overwrites its folders, so every
     file counts exactly once, also after a restart. Every ``compact_every`` batches the state is written as one table and what it
-    replaces is removed; of the totals two folders are kept.
+    replaces is removed; of the totals two folders are kept. ``partitions`` deals the texts of a batch out, where they
+    arrive in fewer parts than there are cores.
     """
     spark = sources.sparkSession
     shape = ", ".join(f"{name} bigint" for name in COUNTERS)
@@ -74,7 +76,7 @@ def start_summary(
 
     def analyze(batch: DataFrame, batch_id: int) -> None:
         rows = newest_rows(batch, version)
-        found = engine.evaluate(extract.extract_types(rows), rules, settings)
+        found = engine.evaluate(extract.extract_types(rows, partitions), rules, settings)
         own_path = f"{out}/state/batch={batch_id}"
         file_counters(found, rows).write.mode("overwrite").parquet(own_path)
         own = spark.read.schema(state).parquet(own_path)
