@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,11 @@ def test_json_records(run, tmp_path):
         analysis.write_json_report(run, out)
     spark = run.issues.sparkSession
     assert spark.read.json(out).count() == 6
+    joined = str(tmp_path / "joined")
+    analysis.write_json_report(run, joined, strict=False, as_array=True)
+    parts = sorted(name for name in os.listdir(joined) if name.endswith(".json"))
+    found = json.loads("".join(open(f"{joined}/{name}", encoding="utf-8").read() for name in parts))
+    assert [r["message"] for r in found] == [r.message for r in run.issues.orderBy("project", "path", "type_ord", "rule_ord").collect()]
     nothing = analysis.analyze_extracted(run.sources.where("false"), run.types.where("false"))
     analysis.write_json_report(nothing, str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()

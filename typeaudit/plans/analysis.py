@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from typeaudit.operators import attribution, engine, extract, requests, summary
 from typeaudit.operators import rules as R
 from typeaudit.session import materialize
-from typeaudit.sinks import reports
+from typeaudit.sinks import documents, reports
 from typeaudit.sources import config as cfg
 from typeaudit.sources import files
 
@@ -107,21 +107,27 @@ class StrictReadError(RuntimeError):
 
 
 def write_json_report(
-    analysis: Analysis, path: str, mode: str = "lineage", strict: bool = True, by_project: bool = False
+    analysis: Analysis, path: str, mode: str = "lineage", strict: bool = True, by_project: bool = False, as_array: bool = False
 ) -> None:
     """Write the issue records; then fail if a file was unreadable, unless ``strict`` is off.
 
-    With ``by_project`` each project has a folder, and records carry their path and stand in order.
+    With ``by_project`` each project has a folder, and records carry their path and stand in order. With ``as_array`` the files of
+    the folder, read in the order of names, are one JSON array of all records in order.
 
     An input without files writes nothing at all.
     """
     total, unreadable = analysis.file_counts()
     if not total:
         return
-    if by_project:
-        attributed = attribution.attribute(analysis.issues, analysis.types, mode)
-        records = attribution.reports(attributed, ["project", "path", "type_ord", "rule_ord"])
-        reports.write_json_by_project(records, path)
+    if by_project and as_array:
+        raise ValueError("a report is written by project or as one array")
+    if by_project or as_array:
+        order = ["project", "path", "type_ord", "rule_ord"]
+        records = attribution.reports(attribution.attribute(analysis.issues, analysis.types, mode), order)
+        if as_array:
+            documents.write_array(records, path, order)
+        else:
+            reports.write_json_by_project(records, path)
     else:
         reports.write_json(analysis.reports(mode), path)
     if strict and unreadable:

@@ -465,6 +465,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY type_ord,
     s["report_records"] = _ON_TYPES + (
         f'SELECT file_name AS file, message, rule, {_EMOJI} AS severity, type_name AS "typeName" FROM issues'
     )
+    s["report_array"] = s["report_records"]
     s["report_json"] = _ON_TYPES + f"""SELECT '{{"file":"' || file_name || '","message":"' || message || '","rule":"' || rule
   || '","severity":"' || {_EMOJI} || '","typeName":"' || type_name || '"}}' AS line FROM issues"""
     s["report_diagnostic"] = _ON_TYPES + f"""SELECT '/src/' || project || '/' || file_name || ':1: ' || {_LEVEL}
@@ -482,6 +483,12 @@ SELECT project, path, 1, type_ord, o, ['📦 Type: ' || name || ' [' || class_ty
 FROM types, range(3) r(o)
 UNION ALL SELECT DISTINCT project, path, 2, -1, 0, '' FROM issues
 UNION ALL SELECT project, path, 3, type_ord, rule_ord, '   ' || {_EMOJI} || ' ' || message FROM issues"""
+    s["report_member_map"] = s["report_files"] + """
+UNION ALL SELECT project, path, 1, type_ord, 3, '   Members Map:' FROM types WHERE method_count > 0
+UNION ALL SELECT project, path, 1, type_ord, 3 + i, '      - m' || i || ' (Lines ' || i || '-' || 2 * i || ')'
+FROM (SELECT *, unnest(range(1, method_count + 1)) AS i FROM types)"""
+    s["report_custom"] = _ON_TYPES + """SELECT project || ': ' || rule || ' (' || severity || ') x ' || count(*) AS line
+  FROM issues GROUP BY project, rule, severity"""
     s["report_summary"] = _ON_TYPES + f""",
 top AS (SELECT project, path, file_name, count(*) AS n FROM issues GROUP BY 1, 2, 3 ORDER BY n DESC, project, path LIMIT 10),
 totals AS (SELECT count(*) AS n, {_SEVERITY_COUNTS} FROM issues)
@@ -559,6 +566,9 @@ FROM capped c JOIN types t ON t.path = c.path AND t.type_ord = c.matched_ord WHE
     s["provider_plugin"] = best + """SELECT request_id, rule || ' in ' || type_name AS diagnosis, 'word counter' AS model_source,
   len(string_split(message, ' ')) || ' words' AS suggested_refactor FROM capped"""
 
+    s["provider_ledger"] = best + """SELECT request_id, upper(project || ' ' || rule || ' ' || severity) AS diagnosis, 'ledger' AS model_source,
+  length(project || ' ' || rule || ' ' || severity)::VARCHAR AS suggested_refactor FROM capped"""
+
     s["chat_extract"], s["content_extract"] = _parsed("chat"), _parsed("content")
     s["retry_triage"] = _with(_LOG) + """SELECT request_id, attempt, coalesce(failed, 'invalidResponse') AS error_kind,
   kind = 4 OR (kind = 6 AND turn % 2 = 0) AS retryable, (kind = 4 OR (kind = 6 AND turn % 2 = 0)) AND attempt < 3 AS retry,

@@ -11,12 +11,12 @@ from typeaudit import schema
 from typeaudit.functions import severity as sev
 from typeaudit.functions import text as tx
 from typeaudit.operators import (
-    attribution, cascade, engine, extract, heuristics, provider, requests, responses, sections, summary,
+    attribution, cascade, engine, extract, heuristics, ledger, provider, requests, responses, sections, summary,
 )
 from typeaudit.operators import rules as R
 from typeaudit.plans import analysis, derived
 from typeaudit.session import new_shared_path, remove_shared_path
-from typeaudit.sinks import reports
+from typeaudit.sinks import documents, reports
 from typeaudit.sources import config as cfg
 from typeaudit.sources import files
 from typeaudit.streaming import summary as stream
@@ -206,6 +206,16 @@ def report_json(spark, sf_dir):
     return reports.report_json(attribution.reports(_attributed(spark, sf_dir, "lineage")))
 
 
+@query
+def report_array(spark, sf_dir):
+    """One JSON document over many files, committed and read back."""
+    order = [*schema.TYPE_KEY, "rule_ord"]
+    path = new_shared_path(spark, "report-array")
+    documents.write_array(attribution.reports(_attributed(spark, sf_dir, "lineage"), order), path, order)
+    record = "file string, line int, message string, rule string, severity string, typeName string"
+    return documents.read_array(spark, path, record).drop("line")
+
+
 @query
 def report_diagnostic(spark, sf_dir):
     root = F.concat(F.lit("/src/"), F.col("project"))
@@ -227,6 +237,28 @@ def report_files(spark, sf_dir):
     return reports.file_report_lines(_tables(spark, sf_dir))
 
 
+@query
+def report_member_map(spark, sf_dir):
+    """The text report of types that have members: a method each, one line longer than the one before."""
+    found, sources = _found_and_files(spark, sf_dir)
+    member = "struct('m' || i AS name, i AS start_line, 2 * i AS end_line)"
+    members = F.expr(f"transform(sequence(0, method_count), i -> {member})")
+    found = found.withColumn("members", F.slice(members, 2, F.col("method_count")))
+    return reports.file_report_lines(reports.Tables(sources, found, engine.issues(found)))
+
+
+@query
+def report_custom(spark, sf_dir):
+    """A reporter of the user's own: a line for each rule and severity of a project."""
+
+    def by_rule(tables: reports.Tables) -> DataFrame:
+        counted = tables.issues.groupBy("project", "rule", "severity").agg(F.count("*").alias("n"))
+        return counted.select(F.format_string("%s: %s (%s) x %d", "project", "rule", "severity", "n").alias("line"))
+
+    reporter: reports.Reporter = by_rule
+    return reporter(_tables(spark, sf_dir))
+
+
 @query
 def report_summary(spark, sf_dir):
     lines = reports.summary_report_lines(_tables(spark, sf_dir))
@@ -497,6 +529,26 @@ def provider_plugin(spark, sf_dir):
     return provider.ask(asked, count_words).drop("error_kind")
 
 
+@query
+def provider_ledger(spark, sf_dir):
+    """Many requests, few distinct prompts: each is asked once, and a second run asks nothing."""
+
+    def first(batch):
+        return batch.assign(
+            diagnosis=batch["prompt"].str.upper(), model_source="ledger",
+            suggested_refactor=batch["prompt"].str.len().astype(str), error_kind=None,
+        )
+
+    def never(batch):
+        raise RuntimeError("asked again")
+
+    prompt = F.concat_ws(" ", "project", "rule", "severity")
+    asked = _all_requests(spark, sf_dir).withColumn("prompt", prompt)
+    folder = new_shared_path(spark, "ledger")
+    ledger.ask_once(asked, first, folder)
+    return ledger.ask_once(asked, never, folder).drop("error_kind")
+
+
 def _escaped(text: Column) -> Column:
     """``text`` as a JSON string literal."""
     object_text = F.to_json(F.struct(text.alias("t")))
