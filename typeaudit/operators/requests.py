@@ -97,6 +97,12 @@ def with_snippet(requests: DataFrame, sources: DataFrame, line_limit: int = SNIP
     )
 
 
+def with_kept_snippet(requests: DataFrame, kept: DataFrame, line_limit: int) -> DataFrame:
+    """The same from rows of files that hold at least as many lines."""
+    heads = kept.select(*schema.FILE_KEY, tx.head_lines(F.col("snippet"), line_limit).alias("snippet"))
+    return requests.join(heads, schema.FILE_KEY, "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
+
+
 # Prompt wording that answers are tuned to.
 STANDARD_PROMPT = """\
 You are a senior Swift architect.

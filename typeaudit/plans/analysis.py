@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from typeaudit import schema
 from typeaudit.operators import attribution, engine, extract, requests, summary
 from typeaudit.operators import rules as R
 from typeaudit.session import materialize
@@ -30,23 +31,32 @@ class Analysis:
     issues: DataFrame
     #: Counts of files and unreadable ones, taken while the types were extracted.
     seen: Observation | None = None
+    #: One row for each file, with its snippet, where the types were kept.
+    kept_files: DataFrame | None = None
+    #: Lines of these snippets.
+    kept_lines: int = 0
+
+    @property
+    def files(self) -> DataFrame:
+        """``project, path, file_name, read_error`` of all files, without reading a text where the pass that extracted the types kept them."""
+        return self.sources if self.kept_files is None else self.kept_files
 
     def file_counts(self) -> tuple[int, int]:
         """Files, and those that could not be read; from the extraction's own pass if it has run."""
         counts = self.seen.get if self.seen is not None else {}
         if "files" not in counts:
-            counts = self.sources.agg(*_file_counts()).first()
+            counts = self.files.agg(*_file_counts()).first()
         return counts["files"], counts["unreadable"]
 
     @property
     def tables(self) -> reports.Tables:
-        return reports.Tables(self.sources, self.found, self.issues)
+        return reports.Tables(self.files, self.found, self.issues)
 
     def reports(self, mode: str = "lineage") -> DataFrame:
         return attribution.reports(attribution.attribute(self.issues, self.types, mode))
 
     def summary(self) -> DataFrame:
-        return summary.summary(self.found, self.sources)
+        return summary.summary(self.found, self.files)
 
     def leaderboard(self, size: int = 10) -> DataFrame:
         return summary.leaderboard(self.issues, size)
@@ -58,7 +68,11 @@ class Analysis:
         compact: bool = False,
     ) -> DataFrame:
         chosen = requests.select_requests(self.found, maximum)
-        return requests.with_prompt(requests.with_snippet(chosen, self.sources, snippet_lines), compact)
+        if self.kept_files is not None and 0 <= snippet_lines <= self.kept_lines:
+            with_text = requests.with_kept_snippet(chosen, self.kept_files, snippet_lines)
+        else:
+            with_text = requests.with_snippet(chosen, self.sources, snippet_lines)
+        return requests.with_prompt(with_text, compact)
 
 
 def analyze(
@@ -68,22 +82,27 @@ def analyze(
     settings: R.Settings | None = None,
     keep_types: bool = True,
     partitions: int | None = None,
+    snippet_lines: int = requests.SNIPPET_LINES,
 ) -> Analysis:
     """Analyze a ``sources`` table.
 
     With ``configs`` each project uses its own switches, thresholds and ignored folders, which are tested
     below the scan's root where ``sources`` has a ``relative_path``.
-    ``keep_types`` writes the extracted types to the shared folder once, since every report
-    starts from them; unset it when a single report is wanted. ``partitions`` is the number of
-    tasks of the extraction.
+    ``keep_types`` writes the extracted types, and a row for each file with its first ``snippet_lines`` lines, to the shared
+    folder in one pass over the texts, since every report starts from them; unset it when a single report is wanted.
+    Prompts with longer snippets read the texts again. ``partitions`` is the number of tasks of the extraction.
     """
     if configs is not None:
         sources = files.prune_by_config(sources, configs)
     if not keep_types:
         return analyze_extracted(sources, extract.extract_types(sources, partitions), configs, rules, settings)
     seen = Observation()
-    types = materialize(extract.extract_types(sources.observe(seen, *_file_counts()), partitions), "types")
-    return replace(analyze_extracted(sources, types, configs, rules, settings), seen=seen)
+    rows = extract.extract_with_files(sources.observe(seen, *_file_counts()), snippet_lines, partitions)
+    kept = materialize(rows, "types", by="kind")
+    types = kept.where("kind = 'type'").select(*schema.TYPES.fieldNames())
+    kept_files = kept.where("kind = 'file'").select(*schema.FILE_KEY, "file_name", "read_error", "snippet")
+    run = analyze_extracted(sources, types, configs, rules, settings)
+    return replace(run, seen=seen, kept_files=kept_files, kept_lines=snippet_lines)
 
 
 def analyze_extracted(

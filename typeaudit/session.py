@@ -55,13 +55,13 @@ def remove_shared_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders by the column ``by`` if one is given, and read it back.
 
     For a table that several reports read (the extracted types): the work is done once and
     a lost executor costs a re-read of its splits, not a new extraction.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
