@@ -64,6 +64,26 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute(list(enumerate(texts)), 4)
 
 
+def test_an_id_with_several_texts_in_any_order(spark):
+    """Rows 2 and 4 are copies of the two texts of id 7; each row of 7 is judged by its own text."""
+    one, two = (" ".join(f"{mark}{i}" for i in range(60)) for mark in "ab")
+    rows = [(7, one), (7, two), (2, one + " more"), (4, two + " more"), (9, None), (7, ""), (None, two)]
+    want = sorted([(7, 2, False), (7, 4, False), (2, 2, True), (4, 4, True), (9, 9, True), (7, 7, True), (-1, 4, False)])
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        found = near_dedup.near_duplicates(docs, near_dedup.Settings(shingle=4)).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.component_id, r.kept) for r in found) == want
+
+
+def test_row_keys_leave_columns_alone(spark):
+    rows = [(1, "a b", "mine", 5), (1, "a c", "mine", 6), (None, "a b", "mine", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Near_key string, several int")
+    key = near_dedup.free_name(docs, "near_key")
+    keyed = near_dedup.with_row_key(docs, key)
+    assert keyed.columns == [*docs.columns, key] and key not in docs.columns
+    assert {tuple(r)[:4] for r in keyed.collect()} == set(rows) and keyed.select(key).distinct().count() == 3
+
+
 def test_empty(no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 

@@ -14,9 +14,11 @@ links are merged into components, and only what lies in *different* components o
 the last round, which compares all of that. So a group of copies costs rows, not pairs, and no link
 between different texts is lost. No step gathers a bucket in a task; the joins on keys can be split.
 
-Cases: null, empty or blank texts have an empty set and no link. A document is its ``doc_id``: repeated
-rows are one document and get equal results. Rows without ``doc_id`` get the component of the texts with
-the same set, or null. Further columns of the input are ignored. An empty table gives an empty result.
+Cases: null, empty or blank texts have an empty set and no link. Repeated rows get equal results. Where a
+``doc_id`` stands for several texts, each row is judged by its own text, whatever the order of the rows: its
+component is that text's, named by the smallest ``doc_id`` of any row in it. Rows without ``doc_id`` get the
+component of the texts with the same set, or null. Further columns of the input are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -181,7 +183,39 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     that the document is that one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(lambda it: _sign(settings, it), SIGNED), "signatures")
+    signed = _signed(texts, settings)
+    digest = F.struct("d0", "d1")
+    seen = signed.where("doc_id is not null and d0 is not null").groupBy(F.col("doc_id").alias("id"))
+    several = materialize(seen.agg((F.min(digest) < F.max(digest)).alias("differ")).where("differ").select("id"), "several")
+    if several.isEmpty():
+        return _linked(texts, signed, settings)
+    # Each text of such an id is a document of its own under a key made from both.
+    hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(HASHED - 1)).bitwiseOR(F.lit(HASHED))
+    keyed = texts.join(several, F.col("doc_id") == F.col("id"), "left").select(
+        F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(hashed).alias("doc_id"), "text", "id"
+    )
+    ids = materialize(keyed.where("id is not null").select(F.col("doc_id").alias("key"), "id").distinct(), "ids")
+    keyed = materialize(keyed.select("doc_id", "text"), "texts")
+    found = _linked(keyed, _signed(keyed, settings), settings)
+    found = materialize(found.join(ids, F.col("doc_id") == F.col("key"), "left").select(
+        F.coalesce("id", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("class")
+    ), "classes")
+    # Keys made from hashes do not follow the ids they stand for, so the smallest id is looked for here.
+    least = found.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return _kept(found.join(least, "class", "left").select("doc_id", "n_shingles", component.alias("component_id")))
+
+
+def _kept(found: DataFrame) -> DataFrame:
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _signed(texts: DataFrame, settings: Settings) -> DataFrame:
+    return materialize(texts.mapInArrow(lambda it: _sign(settings, it), SIGNED), "signatures")
+
+
+def _linked(texts: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
+    """The result for texts of which no two that differ share a ``doc_id``."""
     nodes = signed.where("d0 is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
     named = signed.join(nodes, ["d0", "d1"])
     own = named.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), *SCREEN, "keys")
@@ -221,33 +255,39 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             rows = materialize(rows.join(apart, "key"), "open")
     labels = nodes.join(components, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("class"))
     component = F.when(F.col("d0").isNull(), F.col("doc_id")).otherwise(F.col("class"))
-    return (
-        signed.join(labels, ["d0", "d1"], "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    return _kept(signed.join(labels, ["d0", "d1"], "left").select("doc_id", "n_shingles", component.alias("component_id")))
 
 
 #: Keys made from hashes begin here; smaller ids are keys themselves.
 HASHED = 1 << 62
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it; columns are told apart without regard to case."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_key(docs: DataFrame, name: str) -> DataFrame:
     """``docs(doc_id, text, ..)`` with a key that only rows of equal ``doc_id`` and text share, as column ``name``.
 
     It is the ``doc_id``, so that the order of ids is kept; rows without one, and rows whose ``doc_id`` stands for
-    several texts, get a hash of both, larger than any such id. Null and empty texts are told apart.
+    several texts, get a hash of both, larger than any such id. Null and empty texts are told apart. ``name`` must be
+    free in ``docs``; see ``free_name``.
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     hashed = F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
     hashed = hashed.bitwiseAND(F.lit(HASHED - 1)).bitwiseOR(F.lit(HASHED))
-    seen = docs.where("doc_id is not null").groupBy(doc_id.alias("several")).agg((F.min(hashed) < F.max(hashed)).alias("differ"))
-    several = materialize(seen.where("differ").select("several"), "several")
+    again = free_name(docs, "several")
+    seen = docs.where("doc_id is not null").groupBy(doc_id.alias(again)).agg((F.min(hashed) < F.max(hashed)).alias("differ"))
+    several = materialize(seen.where("differ").select(again), "several")
     own = doc_id.isNotNull() & (doc_id < HASHED)
     if several.isEmpty():
         return docs.withColumn(name, F.when(own, doc_id).otherwise(hashed))
-    met = docs.join(several, doc_id == F.col("several"), "left")
-    return met.withColumn(name, F.when(own & F.col("several").isNull(), doc_id).otherwise(hashed)).drop("several")
+    met = docs.join(several, doc_id == F.col(again), "left")
+    return met.withColumn(name, F.when(own & F.col(again).isNull(), doc_id).otherwise(hashed)).drop(again)
 
 
 def row_components(keyed: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:

@@ -153,5 +153,6 @@ def pack(docs: DataFrame, settings: Settings = Settings(), components: DataFrame
 
 def pack_apart(docs: DataFrame, settings: Settings = Settings(), near: near_dedup.Settings = near_dedup.Settings()) -> DataFrame:
     """As ``pack``, with the components of near copies as clusters."""
-    keyed = near_dedup.with_row_key(docs, "near_key")
-    return pack(keyed, settings, near_dedup.row_components(keyed, "near_key", near), "near_key")
+    key = near_dedup.free_name(docs, "near_key")
+    keyed = near_dedup.with_row_key(docs, key)
+    return pack(keyed, settings, near_dedup.row_components(keyed, key, near), key)
