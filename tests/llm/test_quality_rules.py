@@ -70,6 +70,21 @@ def test_learned_list_separates(labelled):
     assert [i for i, r in found.items() if r.kept != (i % 6 not in (1, 2))] == []
 
 
+def test_the_rows_that_teach_do_not_depend_on_order(spark, labelled):
+    """Every text stands under three ids with labels of their own, and one id has two texts."""
+    docs, labels = labelled
+    texts = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(240).collect()]
+    rows = [(i + k, text) for i, text in texts for k in (0, 1000, 2000)] + [(3, texts[8][1]), (1003, texts[9][1])]
+    marks = [tuple(r) for r in labels.collect()] + [(i + 1000, 1, 0) for i in range(240)] + [(i + 2000, i % 5 and 1, i % 7 == 0 and 1 or 0) for i in range(240)]
+    learned = []
+    for order in (rows, rows[::-1], rows[300:] + rows[:300]):
+        table = spark.createDataFrame(order, "doc_id long, text string").repartition(5)
+        given = spark.createDataFrame(marks if order is rows else marks[::-1], "doc_id long, quality int, toxic int")
+        found = rules.learn(table, given)
+        learned.append((found.rules, found.marked.tolist()))
+    assert learned[0] == learned[1] == learned[2] and learned[0][0]
+
+
 def test_list_is_ordered_and_interpretable(labelled):
     learned = rules.learn(*labelled)
     assert {c.feature for rule in learned.rules for c in rule} <= set(rules.RATIOS)

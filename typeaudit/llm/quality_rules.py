@@ -328,7 +328,12 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """Rules that reject what ``labels(doc_id, quality, toxic)`` calls quality 0 or toxic 1."""
     schema = "doc_id long, text_hash long, quality long, toxic long, terms array<long>, " + ", ".join(f"{c} long" for c in COUNTS)
     labelled = _labelled(docs, labels, settings).mapInArrow(lambda it: _sampled(it, settings), schema)
-    sample = labelled.dropDuplicates(["text_hash"]).dropDuplicates(["doc_id"]).persist()
+    # Equal texts are one row with their worst label and least id; of the texts of one id the one of the least hash counts.
+    # So the rows that teach do not depend on the order in which they come.
+    alike = [F.min(c).alias(c) for c in ("doc_id", "quality", "terms", *COUNTS)]
+    distinct = labelled.groupBy("text_hash").agg(*alike, F.max("toxic").alias("toxic"))
+    named = F.struct("text_hash", "quality", "toxic", "terms", *COUNTS)
+    sample = distinct.groupBy("doc_id").agg(F.min(named).alias("row")).select("doc_id", "row.*").persist()
     try:
         rows = sample.drop("terms").orderBy("doc_id").toPandas()
         toxic = rows["toxic"].to_numpy() == 1
