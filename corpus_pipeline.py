@@ -25,11 +25,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by ``doc_id`` and text, so each text of a repeated ``doc_id``, and each row without one, is judged
     by itself. Rows equal in both are kept once.
     """
-    keyed = near_dedup.with_row_key(docs, "near_key")
-    labels = keyed.select(F.col("near_key").alias("doc_id"), "text")
+    key = near_dedup.free_name(docs, "near_key")
+    keyed = near_dedup.with_row_key(docs, key)
+    labels = keyed.select(F.col(key).alias("doc_id"), "text")
     found = materialize(near_dedup.near_duplicates(labels).withColumnRenamed("doc_id", "near_key"), "groups")
     # Hashed keys are larger than ids, but do not follow the ids they stand for.
-    hashed = keyed.where(F.col("near_key") >= near_dedup.HASHED).select("near_key", "doc_id").distinct()
+    hashed = keyed.where(F.col(key) >= near_dedup.HASHED).select(F.col(key).alias("near_key"), "doc_id").distinct()
     if hashed.isEmpty():
         dropped = found.where("not kept").select("near_key").distinct()
     else:
@@ -38,12 +39,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         least = F.min(F.struct(own.isNull().alias("no_id"), own.alias("id"), "near_key")).alias("least")
         heads = named.groupBy("component_id").agg(least).select("least.near_key")
         dropped = named.select("near_key").join(heads, "near_key", "left_anti")
-    kept = keyed.join(dropped, "near_key", "left_anti")
-    again = found.groupBy("near_key").count().where("count > 1").select("near_key")
+    kept = keyed.join(dropped.withColumnRenamed("near_key", key), key, "left_anti")
+    again = found.groupBy("near_key").count().where("count > 1").select(F.col("near_key").alias(key))
     if again.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(again, "near_key", "left_semi").dropDuplicates(["near_key"]).select(docs.columns)
-    return kept.join(again, "near_key", "left_anti").select(docs.columns).unionByName(once)
+    once = kept.join(again, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    return kept.join(again, key, "left_anti").select(docs.columns).unionByName(once)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
