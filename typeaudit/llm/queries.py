@@ -12,6 +12,7 @@ from typeaudit.llm import (
     collocations, decontaminate, lm_score, merkle, near_dedup, packing, quality_rules, repeats, sharding, token_counts, token_output, url_filter,
     warc,
 )
+from typeaudit.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,7 +141,9 @@ LEFT JOIN listed l ON l.canonical = n.canonical
 
 @query
 def op8_token_counts(spark, sf_dir):
-    return token_counts.by_limit(token_counts.histogram(table(spark, sf_dir, "documents")))
+    # One row for each distinct length; it is read twice, the texts are encoded once.
+    lengths = materialize(token_counts.histogram(table(spark, sf_dir, "documents")), "lengths")
+    return token_counts.by_limit(lengths)
 
 
 @query
