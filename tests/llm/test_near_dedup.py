@@ -92,3 +92,17 @@ def test_components_of_a_chain_and_a_loop(spark):
     links = [(i, i + 1) for i in range(2, 60)] + [(100, 100), (71, 70), (70, 71)]
     found = smallest_reachable(spark.createDataFrame(links, "a long, b long"))
     assert {r.node: r.component for r in found.collect()} == {i: 2 for i in range(2, 61)} | {70: 70, 71: 70}
+
+
+def test_steps_leave_no_folders(spark, sf_docs):
+    """Buckets, pairs, open rows and all but the last links are deleted after their last reader."""
+    from pathlib import Path
+
+    from typeaudit import session
+
+    folder = Path(session.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    near_dedup.near_duplicates(sf_docs).count()
+    left = [path.name.split("-")[0] for path in set(folder.iterdir()) - before]
+    assert not {"buckets", "pairs", "open"} & set(left)
+    assert left.count("stars") == near_dedup.Settings().star_rounds + 1

@@ -8,7 +8,8 @@ threshold that no chunk catches has a probability of about 2e-6 with the default
 screened by a lower bound of the sets' difference: each shingle toggles one of 1,024 bits, so sets differ in at
 least as many shingles as their bits do. Links are confirmed on the full sets.
 
-Scale: texts with equal sets are one node. A bucket is never expanded into its pairs while one pass over
+Scale: texts with equal sets are one node. The bucket keys move once, as rows of three numbers; sets and bits are dealt out by node
+once and stay where they are for all rounds. A bucket is never expanded into its pairs while one pass over
 its rows does the work: in the first rounds each bucket links its rows to one representative, confirmed
 links are merged into components, and only what lies in *different* components of a bucket goes on to
 the last round, which compares all of that. So a group of copies costs rows, not pairs, and no link
@@ -29,12 +30,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from typeaudit.llm import scan
 from typeaudit.llm.components import smallest_reachable
-from typeaudit.session import materialize
+from typeaudit.session import discard, materialize
 
 
 class Settings(NamedTuple):
@@ -67,8 +70,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     if len(short):
         whole = [scan.window_hashes(hashes[spans.first[i] : spans.first[i + 1]], int(count[i]))[0] for i in short]
         values, text = np.concatenate((values, np.array(whole, np.uint64))), np.concatenate((text, short))
-    order = np.lexsort((values, text))
-    values, text = values[order], text[order]
+    if len(short):
+        order = np.argsort(text, kind="stable")
+        values, text = values[order], text[order]
+    ends = np.searchsorted(text, np.arange(len(offsets)))
+    for i in range(len(ends) - 1):
+        values[ends[i] : ends[i + 1]].sort()
     if len(values):
         fresh = np.concatenate(([True], (values[1:] != values[:-1]) | (text[1:] != text[:-1])))
         values, text = values[fresh], text[fresh]
@@ -139,43 +146,66 @@ def _members(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], ["node", "members"])
 
 
-def _may_link(a: str, b: str, settings: Settings) -> Column:
+def _sizes_may_link(a: str, b: str, settings: Settings) -> Column:
+    least, most = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    return least * 100 >= most * settings.percent
+
+
+def _bits_may_link(a: str, b: str, settings: Settings) -> Column:
     """Sizes and bits that a pair at the threshold can have; no pair at or above it is turned away."""
     col = lambda side, name: F.col(f"{side}.{name}")
-    least, most = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
     apart = sum((F.bit_count(col(a, s).bitwiseXOR(col(b, s))) for s in SCREEN), F.lit(0))
     # Of sets with the union u and the similarity p, (1 - p) * u shingles are in one only, and na + nb = (1 + p) * u.
     differing = (col(a, "n") + col(b, "n")) * (100 - settings.percent)
-    return (least * 100 >= most * settings.percent) & (apart * (100 + settings.percent) <= differing)
+    return apart * (100 + settings.percent) <= differing
 
 
 def _stars(rows: DataFrame, number: int, settings: Settings) -> DataFrame:
     """Pairs of each bucket's representative with the bucket's rows of other components."""
     order = F.col("node") if number == 0 else F.xxhash64("node", F.lit(number))
-    heads = rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "comp", "n", *SCREEN)).alias("head"))
+    heads = rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "comp", "n")).alias("head"))
     heads = heads.select("key", "head.*").alias("h")
     met = rows.alias("r").join(heads, "key").where(
-        (F.col("r.comp") != F.col("h.comp")) & _may_link("r", "h", settings)
+        (F.col("r.comp") != F.col("h.comp")) & _sizes_may_link("r", "h", settings)
     )
     return met.select(F.least("r.node", "h.node").alias("a"), F.greatest("r.node", "h.node").alias("b"))
 
 
 def _across(rows: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of a bucket that lie in different components and may link."""
+    """All pairs of a bucket that lie in different components and may link; ``rows`` have their bits, so no other pair is made."""
     met = rows.alias("l").join(rows.alias("r"), "key").where(
-        (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", settings)
-    )
+        (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp"))
+        & _sizes_may_link("l", "r", settings) & _bits_may_link("l", "r", settings)
+    )
     return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
+def _screened(pairs: DataFrame, screens: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs whose bits allow a link; each pair meets the bits of its nodes once, however many buckets it shares."""
+    left, right = screens.alias("l"), screens.alias("r")
+    sides = pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node"))
+    return sides.where(_bits_may_link("l", "r", settings)).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    sides = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b").join(
-        sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a"
+    # The larger nodes come last: many pairs may have one representative as the smaller one.
+    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b"
     )
     shared = F.size(F.array_intersect("ma", "mb")).cast("long")
     return sides.where(shared * 100 >= (F.size("ma").cast("long") + F.size("mb") - shared) * percent).select("a", "b")
 
 
+def _placed(rows: DataFrame, repeated: bool) -> DataFrame:
+    """``rows`` dealt out by ``node`` once and kept on the executors' disks, so that no join on ``node`` moves them again.
+
+    Where rows are ``repeated``, one of each node is kept.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(count, "node")
+    return (dealt.dropDuplicates(["node"]) if repeated else dealt).persist(StorageLevel.DISK_ONLY)
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -186,9 +216,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     signed = _signed(texts, settings)
     digest = F.struct("d0", "d1")
     seen = signed.where("doc_id is not null and d0 is not null").groupBy(F.col("doc_id").alias("id"))
-    several = materialize(seen.agg((F.min(digest) < F.max(digest)).alias("differ")).where("differ").select("id"), "several")
+    again = seen.agg((F.min(digest) < F.max(digest)).alias("differ"), F.count("*").alias("rows")).where("rows > 1")
+    again = materialize(again, "several")
+    several = again.where("differ").select("id")
     if several.isEmpty():
-        return _linked(texts, signed, settings)
+        return _linked(texts, signed, settings, not again.isEmpty())
     # Each text of such an id is a document of its own under a key made from both.
     hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(HASHED - 1)).bitwiseOR(F.lit(HASHED))
     keyed = texts.join(several, F.col("doc_id") == F.col("id"), "left").select(
@@ -196,7 +228,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     )
     ids = materialize(keyed.where("id is not null").select(F.col("doc_id").alias("key"), "id").distinct(), "ids")
     keyed = materialize(keyed.select("doc_id", "text"), "texts")
-    found = _linked(keyed, _signed(keyed, settings), settings)
+    found = _linked(keyed, _signed(keyed, settings), settings, True)
     found = materialize(found.join(ids, F.col("doc_id") == F.col("key"), "left").select(
         F.coalesce("id", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("class")
     ), "classes")
@@ -214,32 +246,39 @@ def _signed(texts: DataFrame, settings: Settings) -> DataFrame:
     return materialize(texts.mapInArrow(lambda it: _sign(settings, it), SIGNED), "signatures")
 
 
-def _linked(texts: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
-    """The result for texts of which no two that differ share a ``doc_id``."""
+def _linked(texts: DataFrame, signed: DataFrame, settings: Settings, repeated: bool) -> DataFrame:
+    """The result for texts of which no two that differ share a ``doc_id``; ``repeated`` if some ``doc_id`` has several rows."""
     nodes = signed.where("d0 is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
-    named = signed.join(nodes, ["d0", "d1"])
-    own = named.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), *SCREEN, "keys")
-    entries = own.select("node", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg((F.min("node") < F.max("node")).alias("shared")).where("shared").select("key")
-    met = entries.join(shared, "key").distinct()
-    buckets = materialize(met.join(own.drop("keys").dropDuplicates(["node"]), "node"), "buckets")
-    wanted = buckets.select("node").distinct()
-    sets = materialize(
-        texts.where("doc_id is not null")
-        .join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
-        .mapInArrow(lambda it: _members(settings.shingle, it), SETS)
-        .dropDuplicates(["node"]),
-        "sets",
+    own = signed.where("d0 is not null").join(nodes, ["d0", "d1"]).where("doc_id = node")
+    # A bucket's rows lie side by side in one sort. Repeated rows of a node are neighbours, and the first stands for all.
+    beside = W.partitionBy("key").orderBy("node")
+    bucket = beside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    entries = own.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n")).select(
+        "*",
+        F.lag("node").over(beside).alias("before"),
+        (F.min("node").over(bucket) < F.max("node").over(bucket)).alias("shared"),
     )
-
-    rows = buckets.withColumn("comp", F.col("node"))
+    once = F.col("shared") & ~F.col("before").eqNullSafe(F.col("node"))
+    buckets = materialize(entries.where(once).select("key", "node", "n"), "buckets")
+    wanted = buckets.select("node").distinct()
+    screens = _placed(
+        signed.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi")
+        .select("node", F.col("n_shingles").alias("n"), *SCREEN), repeated
+    )
+    chosen = texts.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
+    sets = _placed(chosen.mapInArrow(lambda it: _members(settings.shingle, it), SETS), repeated)
+
+    rows, done = buckets.withColumn("comp", F.col("node")), [buckets]
     links = tried = components = None
     for number in range(settings.star_rounds + 1):
-        pairs = _stars(rows, number, settings) if number < settings.star_rounds else _across(rows, settings)
-        pairs = pairs.distinct()
+        if number < settings.star_rounds:
+            pairs = _screened(_stars(rows, number, settings).distinct(), screens, settings)
+        else:
+            pairs = _across(rows.join(screens.drop("n"), "node"), settings).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        done.append(pairs)
         found = _confirmed(pairs, sets, settings.percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
         # What the components so far say is kept as links to their smallest node.
@@ -249,10 +288,16 @@ def _linked(texts: DataFrame, signed: DataFrame, settings: Settings) -> DataFram
         components = smallest_reachable(links)
         if number < settings.star_rounds:
             rows = buckets.join(components, "node", "left").select(
-                "key", "node", "n", *SCREEN, F.coalesce("component", "node").alias("comp")
+                "key", "node", "n", F.coalesce("component", "node").alias("comp")
             )
             apart = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("apart")).where("apart").select("key")
             rows = materialize(rows.join(apart, "key"), "open")
+            done.append(rows)
+    screens.unpersist()
+    sets.unpersist()
+    # The components are written; nothing reads the steps before them again.
+    for step in done:
+        discard(step)
     labels = nodes.join(components, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("class"))
     component = F.when(F.col("d0").isNull(), F.col("doc_id")).otherwise(F.col("class"))
     return _kept(signed.join(labels, ["d0", "d1"], "left").select("doc_id", "n_shingles", component.alias("component_id")))

@@ -85,13 +85,15 @@ MEASURED = "n_bytes long, n_tokens long, cluster long"
 PIECES = "n_tokens long, piece int, piece_tokens int, bin long, bin_offset int"
 
 
-def _measure(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], vocabulary: str, by_words: bool) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in scan.slices(whole, "text")):
         found = scan.texts(batch.column("text"))
         length = tokens.lengths(batch.column("text"), vocabulary) + 1
+        # Rows without component have no words.
+        cluster = clusters(*found) if by_words else np.zeros(batch.num_rows, np.uint64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("key"), pa.array(np.diff(found.offsets)), pa.array(length),
-             pa.array(clusters(*found).view(np.int64))],
+             pa.array(cluster.view(np.int64))],
             ["row", "key", "n_bytes", "n_tokens", "cluster"],
         )
 
@@ -139,10 +141,11 @@ def pack(docs: DataFrame, settings: Settings = Settings(), components: DataFrame
         if waiting:
             yield packed(waiting, number)
 
-    number = F.lit(0).cast("long") if components is None else F.col(f"`{key}`")
+    by_words = components is None
+    number = F.lit(0).cast("long") if by_words else F.col(f"`{key}`")
     row = F.struct(*(F.col(f"`{c}`") for c in carried.columns)).alias("row")
     measured = docs.select(row, number.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: _measure(it, settings.vocabulary),
+        lambda it: _measure(it, settings.vocabulary, by_words),
         T.StructType([row_field, T.StructField("key", T.LongType()), *T.StructType.fromDDL(MEASURED).fields]),
     )
     if components is not None:

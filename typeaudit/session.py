@@ -65,3 +65,9 @@ def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     path = new_shared_path(spark, label)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for ``written``; nothing may read it any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in written.inputFiles()}:
+        remove_shared_path(written.sparkSession, folder)
