@@ -132,3 +132,16 @@ def test_no_text_in_the_exchange(make_sources):
     assert plan.count("Exchange") == 1 and "REPARTITION" not in plan
     exchange = plan[plan.index("Exchange") :].splitlines()[1]
     assert "text" not in exchange and "element" not in exchange and "head" not in exchange.replace("headed", "")
+
+
+def test_whole_comments_and_literals_are_emptied_before_the_fold(spark):
+    """The fold then meets their ends only: deep comments and raw literals of many lines have few delimiters left."""
+    inside = "a { ' b # /x\n\r\x0b( " * 500
+    text = "class A {\n " + "/*" * 9 + inside + "*/" * 9 + "\n let a = ####\"\"\"\n" + inside + "\n\"\"\"####\n // " + "{ ( " * 500 + "\n}"
+    found = nesting.rewritten(spark.createDataFrame([(text,), ("\ufdd0 /* \ufdd1\n */ x",)], "text string"))
+    whole = F.regexp_extract_all("text", F.lit(nesting._WHOLE), F.lit(0))
+    emptied = found.select("code", F.array_join(F.transform(whole, nesting._emptied), "").alias("left")).collect()
+    assert all(emptied[0].code.count(c) == text.count(c) for c in "\n\r\x0b")
+    assert emptied[0].code.split() == ["class", "A", "{", "let", "a", "=", "0", "}"]
+    assert len(emptied[0].left.replace("\ufdd0", "").replace("\ufdd1", "").replace("\x0b", "")) < 80
+    assert emptied[1].code.split() == ["\ufdd0", "x"] and emptied[1].code.count("\n") == 1

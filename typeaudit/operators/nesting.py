@@ -6,6 +6,9 @@ them with a state of mode, group depth and a stack of what is open. The inside o
 deeper than two, but for what stands in braces; a literal leaves ``0``. Generic clauses are blanked after that, many levels at a time. Newlines keep
 their number and kind, so counts of lines are those of the original.
 
+What is whole and holds nothing to decide, comments to a depth of 64 and literals without interpolation, is emptied by one expression before the
+fold, which then has their ends only; the rest of the text from the first place where that isn't certain is left to the fold.
+
 Nothing recurses: an interpolation or brace is a frame of fixed width on a string. The fold runs in blocks of delimiters, so pieces of
 output are joined once for each block, and a text of any length costs time in proportion.
 """
@@ -30,6 +33,25 @@ _DELIMITER = (
 )
 _TOKEN = rf'([^"/*\\#\n\r(){{}}\[\]]*+)(?:({lexis.REGEX_OPENER})|({_DELIMITER}))'
 
+# Stand-ins for LF and CR inside of what was emptied, where no newline ends anything, and for these code points where a text has them.
+_HELD, _TAKEN = "\ufdd0\ufdd1", "\ufdd2\ufdd3"
+_KEPT = rf"{_NEWLINES}\ufdd0\ufdd1"
+_COMMENT_DEPTH = 64
+
+
+def _whole_comment(depth: int) -> str:
+    """A closed comment without marks that the delimiters above read in another way."""
+    inner = "" if depth == 0 else f"|{_whole_comment(depth - 1)}"
+    return rf"/\*(?:[^*/\\#]++|\*(?!/)|/++(?!\*)|\\(?![\\/])|#(?!#*+/){inner})*+\*/"
+
+
+_ESCAPE = r'\\(?![#("\\/])'
+_WHOLE = (
+    rf'\G(?:[^"/*\\#]++|\*/|\*(?!/)|//[^\n\r]*+|{_whole_comment(_COMMENT_DEPTH)}'
+    rf'|(#*+)"""(?:[^"\\]++|"{{1,2}}+(?!")|{_ESCAPE})*+"""\1#*+|(#*+)"(?!"")(?:[^"\\\n\r]++|{_ESCAPE})*+"\2#*+(?!")'
+    r'|#(?!#*+["/]))'
+)
+
 # A generic clause of up to so many levels, what lies between, and the innermost kind.
 _LEVELS = 30
 _CLAUSE = rf"(?<=[\w`])<{lexis._generic(_LEVELS)}>"
@@ -46,6 +68,20 @@ def _blank(text: Column) -> Column:
     return F.regexp_replace(text, f"[^{_NEWLINES}]", " ")
 
 
+def _emptied(piece: Column) -> Column:
+    """A match of ``_WHOLE`` with nothing but newlines inside, if it is a comment or literal."""
+    held = F.translate(F.regexp_replace(piece, f"[^{_NEWLINES}]++", ""), "\n\r", _HELD)
+    lead, trail = F.regexp_extract(piece, "^#*", 0), F.regexp_extract(piece, "#*$", 0)
+    literal = lambda quotes: F.concat(lead, F.lit(f"{quotes} "), held, F.lit(quotes), trail)
+    return (
+        F.when(piece.startswith("//"), F.concat(F.lit("// "), held))
+        .when(piece.startswith("/*"), F.concat(F.lit("/* "), held, F.lit("*/")))
+        .when(piece.rlike('^#*"""'), literal('"""'))
+        .when(piece.rlike('^#*"'), literal('"'))
+        .otherwise(piece)
+    )
+
+
 # --- the automaton -----------------------------------------------------------------------
 #
 # Modes: c code, s literal of one line, m of several, l line comment, b block comment, r regular expression, x extended one.
@@ -86,7 +122,7 @@ def _step() -> str:
     in_frame = f"lpad(CAST({depth} AS STRING), 9, '0')"
     is_brace = f"({top} = '{{')"
     shown = f"({s}.mode = 'c' AND {s}.inner = 0)"
-    blank = "regexp_replace({0}, '[^" + _NEWLINES.replace("\\", "\\\\") + "]', ' ')"
+    blank = "regexp_replace({0}, '[^" + _KEPT.replace("\\", "\\\\") + "]', ' ')"
     opened = f"length(regexp_extract({t}.d, '^#*', 0))"
     run = f"if({shown} AND {depth} <= {_KEPT_DEPTH}, {t}.run, {blank.format(f'{t}.run')})"
     mark = f"""CASE WHEN {t}.d IN ('\\n', '\\r') THEN {t}.d WHEN NOT {shown} THEN '  '
@@ -140,7 +176,16 @@ def rewritten(sources: DataFrame, text: str = "text", when: Column | None = None
     ``code`` has blanks for comments and deep groups, ``0`` for literals and no generic clauses.
     """
     chosen = F.col(text) if when is None else F.when(when, F.col(text))
-    run, opener, delimiter = (F.regexp_extract_all(chosen, F.lit(_TOKEN), F.lit(k)) for k in (1, 2, 3))
-    found = sources.withColumn("delimiters", F.arrays_zip(run.alias("run"), opener.alias("r"), delimiter.alias("d")))
-    found = found.withColumn("code", F.expr(_FOLD)).drop("delimiters")
+    taken = F.col(text).rlike(f"[{_HELD}]")
+    found = sources.withColumn("chosen", F.when(taken, F.translate(chosen, _HELD, _TAKEN)).otherwise(chosen))
+    found = found.withColumn("whole", F.regexp_extract_all("chosen", F.lit(_WHOLE), F.lit(0)))
+    found = found.withColumn("begun", F.length(F.array_join("whole", "")))
+    rest = F.expr("substring(chosen, begun + 1)")
+    emptied = F.concat(F.array_join(F.transform("whole", _emptied), ""), rest)
+    found = found.withColumn("chosen", emptied).drop("whole", "begun")
+    run, opener, delimiter = (F.regexp_extract_all("chosen", F.lit(_TOKEN), F.lit(k)) for k in (1, 2, 3))
+    found = found.withColumn("delimiters", F.arrays_zip(run.alias("run"), opener.alias("r"), delimiter.alias("d")))
+    found = found.withColumn("code", F.expr(_FOLD)).drop("delimiters", "chosen")
+    found = found.withColumn("code", F.translate("code", _HELD, "\n\r"))
+    found = found.withColumn("code", F.when(taken, F.translate("code", _TAKEN, _HELD)).otherwise(F.col("code")))
     return found.withColumn("code", _without_generics(F.col("code")))
