@@ -89,3 +89,15 @@ def test_driver_documents(spark):
     assert run.types.exceptAll(extract.extract_types(documents)).count() == 0
     assert run.types.count() == extract.extract_types(documents).count()
     assert run.files.count() == documents.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
+def test_tasks_grow_with_the_table(spark, monkeypatch):
+    """A task of the extraction holds a part of bounded size; the elements do not move after the texts."""
+    documents = derived.table(spark, SF_DIR, "documents")
+    stored = sum(os.path.getsize(name.removeprefix("file://")) for name in documents.inputFiles())
+    monkeypatch.setattr(derived, "TASK_BYTES", stored // 40)
+    sources = derived.document_sources(spark, SF_DIR)
+    assert sources.rdd.getNumPartitions() == derived.task_count(spark, documents) >= 40
+    plan = extract.extract_types(sources)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -169,14 +169,24 @@ def project_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("project"), text.alias("config_text"))
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """A table of fewer files than cores is dealt out, since a file with one row group is one task; others stay as they lie."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
+#: Bytes of stored table for each task of an extraction, so that a task's sorts stay the same size as the table grows.
+TASK_BYTES = 4 << 20
+
+
+def task_count(spark: SparkSession, rows: DataFrame) -> int:
+    """At least one task for each core; more where the files of ``rows`` are larger than so many parts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    stored = 0
+    for name in rows.inputFiles():
+        file = path(spark._jvm.java.net.URI(name))
+        stored += file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getLen()
+    return max(spark.sparkContext.defaultParallelism, -(-stored // TASK_BYTES))
 
 
 def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_document_sources(_dealt(table(spark, sf_dir, "documents"), "doc_id"))
+    """Dealt out by file, so that the extraction moves no elements and each of its tasks holds a part of bounded size."""
+    documents = table(spark, sf_dir, "documents")
+    return as_document_sources(documents).repartition(task_count(spark, documents), "project", "path")
 
 
 def as_document_sources(documents: DataFrame) -> DataFrame:

@@ -437,8 +437,8 @@ def stream_summary(spark, sf_dir):
     """The same summary, with the documents read as a stream."""
     arriving = derived.table_stream(spark, sf_dir, "documents")
     out, checkpoint = new_shared_path(spark, "stream-summary"), new_shared_path(spark, "stream-checkpoint")
-    cores = spark.sparkContext.defaultParallelism
-    running = stream.start_summary(derived.as_document_sources(arriving), out, checkpoint, partitions=cores)
+    tasks = derived.task_count(spark, derived.table(spark, sf_dir, "documents"))
+    running = stream.start_summary(derived.as_document_sources(arriving), out, checkpoint, partitions=tasks)
     running.awaitTermination()
     total = stream.summary_so_far(spark, out)
     row = total.collect()
