@@ -3,9 +3,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from typeaudit import session
 from typeaudit.llm import quality_rules as rules
+from typeaudit.llm import scan
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -108,3 +112,23 @@ def test_sample_is_bounded(labelled):
     docs, labels = labelled
     sample = rules._labelled(docs, labels, rules.Settings(sample_rows=50))
     assert sample.count() <= 50
+
+
+def test_batches_of_long_texts_are_bounded_unless_the_session_says_otherwise(spark):
+    own = spark.conf.get(session.BATCH_BYTES)
+    texts = spark.range(0, 64, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 50000)").alias("text"))
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    try:
+        spark.conf.unset(session.BATCH_BYTES)
+        assert rules.measure(texts, np.empty(0, np.uint64)).where("n_words = 50000").count() == 64
+        found = [r.size for r in scan.mapped(texts, size, "size long").collect()]
+        assert sum(found) > 15_000_000 and max(found) < 5_000_000
+        spark.conf.set(session.BATCH_BYTES, "1000000")
+        scan.mapped(texts, size, "size long")
+        assert spark.conf.get(session.BATCH_BYTES) == "1000000"
+    finally:
+        spark.conf.set(session.BATCH_BYTES, own)

@@ -66,7 +66,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
             )
 
     chosen = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    found = chosen.mapInArrow(run, "words array<long>, item string")
+    found = scan.mapped(chosen, run, "words array<long>, item string")
     return found.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
@@ -98,7 +98,7 @@ def _frequencies(docs: DataFrame, words: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
 
-    found = docs.select(F.col("row.text").alias("text")).mapInArrow(run, "at long, n long")
+    found = scan.mapped(docs.select(F.col("row.text").alias("text")), run, "at long, n long")
     counts = found.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(len(words), np.int64)
     frequency[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
@@ -184,7 +184,7 @@ def _pass(found: DataFrame, field: int, index: Index | None) -> DataFrame:
             for batch in scan.slices(whole, "text"):
                 yield _found(batch, batch.column("carried"), index)
 
-    return carried.mapInArrow(run, schema).select(
+    return scan.mapped(carried, run, schema).select(
         "carried.row",
         "n_words",
         F.concat("carried.spans", "new_spans").alias("spans"),

@@ -243,7 +243,7 @@ def _kept(found: DataFrame) -> DataFrame:
 
 
 def _signed(texts: DataFrame, settings: Settings) -> DataFrame:
-    return materialize(texts.mapInArrow(lambda it: _sign(settings, it), SIGNED), "signatures")
+    return materialize(scan.mapped(texts, lambda it: _sign(settings, it), SIGNED), "signatures")
 
 
 def _linked(texts: DataFrame, signed: DataFrame, settings: Settings, repeated: bool) -> DataFrame:
@@ -266,7 +266,7 @@ def _linked(texts: DataFrame, signed: DataFrame, settings: Settings, repeated: b
         .select("node", F.col("n_shingles").alias("n"), *SCREEN), repeated
     )
     chosen = texts.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = _placed(chosen.mapInArrow(lambda it: _members(settings.shingle, it), SETS), repeated)
+    sets = _placed(scan.mapped(chosen, lambda it: _members(settings.shingle, it), SETS), repeated)
 
     rows, done = buckets.withColumn("comp", F.col("node")), [buckets]
     links = tried = components = None

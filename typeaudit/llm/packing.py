@@ -144,7 +144,8 @@ def pack(docs: DataFrame, settings: Settings = Settings(), components: DataFrame
     by_words = components is None
     number = F.lit(0).cast("long") if by_words else F.col(f"`{key}`")
     row = F.struct(*(F.col(f"`{c}`") for c in carried.columns)).alias("row")
-    measured = docs.select(row, number.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(
+    measured = scan.mapped(
+        docs.select(row, number.alias("key"), F.col("text").cast("string").alias("text")),
         lambda it: _measure(it, settings.vocabulary, by_words),
         T.StructType([row_field, T.StructField("key", T.LongType()), *T.StructType.fromDDL(MEASURED).fields]),
     )

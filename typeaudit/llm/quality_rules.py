@@ -156,7 +156,7 @@ def measure(docs: DataFrame, marked: np.ndarray, settings: Settings = Settings()
                     [batch.column("row"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)], ["row", *COUNTS]
                 )
 
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).mapInArrow(run, schema)
+    return scan.mapped(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), run, schema)
 
 
 def base_failed(settings: Settings = Settings()) -> Column:
@@ -327,7 +327,7 @@ def _mark(sample: DataFrame, ids: np.ndarray, toxic: np.ndarray, settings: Setti
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DecisionList:
     """Rules that reject what ``labels(doc_id, quality, toxic)`` calls quality 0 or toxic 1."""
     schema = "doc_id long, text_hash long, quality long, toxic long, terms array<long>, " + ", ".join(f"{c} long" for c in COUNTS)
-    labelled = _labelled(docs, labels, settings).mapInArrow(lambda it: _sampled(it, settings), schema)
+    labelled = scan.mapped(_labelled(docs, labels, settings), lambda it: _sampled(it, settings), schema)
     # Equal texts are one row with their worst label and least id; of the texts of one id the one of the least hash counts.
     # So the rows that teach do not depend on the order in which they come.
     alike = [F.min(c).alias(c) for c in ("doc_id", "quality", "terms", *COUNTS)]

@@ -218,7 +218,7 @@ def _remove(batches: Iterator[pa.RecordBatch], field: int, window: int) -> Itera
 def repeated_windows(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``rid, spans`` of the texts with repeated windows, from ``texts(rid, text)``; equal rids are equal texts."""
     window = settings.window
-    found = texts.select("rid", "text").mapInArrow(lambda it: _anchors(it, settings), ANCHORS)
+    found = scan.mapped(texts.select("rid", "text"), lambda it: _anchors(it, settings), ANCHORS)
     # Copies of a run count once for each; an anchor string of one run and one place ends here.
     keys = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("run") < F.max("run")).alias("mixed"))
     keys = materialize(keys.where("n > 1").select("key", "mixed"), "anchors")
@@ -229,8 +229,8 @@ def repeated_windows(texts: DataFrame, settings: Settings = Settings()) -> DataF
         F.min(F.struct("rid", "low", "high")).alias("one"), (F.count("*") > 1).alias("twice")
     )
     wanted = copies.groupBy("one.rid").agg(F.collect_list(F.struct("one.low", "one.high", "key", "run", "twice")).alias("wanted"))
-    cut = texts.select("rid", "text").join(wanted, "rid").mapInArrow(
-        lambda it: _cut_runs(it, window), "key long, run long, twice boolean, piece binary"
+    cut = scan.mapped(
+        texts.select("rid", "text").join(wanted, "rid"), lambda it: _cut_runs(it, window), "key long, run long, twice boolean, piece binary"
     )
     pieces = materialize(cut.dropDuplicates(["key", "run"]), "pieces")
     volume = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
@@ -257,5 +257,5 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     spans = repeated_windows(texts.select("rid", F.col("row.text").alias("text")), settings)
     schema = T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL(CUT).fields])
     found = texts.join(spans, "rid", "left").select("row", "spans")
-    return found.mapInArrow(lambda it: _remove(it, field, settings.window), schema)
+    return scan.mapped(found, lambda it: _remove(it, field, settings.window), schema)
 

@@ -6,12 +6,16 @@ same length. Hashes are 64-bit; a task holds the arrays of one slice, never of a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from typeaudit.session import bound_batches
 
 #: Text bytes and rows that a task works on at once.
 SLICE_BYTES = 1 << 20
@@ -59,6 +63,14 @@ class Spans(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def mapped(
+    rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    """``mapInArrow`` for rows with texts: batches are bounded by bytes, however long the texts are."""
+    bound_batches(rows.sparkSession)
+    return rows.mapInArrow(function, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``limit`` bytes of text each, at least one row and at most ``rows`` each."""
     if not batch.num_rows:

@@ -33,7 +33,7 @@ def histogram(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame
             [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["length", "n_docs"]
         )
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length long, n_docs long")
+    found = scan.mapped(docs.select(F.col("text").cast("string").alias("text")), run, "length long, n_docs long")
     return found.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 

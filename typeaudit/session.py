@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The bytes of rows that Spark hands to a Python worker at once. Its own bound, 64 MB, is held several times over outside the
+#: heap: in the vectors, in the stream to the worker and in the worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # AQE sizes reduce tasks, splits skewed join partitions and turns a shuffled join
 # into a broadcast one only after the real size of a side is known.
 DEFAULTS = {
@@ -17,6 +21,7 @@ DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     # Lets the listing of files skip folders that no row of a query can lie in.
     "spark.sql.python.filterPushdown.enabled": "true",
+    BATCH_BYTES: str(4 << 20),
     # Call-site tracking of every column expression; costs more than building the plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -29,6 +34,12 @@ def build_session(app: str = "typeaudit", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches of a session that says nothing about them; Spark reads the setting when a plan runs."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, DEFAULTS[BATCH_BYTES])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
