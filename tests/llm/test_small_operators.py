@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import tiktoken
 
 from typeaudit.llm import packing, queries, sharding, token_counts, token_output, tokens, url_filter
 
@@ -175,3 +176,16 @@ def test_main_path_is_native(spark, sf_dir):
     plan = queries.REGISTRY["op7_url_filter"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
+
+
+def test_the_pattern_cuts_as_the_published_one_and_never_goes_back(encode):
+    published = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    coder = tokens.encoder(tokens.VOCABULARY)
+    plain = tiktoken.Encoding("published", pat_str=published, mergeable_ranks=coder._mergeable_ranks, special_tokens={})
+    pieces = np.array(["'s", "'ll", "'", "'d", " ", "  ", "\n", "\t", " ", "　", "\r\n", "é", "ab", "Z", "7", "½", "٣", "漢", "!", "#$", "́", "😀", "\x00"])
+    random = np.random.default_rng(5)
+    for size in (0, 1, 2, 3, 5, 8, 40):
+        for _ in range(300):
+            text = "".join(random.choice(pieces, size))
+            assert encode(text) == plain.encode_ordinary(text)
+    assert all(f"{run}++" in tokens.PATTERN for run in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))
