@@ -33,6 +33,13 @@ def message_words(message: Column) -> Column:
     return F.array_distinct(F.filter(F.split(message, r"\s+"), lambda word: word != ""))
 
 
+def _roomy_words(named: DataFrame, issue_key: Sequence[str]) -> DataFrame:
+    """The words of each message that are as long as the file's shortest name; no other word can hold one."""
+    texts = F.when(F.col("blanks"), F.array("message")).otherwise(message_words(F.col("message")))
+    roomy = F.filter(texts, lambda word: F.length(word) >= F.try_element_at("sizes", F.lit(1)))
+    return named.select(*issue_key, "sizes", F.explode(roomy).alias("word"))
+
+
 def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknown: str = UNKNOWN_TYPE) -> DataFrame:
     """``issues`` plus ``matched_ord`` and ``matched_name``."""
     if mode == "lineage":
@@ -48,8 +55,7 @@ def attribute(issues: DataFrame, types: DataFrame, mode: str = "lineage", unknow
     names = types.groupBy(*schema.FILE_KEY).agg(
         F.sort_array(F.collect_set(F.length("name"))).alias("sizes"), F.bool_or(F.col("name").rlike(r"\s")).alias("blanks")
     )
-    texts = F.when(F.col("blanks"), F.array("message")).otherwise(message_words(F.col("message")))
-    words = issues.join(names, schema.FILE_KEY).select(*issue_key, "sizes", F.explode(texts).alias("word"))
+    words = _roomy_words(issues.join(names, schema.FILE_KEY), issue_key)
     # Words shared by all messages of a file collapse before the exchange.
     matched_words = (
         _with_parts(words.select(*word_key, "sizes").distinct())

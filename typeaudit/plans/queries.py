@@ -15,7 +15,7 @@ from typeaudit.operators import (
 )
 from typeaudit.operators import rules as R
 from typeaudit.plans import analysis, derived
-from typeaudit.session import new_shared_path, remove_shared_path
+from typeaudit.session import materialize, new_shared_path, remove_shared_path
 from typeaudit.sinks import documents, reports
 from typeaudit.sources import config as cfg
 from typeaudit.sources import files
@@ -183,6 +183,9 @@ def best_per_type(spark, sf_dir):
 
 def _attributed(spark, sf_dir, mode: str) -> DataFrame:
     types = derived.all_types(spark, sf_dir)
+    if mode == "substring":
+        # Message matching reads the types four times.
+        types = materialize(types, "types")
     return attribution.attribute(engine.analyze_types(types), types, mode)
 
 
@@ -466,7 +469,8 @@ def request_selection(spark, sf_dir):
 
 @query
 def request_selection_by_name(spark, sf_dir):
-    types = derived.all_types(spark, sf_dir)
+    # Message matching reads the types five times.
+    types = materialize(derived.all_types(spark, sf_dir), "types")
     attributed = attribution.attribute(engine.analyze_types(types), types, "substring", attribution.UNKNOWN_CLASS)
     chosen = requests.select_requests_from_issues(attributed, types, by_name=True)
     return chosen.select("path", "type_name", "type_ord", "rule", "severity", "request_rank", "method_count")
