@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -189,3 +190,45 @@ def test_the_pattern_cuts_as_the_published_one_and_never_goes_back(encode):
             text = "".join(random.choice(pieces, size))
             assert encode(text) == plain.encode_ordinary(text)
     assert all(f"{run}++" in tokens.PATTERN for run in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))
+
+
+def test_lengths_are_those_of_whole_texts(encode, monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN", 16)
+    tokens._known.cache_clear()
+    pieces = np.array([
+        "'s", "'ll", "'", " '", "d", " ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x00", "\x85", "\xa0", " ", " ", " ", " ",
+        " ", "　", "​", "é", "à", "漢", "一", "ab", "Z", "7", "½", "!", "#$", "́", "😀", " of", " of\x00", " fifteen-bytes.", " sixteen--bytes.", " w" * 9,
+    ])
+    random = np.random.default_rng(5)
+    texts = ["".join(random.choice(pieces, size)) for size in (0, 1, 2, 3, 5, 8, 40) for _ in range(400)]
+    texts += [None, "", " ", "\n", "word", " word", "word ", "漢" * 3000, "x" * 3000, " " * 3000]
+    random.shuffle(texts)
+    wanted = [len(encode(text or "")) for text in texts]
+    for kind in (pa.string(), pa.large_string()):
+        array = pa.array(texts, kind)
+        assert tokens.lengths(array, tokens.VOCABULARY).tolist() == wanted
+        assert tokens.lengths(array.slice(7, 900), tokens.VOCABULARY).tolist() == wanted[7:907]
+    assert tokens.lengths(pa.array([], pa.string()), tokens.VOCABULARY).tolist() == []
+    assert tokens.lengths(pa.array([None, ""], pa.string()), tokens.VOCABULARY).tolist() == [0, 0]
+    tokens._known.cache_clear()
+
+
+def test_repeated_words_are_encoded_once(encode, monkeypatch):
+    real, seen = tokens.encoder(tokens.VOCABULARY), []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode_ordinary(self, text):
+            seen.append(len(text))
+            return real.encode_ordinary(text)
+
+    monkeypatch.setattr(tokens, "encoder", lambda path: Counting())
+    random = np.random.default_rng(6)
+    vocabulary = np.array([f"invented{i}" for i in range(500)])
+    texts = [" ".join(random.choice(vocabulary, 100)) for _ in range(400)]
+    for begin in range(0, 400, 100):
+        found = tokens.lengths(pa.array(texts[begin : begin + 100]), tokens.VOCABULARY)
+        assert found.tolist() == [len(encode(t)) for t in texts[begin : begin + 100]]
+    assert sum(seen) < sum(map(len, texts)) / 10
