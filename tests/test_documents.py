@@ -3,8 +3,10 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from typeaudit.sinks import documents
 
@@ -57,6 +59,27 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
         documents.read_array(spark, str(path), "message string")
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path, monkeypatch):
+    class Context:
+        partitionId = taskAttemptId = lambda self: 4
+
+    monkeypatch.setattr(documents.TaskContext, "get", lambda: Context())
+    path = tmp_path / "out"
+    writer = documents.JsonArray({"path": str(path)}).writer(T.StructType([T.StructField("line", T.StringType())]), False)
+    batch = pa.RecordBatch.from_arrays([pa.array(["{}"])], ["line"])
+
+    def given_up_meanwhile():
+        yield batch
+        writer.abort([])
+        yield batch
+
+    writer.write(given_up_meanwhile())
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([batch]))
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_a_document_is_not_replaced(spark, tmp_path):
     rows = spark.createDataFrame([("p", 1, "m")], "project string, number long, message string")
     documents.write_array(rows, str(tmp_path / "out"), ORDER)

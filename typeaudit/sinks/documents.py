@@ -3,7 +3,8 @@
 Tasks write records in parallel, each to a staged part of its own. The commit gives the parts their final names and puts the array's
 brackets and the commas between parts beside them, as files of a few bytes. Read in the order of names, the files are one JSON document
 (``cat path/*.json``, ``hdfs dfs -getmerge``); no task and no driver ever holds it. The manifest comes last: a folder without one is
-no document. A task that fails, or is run twice, leaves nothing behind.
+no document. A task that fails, or is run twice, leaves nothing behind: the folder of staged parts is made before the tasks start and only
+then, so a task that still runs when the job is given up has nowhere to write (in a store without folders it may leave a staged part).
 """
 
 from __future__ import annotations
@@ -52,6 +53,10 @@ class ArrayWriter(DataSourceArrowWriter):
         folder = folder.rstrip("/")
         return system, folder, f"{folder}/{self.staged}"
 
+    def prepare(self) -> None:
+        system, _, staged = self._folders()
+        system.create_dir(staged, recursive=True)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         """The partition's records, with commas between them. An empty partition has no file."""
         system, _, staged = self._folders()
@@ -65,7 +70,6 @@ class ArrayWriter(DataSourceArrowWriter):
                 if not lines:
                     continue
                 if stream is None:
-                    system.create_dir(staged, recursive=True)
                     stream = system.open_output_stream(f"{staged}/{part.name}")
                 content = (BETWEEN if part.n_records else b"") + BETWEEN.join(lines)
                 stream.write(content)
@@ -96,8 +100,17 @@ class ArrayWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Part | None]) -> None:
         """The folder was empty before, so all that is in it is this job's."""
+        from pyarrow import fs
+
         system, folder, _ = self._folders()
-        self._drop(system, folder)
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            # Under its new name no task that still runs can add to the folder; stores without folders cannot rename it.
+            given_up = f"{folder.rpartition('/')[0]}/_given-up-{uuid.uuid4().hex}"
+            try:
+                system.move(folder, given_up)
+            except NotImplementedError:
+                given_up = folder
+            self._drop(system, given_up)
 
     @staticmethod
     def _drop(system, folder: str) -> None:
@@ -126,7 +139,9 @@ class JsonArray(DataSource):
         system, folder = listing.opened(path)
         if overwrite or system.get_file_info(folder.rstrip("/")).type != fs.FileType.NotFound:
             raise ValueError(f"{path} exists already, or was to be replaced; a document is written once")
-        return ArrayWriter(path)
+        writer = ArrayWriter(path)
+        writer.prepare()
+        return writer
 
 
 def write_array(records: DataFrame, path: str, order: list[str]) -> None:
